@@ -9,8 +9,15 @@ from riskweave import fixed_values as fv
 SECONDS_PER_DAY = 86400
 
 
+def _literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(value)
+
+
 def literal_map(mapping: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    """A constant map column, parsed in one call instead of built entry by entry."""
+    return F.expr("map(" + ", ".join(_literal(x) for pair in mapping.items() for x in pair) + ")")
 
 
 def lookup(mapping: dict, key: Column, default) -> Column:
