@@ -10,7 +10,7 @@ from riskweave.models.isolation import IsolationForest
 from riskweave.models.lof import LocalOutlierFactor
 from riskweave.models.oneclass import OneClassBoundary
 from riskweave.models.vectors import Scaler, score_points
-from riskweave.session import shared
+from riskweave.session import checkpointed, shared
 
 DETECTORS = ["isolation", "boundary", "density"]
 
@@ -26,7 +26,7 @@ class AnomalyEnsemble:
     def fit(table: DataFrame, features: list[str], contamination: float = 0.15, nu: float = 0.05, fit_rows: int = 20_000, seed: int = 42):
         """Fits scaler and detectors on the rows of ``table`` (give training rows only)."""
         scaler = Scaler.fit(table, features)
-        pts = shared(scaler.points(table))
+        pts = checkpointed(scaler.points(table))
         n = pts.count()
         return AnomalyEnsemble(
             scaler,

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from riskweave.functions.salting import salted_left_join
-from riskweave.session import shared
+from riskweave.session import checkpointed
 
 MAX_CLUSTERS, DEFAULT_CLUSTERS, MIN_SILHOUETTE = 15, 8, 0.35
 ACTION_DIVERSITY = "action_diversity"
@@ -63,7 +63,7 @@ def fit_roles(vectors: DataFrame, max_clusters: int = MAX_CLUSTERS, min_silhouet
     Below the silhouette cut the default number of clusters is used.
     """
     scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True).fit(vectors)
-    scaled = shared(scaler.transform(vectors).select("user_id", "x"))
+    scaled = checkpointed(scaler.transform(vectors).select("user_id", "x"))
     users = scaled.count()
     judge = ClusteringEvaluator(featuresCol="x", predictionCol="cluster_id")
 

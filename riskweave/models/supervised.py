@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskweave.models.lof import nearest
 from riskweave.models.vectors import as_matrix, bounded_sample
-from riskweave.session import shared
+from riskweave.session import checkpointed
 
 MIN_AUC = 0.75
 ACCESS_FEATURES = ["department", "job_title", "resource", "action"]
@@ -111,8 +111,8 @@ class RiskClassifier:
     def fit(train: DataFrame, features: list[str], label: str = "label", seed: int = 42, check: bool = True) -> "RiskClassifier":
         """Forest of 100 trees of depth 10; oversampled where positives are under a fifth."""
         share = train.agg(F.avg(F.col(label).cast("double")).alias("s")).first()["s"] or 0.0
-        rows = shared(smote(train, features, label, seed=seed) if share < 0.20 else train.select("user_id", *features, label))
-        split = shared(stratified_holdout(rows, label, seed=seed))
+        rows = smote(train, features, label, seed=seed) if share < 0.20 else train.select("user_id", *features, label)
+        split = checkpointed(stratified_holdout(rows, label, seed=seed))
         pipeline = Pipeline(stages=[
             VectorAssembler(inputCols=list(features), outputCol="x"),
             RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=100, maxDepth=10, seed=seed),

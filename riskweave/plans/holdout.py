@@ -13,7 +13,7 @@ from riskweave.models.vectors import Scaler
 from riskweave.operators import activity, baselines as B, evaluation as E, features
 from riskweave.plans.scan import score_identities
 from riskweave.operators.rules import rule_flags
-from riskweave.session import shared
+from riskweave.session import checkpointed
 from riskweave.thresholds import DEFAULTS, Thresholds
 
 CUT = 0.22
@@ -35,7 +35,7 @@ def holdout_features(users: DataFrame, events: DataFrame, labels: DataFrame, as_
     them has an event the whole log is used.
     """
     people = E.align_labels(activity.identities(users, activity.user_activity(events, thresholds)), labels)
-    people = shared(stratified_holdout(people, "label", seed=seed))
+    people = checkpointed(stratified_holdout(people, "label", seed=seed))
     train_users = people.where(~F.col("is_test")).select("user_id")
     train_events = events.join(train_users, "user_id", "left_semi")
     if train_events.isEmpty():
@@ -63,7 +63,7 @@ def run_holdout(
     if state["status"] != "ok":
         return HoldoutResult(state["status"], state["label_match_count"])
     types = activity.ANOMALY_TYPES if anomaly_types is None else anomaly_types
-    table = shared(holdout_features(users, events, labels, as_of, thresholds, seed, types))
+    table = checkpointed(holdout_features(users, events, labels, as_of, thresholds, seed, types))
     train = table.where(~F.col("is_test"))
     names = fv.FEATURE_NAMES
     ensemble = AnomalyEnsemble.fit(train, names, contamination=0.20, seed=seed)
@@ -79,7 +79,7 @@ def run_holdout(
         + [f"scaled_{c}" for c in names] + [f"rule_{r}" for r in fv.RULE_IDS] + list(features.discriminators())
         + ["anomaly_fraction", "event_total"] + [f"n_{t}" for t in types]
     )
-    stacked = shared(stacked)
+    stacked = checkpointed(stacked)
     meta = fit_meta(stacked.where(~F.col("is_test")), inputs)
     judged = meta.transform(stacked.where("is_test")).select(
         "user_id", "department", "label", positive_probability().alias("probability"))
