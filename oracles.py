@@ -240,7 +240,7 @@ SELECT eid % 8 AS shape, count(*) AS n, count(x) AS parsed, CAST(min(epoch(x)) A
 SELECT user_id, CAST(c % 4 = 1 AS BIGINT) AS is_privileged, CASE WHEN c % 4 = 3 THEN 'service' ELSE 'human' END AS account_type,
   CASE WHEN c % 3 <> 0 THEN 'active' ELSE 'terminated' END AS employment_status,
   CASE WHEN c % 7 = 0 THEN 0 ELSE c % 3 + 1 END AS systems_count, CASE WHEN c % 7 = 0 THEN '' ELSE source_system END AS source_system,
-  strftime(TIMESTAMP '2024-01-31' - to_days(CAST(age AS INT)), '%Y-%m-%d') AS created_on, '' AS owner_id, 0 AS n_roles
+  strftime(TIMESTAMP '2024-01-31' - to_days(CAST(age AS INT)), '%Y-%m-%d') AS created_on, '' AS owner_id, 0::BIGINT AS n_roles
 FROM us""", "us")
     o["compact_events"] = _sql("""
 SELECT user_id, count(*) AS events, count(*) FILTER (success) AS succeeded, count(*) FILTER (hour(ts) < 6) AS off_hours,
@@ -278,7 +278,7 @@ SELECT department, job_title, string_agg(resource, '|' ORDER BY n DESC, resource
     o["peer_stats"] = _sql("SELECT department, round(pm, 6) AS peer_mean, round(ps, 6) AS peer_std FROM peers", "peers")
     o["behavior_zscore"] = _sql("SELECT user_id, CAST(has_bl AS BIGINT) AS has_baseline, round(coalesce(z0, 0.0), 6) AS behavior_zscore, round(peer_dev, 6) AS peer_deviation_score FROM joined", "joined")
     o["baseline_by_any_role"] = _sql("""
-SELECT p.user_id, CASE WHEN b.department IS NULL THEN 0 ELSE 1 END AS has_baseline, round(b.a30, 6) AS baseline_avg_events_30d
+SELECT p.user_id, CAST(b.department IS NOT NULL AS BIGINT) AS has_baseline, round(b.a30, 6) AS baseline_avg_events_30d
 FROM ppl p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY department ORDER BY job_title) AS rn FROM bl) b
  ON p.department = b.department AND b.rn = 1""", "ppl", "bl")
     o["monthly_band"] = _sql("""
@@ -316,7 +316,7 @@ SELECT user_id, list_contains(roles, 'finance_approver') AND list_contains(roles
     signals = ["SABBATICAL_POSSIBLE", "TEMP_ELEVATION", "NEW_HIRE_RAMP", "BATCH_JOB_PATTERN", "MONTH_END_FINANCE", "IMPOSSIBLE_TRAVEL_CONFIRMED", "CONTRACTOR_NORM"]
     o["context_signals"] = _sql("SELECT user_id, " + _joined_names([(f"s{i + 1}", n) for i, n in enumerate(signals)])
         + " AS signals, CAST(delta AS BIGINT) AS context_delta, suppressed FROM sc", "sc")
-    o["seniority_exceptions"] = _sql("SELECT user_id, CASE c % 5 WHEN 2 THEN 'director' ELSE 'cfo' END AS keyword, CASE c % 5 WHEN 2 THEN -15 ELSE -20 END AS adjustment FROM us WHERE c % 5 IN (2, 3)", "us")
+    o["seniority_exceptions"] = _sql("SELECT user_id, CASE c % 5 WHEN 2 THEN 'director' ELSE 'cfo' END AS keyword, CAST(CASE c % 5 WHEN 2 THEN -15 ELSE -20 END AS BIGINT) AS adjustment FROM us WHERE c % 5 IN (2, 3)", "us")
     score_columns = """user_id, department, score, tier, contributing AS contributing_factors, suppressed AS suppressed_factors, fired AS anomaly_types,
  primary_rule, technique AS mitre_technique, CAST(n_muted AS BIGINT) AS suppressed_rule_count, CAST(n_active >= 3 AS BIGINT) AS blast_radius_applied,
  round(z, 6) AS behavior_zscore, round(confidence, 6) AS confidence, round(peer_dev, 6) AS peer_deviation_score"""
@@ -394,7 +394,7 @@ UNION ALL SELECT user_id, 'department_' || department, round(1 / CAST(count(*) A
 
     # -- reports ------------------------------------------------------------------------
     o["tier_distribution"] = _sql("""
-SELECT t.o AS tier_order, t.tier, count(sc.tier) AS identities, round(count(sc.tier) * 100.0 / (SELECT count(*) FROM sc), 6) AS percentage
+SELECT CAST(t.o AS BIGINT) AS tier_order, t.tier, count(sc.tier) AS identities, round(count(sc.tier) * 100.0 / (SELECT count(*) FROM sc), 6) AS percentage
 FROM (VALUES (1, 'CRITICAL'), (2, 'HIGH'), (3, 'MEDIUM'), (4, 'LOW')) t(o, tier) LEFT JOIN sc ON sc.tier = t.tier GROUP BY ALL""", "sc")
     o["department_risk"] = _sql("""
 SELECT department, count(*) AS user_count, count(*) FILTER (tier = 'CRITICAL') AS critical_count, count(*) FILTER (tier = 'HIGH') AS high_count,
@@ -455,13 +455,13 @@ SELECT g.user_id AS identity_id, coalesce(s.l, '') AS systems_at_risk, coalesce(
 SELECT count(*) AS total_report_users, count(*) FILTER (c % 10 >= 7) AS users_with_mfa_disabled, count(*) FILTER (c % 3 = 0) AS users_with_password_enabled,
  count(*) FILTER (c % 4 = 1) + count(*) FILTER (c % 6 = 1) AS users_with_active_access_keys, count(*) FILTER (c % 4 = 1) AS users_with_access_key_1_active,
  count(*) FILTER (c % 6 = 1) AS users_with_access_key_2_active, count(*) FILTER (idle > 90) AS users_with_password_unused_90d,
- count(*) FILTER (c % 4 = 1 AND age > 90) AS users_with_access_key_1_unused_90d, 0 AS users_with_access_key_2_unused_90d FROM us""", "us")
+ count(*) FILTER (c % 4 = 1 AND age > 90) AS users_with_access_key_1_unused_90d, 0::BIGINT AS users_with_access_key_2_unused_90d FROM us""", "us")
     o["privileged_by_policy"] = _sql("SELECT user_id FROM us WHERE c % 8 = 3 OR c % 9 = 2", "us")
     o["access_keys"] = _sql("""
 SELECT username AS UserName, CAST(c % 4 = 1 AS BIGINT) + CAST(c % 6 = 1 AS BIGINT) AS active_keys, CAST(c % 4 = 1 AND c % 6 = 1 AS BIGINT) AS key_sprawl FROM us""", "us")
     o["access_key_summary"] = _sql("""
 SELECT 2 * count(*) AS total_keys, count(*) FILTER (c % 4 = 1) + count(*) FILTER (c % 6 = 1) AS active_keys,
- 2 * count(*) - count(*) FILTER (c % 4 = 1) - count(*) FILTER (c % 6 = 1) AS inactive_keys, 1 AS key_sprawl_detected FROM us""", "us")
+ 2 * count(*) - count(*) FILTER (c % 4 = 1) - count(*) FILTER (c % 6 = 1) AS inactive_keys, 1::BIGINT AS key_sprawl_detected FROM us""", "us")
     o["feedback_summary"] = _sql("SELECT count(*) AS total_corrections, count(*) AS pending_corrections FROM us WHERE c % 4 < 3", "us")
 
     # -- evaluation -------------------------------------------------------------------------
@@ -484,4 +484,8 @@ SELECT count(*) AS rows, round({b}, 6) AS overall_f1, round(({a} + {b}) / 2, 6)
 SELECT class, CAST(support AS BIGINT) AS support, CAST(predicted AS BIGINT) AS predicted, CAST(tp AS BIGINT) AS tp,
  round(CASE WHEN predicted > 0 THEN tp * 1.0 / predicted ELSE 0 END, 6) AS precision, round(CASE WHEN support > 0 THEN tp * 1.0 / support ELSE 0 END, 6) AS recall,
  round(CASE WHEN predicted + support > 0 THEN 2.0 * tp / (predicted + support) ELSE 0 END, 6) AS f1 FROM x""", "ev")
+    o["stratified_split"] = _sql("""
+SELECT label, is_test, CAST(CASE WHEN is_test = 1 THEN floor(n * 0.2) ELSE n - floor(n * 0.2) END AS BIGINT) AS n
+FROM (SELECT CAST(c % 6 = 2 AS BIGINT) AS label, count(*) AS n FROM us GROUP BY 1), (SELECT unnest([0::BIGINT, 1::BIGINT]) AS is_test)""", "us")
+    o["smote_balance"] = _sql("SELECT label, greatest(p, q) AS n FROM (SELECT count(*) FILTER (c % 6 = 2) AS p, count(*) FILTER (c % 6 <> 2) AS q FROM us), (SELECT unnest([0::BIGINT, 1::BIGINT]) AS label)", "us")
     return {name: " ".join(sql.split()) for name, sql in o.items()}

@@ -11,8 +11,9 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from riskweave.functions.placing import hashed_position
 from riskweave.models.lof import nearest
 from riskweave.models.vectors import as_matrix, bounded_sample
 from riskweave.session import checkpointed
@@ -30,25 +31,10 @@ class ModelQualityError(ValueError):
 
 
 def stratified_holdout(table: DataFrame, label: str = "label", share: float = 0.20, seed: int = 42, id_column: str = "user_id") -> DataFrame:
-    """Adds ``is_test``: exactly the floor of the share of each class, chosen by hashed id.
-
-    The position of a row within its class is found from counts of hash ranges
-    and a place inside its range, so a large class is not ordered in one task.
-    """
-    ranges = 4096
-    h = F.xxhash64(F.col(id_column), F.lit(seed))
-    placed = table.withColumns({"__h": h, "__r": F.shiftrightunsigned(h, 52).cast("int")})
-    sizes = placed.groupBy(label, "__r").agg(F.count(F.lit(1)).alias("__n"))  # at most classes * 4096 rows
-    by_class = W.partitionBy(label).orderBy("__r")
-    sizes = sizes.select(
-        label, "__r",
-        F.coalesce(F.sum("__n").over(by_class.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-        F.sum("__n").over(W.partitionBy(label)).alias("__all"),
-    )
-    place = F.row_number().over(W.partitionBy(label, "__r").orderBy(F.shiftrightunsigned("__h", 1), "__h", id_column))
-    out = placed.withColumn("__p", place).join(F.broadcast(sizes), [label, "__r"])
-    test = F.col("__before") + F.col("__p") <= F.floor(F.col("__all") * share)
-    return out.withColumn("is_test", test).drop("__h", "__r", "__p", "__before", "__all")
+    """Adds ``is_test``: exactly the floor of the share of each class, chosen by hashed id."""
+    placed = hashed_position(table, [label], id_column, seed)
+    test = F.col("position") <= F.floor(F.col("group_rows") * share)
+    return placed.withColumn("is_test", test).drop("position", "group_rows")
 
 
 def smote(train: DataFrame, features: list[str], label: str = "label", k: int = 5, fit_rows: int = 20_000, seed: int = 42) -> DataFrame:
@@ -68,7 +54,6 @@ def smote(train: DataFrame, features: list[str], label: str = "label", k: int =
     base = as_matrix(pool.orderBy(F.xxhash64("id", F.lit(seed)), "id").select("x").toPandas()["x"])  # at most fit_rows rows
     held = train.sparkSession.sparkContext.broadcast(base)
     each, rest = divmod(missing, positives)
-    extra = rest / positives
 
     def grow(batches):
         for pdf in batches:
@@ -76,14 +61,15 @@ def smote(train: DataFrame, features: list[str], label: str = "label", k: int =
             near = nearest(x, held.value, min(k + 1, len(held.value)))[1][:, 1:]
             for row, (point, others, key) in enumerate(zip(x, near, pdf["key"])):
                 rng = np.random.default_rng([seed, int(key) & 0x7FFFFFFFFFFFFFFF])
-                n = each + int(rng.random() < extra)
+                n = each + int(pdf["position"].iloc[row] <= rest)
                 if n == 0:
                     continue
                 partners = held.value[rng.choice(others, n)]
                 made = point + rng.random((n, 1)) * (partners - point)
                 yield pd.DataFrame({"user_id": [f"synthetic-{pdf['id'].iloc[row]}-{i}" for i in range(n)], "x": list(made)})
 
-    keyed = minority.withColumn("key", F.xxhash64("id", F.lit(seed)))
+    placed = hashed_position(minority.withColumn("__one", F.lit(1)), ["__one"], "id", seed)
+    keyed = placed.select("id", "x", "position", F.xxhash64("id", F.lit(seed)).alias("key"))
     made = keyed.mapInPandas(grow, "user_id string, x array<double>")
     made = made.select("user_id", *[F.col("x")[i].alias(c) for i, c in enumerate(features)], F.lit(1).alias(label))
     kept = train.select(F.col("user_id").cast("string").alias("user_id"), *[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("int").alias(label))

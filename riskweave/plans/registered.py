@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from riskweave import fixed_values as fv
 from riskweave.functions import parsing as P
+from riskweave.models import roles, supervised
+from riskweave.models.ensemble import AnomalyEnsemble
 from riskweave.operators import (
     access, activity, baselines as B, context, evaluation as E, exfiltration, features, graph, remediation, reports,
     rules, sequences, timeline,
 )
-from riskweave.plans import scan
+from riskweave.plans import holdout, scan
 from riskweave.plans.lens import as_of, lens_events, lens_users
+from riskweave.session import checkpointed
 from riskweave.sources import providers, sinks, tables
 from riskweave.thresholds import Thresholds
 
@@ -203,12 +206,15 @@ def _plan(scored: DataFrame) -> DataFrame:
         "expected_resolution_hours", "requires_approval")
 
 
-def _decisions(users: DataFrame, events: DataFrame) -> DataFrame:
+def _requests(users: DataFrame) -> DataFrame:
     c = F.col("user_id").cast("bigint")
-    requests = users.select(
+    return users.select(
         "user_id", "department", F.concat(F.lit("res_"), (c % 23).cast("string")).alias("resource"),
         F.when(c % 3 == 0, "read").when(c % 3 == 1, "admin").otherwise("download").alias("action"))
-    return access.access_decisions(requests, access.peer_access_rates(events, users)).drop("peer_comparison_note")
+
+
+def _decisions(users: DataFrame, events: DataFrame) -> DataFrame:
+    return access.access_decisions(_requests(users), access.peer_access_rates(events, users)).drop("peer_comparison_note")
 
 
 # -- graph -----------------------------------------------------------------------
@@ -325,9 +331,73 @@ def _event_class_metrics(events: DataFrame) -> DataFrame:
     return E.class_metrics(E.confusion_matrix(E.join_labels(predicted, truth)))
 
 
+# -- models ----------------------------------------------------------------------
+
+def _labelled_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of every identity with its label, materialised once for the fitting passes."""
+    table = features.feature_table(_people(spark, d), as_of(), keep=["department", "job_title"])
+    return checkpointed(E.align_labels(table, _labels(lens_users(spark, d))))
+
+
+def _anomaly_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    table = _labelled_features(spark, d)
+    return flat(AnomalyEnsemble.fit(table, fv.FEATURE_NAMES).predict(table))
+
+
+def _risk_classifier(spark: SparkSession, d: str) -> DataFrame:
+    table = _labelled_features(spark, d)
+    model = supervised.RiskClassifier.fit(table, fv.FEATURE_NAMES, check=False)
+    return flat(model.predict(table).select("user_id", "label", "risk_probability"))
+
+
+def _smote_balance(spark: SparkSession, d: str) -> DataFrame:
+    balanced = supervised.smote(_labelled_features(spark, d), fv.FEATURE_NAMES)
+    return flat(balanced.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _stratified_split(spark: SparkSession, d: str) -> DataFrame:
+    labelled = E.align_labels(lens_users(spark, d), _labels(lens_users(spark, d)))
+    split = supervised.stratified_holdout(labelled)
+    return flat(split.groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _access_predictor(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted on every grant seen in the log with its peer-rate decision, applied to all requests."""
+    users, events = _tables(spark, d)
+    rates = access.peer_access_rates(events, users)
+    titles = users.select("department", "job_title").distinct()
+    seen = rates.join(titles, "department").withColumns(access.decision_columns(F.col("peer_access_rate")))
+    decided = checkpointed(seen.select(*supervised.ACCESS_FEATURES, "peer_access_rate", "decision"))
+    requests = _requests(users).join(users.select("user_id", "job_title"), "user_id")
+    rated = access.access_decisions(requests, rates)
+    return flat(supervised.predict_access(supervised.fit_access_predictor(decided), rated).select(
+        "user_id", "decision", "predicted_decision", "predicted_confidence"))
+
+
+def _mined(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    users, events = _tables(spark, d)
+    matrix = checkpointed(roles.access_matrix(events, users))
+    model, scaled = roles.fit_roles(roles.access_vectors(matrix), max_clusters=8)
+    return roles.assign_roles(model, scaled), matrix, events
+
+
+def _role_assignments(spark: SparkSession, d: str) -> DataFrame:
+    return flat(_mined(spark, d)[0])
+
+
+def _role_profiles(spark: SparkSession, d: str) -> DataFrame:
+    assigned, matrix, events = _mined(spark, d)
+    return flat(roles.profile_roles(assigned, matrix, roles.grant_counts(events)))
+
+
+def _holdout_report(spark: SparkSession, d: str) -> DataFrame:
+    users, events = _tables(spark, d)
+    result = holdout.run_holdout(users, events, _labels(users), as_of(), CUTS, check_auc=False)
+    return flat(result.report)
+
+
 def registered_queries() -> dict[str, Query]:
-    pick = lambda *columns: (lambda df: df.select(*columns))
-    q: dict[str, Query] = {
+    return {
         "multi_format_timestamps": _over_events(_multi_format_timestamps),
         "compact_users": _over_users(_compact_users),
         "compact_events": _over_events(_compact_events),
@@ -353,7 +423,7 @@ def registered_queries() -> dict[str, Query]:
         "sod_violations": _over_users(_sod_violations),
         "context_signals": _over_scored(_context),
         "seniority_exceptions": _over_users(_seniority),
-        "risk_scores": _over_scored(pick(*SCORE_COLUMNS)),
+        "risk_scores": _over_scored(lambda s: s.select(*SCORE_COLUMNS)),
         "scan_leaderboard": _over_scored(leaderboard),
         "remediation_plan": _over_scored(_plan),
         "remediation_sample": _over_scored(lambda s: reports.remediation_sample(s).drop("description")),
@@ -401,5 +471,13 @@ def registered_queries() -> dict[str, Query]:
         "evaluation_status": _over_users(lambda u: E.evaluation_status(E.align_labels(u, _labels(u)))),
         "event_confusion": _event_confusion,
         "event_class_metrics": _over_events(_event_class_metrics),
+        "access_matrix": _over_both(lambda u, e: roles.access_matrix(e, u)),
+        "stratified_split": _stratified_split,
+        "smote_balance": _smote_balance,
+        "anomaly_ensemble": _anomaly_ensemble,
+        "risk_classifier": _risk_classifier,
+        "access_predictor": _access_predictor,
+        "role_assignments": _role_assignments,
+        "role_profiles": _role_profiles,
+        "holdout_report": _holdout_report,
     }
-    return q
