@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from riskweave.functions.salting import salted_left_join
 from riskweave.session import checkpointed
 
 MAX_CLUSTERS, DEFAULT_CLUSTERS, MIN_SILHOUETTE = 15, 8, 0.35
@@ -45,25 +48,51 @@ def access_matrix(events: DataFrame, users: DataFrame | None = None) -> DataFram
         "user_id", "feature", (F.col("value") / F.col("total")).alias("share"))
 
 
-def access_vectors(matrix: DataFrame) -> DataFrame:
-    """(user_id, raw) with one sparse vector per user; feature numbers come from a string index."""
-    indexer = StringIndexer(inputCol="feature", outputCol="i", stringOrderType="alphabetAsc").fit(matrix)
-    width = len(indexer.labels)
-    entries = indexer.transform(matrix).groupBy("user_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "share"))).alias("e"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(
-        F.try_element_at(F.map_from_entries("e"), i), F.lit(0.0)))
-    return entries.select("user_id", array_to_vector(dense).alias("raw"))
+@F.udf(VectorUDT())
+def _sparse(width: int, positions: list, values: list):
+    return Vectors.sparse(width, positions, values)
+
+
+def access_vectors(matrix: DataFrame, max_width: int = 1 << 16) -> DataFrame:
+    """(user_id, width, at, value, raw): one sparse vector per user, also as its two arrays.
+
+    Up to ``max_width`` features get a position each, in name order; a wider
+    vocabulary is hashed to that width, so neither the driver nor a cluster
+    centre ever holds more.
+    """
+    if matrix.select("feature").distinct().limit(max_width + 1).count() <= max_width:
+        indexer = StringIndexer(inputCol="feature", outputCol="i", stringOrderType="alphabetAsc").fit(matrix)
+        width = len(indexer.labels)
+        placed = indexer.transform(matrix).withColumn("i", F.col("i").cast("int"))
+    else:
+        width = max_width
+        placed = matrix.withColumn("i", F.pmod(F.xxhash64("feature"), F.lit(width)).cast("int"))
+    entries = placed.groupBy("user_id", "i").agg(F.sum("share").alias("share")).groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("i", "share"))).alias("e"))  # at most ``width`` entries
+    return entries.select(
+        "user_id", F.lit(width).alias("width"), F.col("e.i").alias("at"), F.col("e.share").alias("value"),
+        _sparse(F.lit(width), F.col("e.i"), F.col("e.share")).alias("raw"))
+
+
+@dataclass(frozen=True)
+class RoleModel:
+    """k-means centres in deviation-scaled space. Distances need no centring, so vectors stay sparse."""
+
+    kmeans: KMeansModel
+    deviations: np.ndarray
+
+    def centers(self) -> np.ndarray:
+        return np.array(self.kmeans.clusterCenters())
 
 
 def fit_roles(vectors: DataFrame, max_clusters: int = MAX_CLUSTERS, min_silhouette: float = MIN_SILHOUETTE,
-              seed: int = 42) -> tuple[KMeansModel, DataFrame]:
-    """The k-means model with the best silhouette, and the users with their scaled vectors.
+              seed: int = 42) -> tuple[RoleModel, DataFrame]:
+    """The model with the best silhouette, and the users with their scaled vectors.
 
     Below the silhouette cut the default number of clusters is used.
     """
-    scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True).fit(vectors)
-    scaled = checkpointed(scaler.transform(vectors).select("user_id", "x"))
+    scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=False, withStd=True).fit(vectors)
+    scaled = checkpointed(scaler.transform(vectors).select("user_id", "at", "value", "x"))
     users = scaled.count()
     judge = ClusteringEvaluator(featuresCol="x", predictionCol="cluster_id")
 
@@ -73,23 +102,36 @@ def fit_roles(vectors: DataFrame, max_clusters: int = MAX_CLUSTERS, min_silhouet
     best, best_score = None, -1.0
     for k in range(2, min(max_clusters, users - 1) + 1):
         model = train(k)
-        assigned = model.transform(scaled)
-        if assigned.select("cluster_id").distinct().count() < 2:
+        if sum(size > 0 for size in model.summary.clusterSizes) < 2:
             continue
-        score = judge.evaluate(assigned)
+        score = judge.evaluate(model.transform(scaled))
         if score > best_score:
             best, best_score = model, score
     if best is None or best_score <= min_silhouette:
         best = train(min(DEFAULT_CLUSTERS, max(users, 2)))
-    return best, scaled
+    return RoleModel(best, scaler.std.toArray()), scaled
 
 
-def assign_roles(model: KMeansModel, scaled: DataFrame) -> DataFrame:
+def assign_roles(model: RoleModel, scaled: DataFrame) -> DataFrame:
     """(user_id, cluster_id, distance, is_outlier): beyond mean + 2 deviations of its cluster."""
-    assigned = model.setFeaturesCol("x").setPredictionCol("cluster_id").transform(scaled)
-    centers = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])  # at most 15 rows
-    gaps = F.zip_with(vector_to_array("x"), F.get(centers, F.col("cluster_id")), lambda a, b: (a - b) * (a - b))
-    measured = assigned.select("user_id", "cluster_id", F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda t, g: t + g)).alias("distance"))
+    spread = np.where(model.deviations > 0, model.deviations, np.inf)
+    held = scaled.sparkSession.sparkContext.broadcast((model.centers(), spread))  # at most 15 * width numbers
+
+    def measure(batches):
+        centers, deviations = held.value
+        norms = (centers**2).sum(axis=1)
+        for pdf in batches:
+            cluster = pdf["cluster_id"].to_numpy()
+            row = np.repeat(np.arange(len(pdf)), pdf["at"].map(len))
+            at, value = np.concatenate(pdf["at"].to_numpy()), np.concatenate(pdf["value"].to_numpy())
+            value = value / deviations[at]
+            change = np.bincount(row, value * (value - 2.0 * centers[cluster[row], at]), len(pdf))
+            yield pd.DataFrame({"user_id": pdf["user_id"], "cluster_id": cluster,
+                                "distance": np.sqrt(np.maximum(norms[cluster] + change, 0.0))})
+
+    assigned = model.kmeans.transform(scaled).select("user_id", "cluster_id", "at", "value")
+    id_type = scaled.schema["user_id"].dataType.simpleString()
+    measured = assigned.mapInPandas(measure, f"user_id {id_type}, cluster_id int, distance double")
     limits = measured.groupBy("cluster_id").agg((F.avg("distance") + 2 * F.stddev_pop("distance")).alias("limit"))
     joined = measured.join(F.broadcast(limits), "cluster_id")  # one row per cluster
     return joined.select("user_id", "cluster_id", "distance", (F.col("distance") > F.col("limit")).alias("is_outlier"))
@@ -106,7 +148,7 @@ def profile_roles(assigned: DataFrame, matrix: DataFrame, counts: DataFrame, sco
     out = size.join(_top(weight, "feature", "dominant_resources"), "cluster_id", "left").join(
         _top(actions, "action", "dominant_actions"), "cluster_id", "left")
     if scored is not None:
-        risk = salted_left_join(home, scored.select("user_id", "score"), ["user_id"], F.col("user_id"), 1)
+        risk = home.join(scored.select("user_id", "score"), "user_id", "left")
         out = out.join(risk.groupBy("cluster_id").agg(F.avg(F.coalesce("score", F.lit(0))).alias("avg_risk_score")), "cluster_id", "left")
     else:
         out = out.withColumn("avg_risk_score", F.lit(0.0))
