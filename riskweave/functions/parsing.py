@@ -59,7 +59,7 @@ def parse_float(raw: Column, default: float = 0.0) -> Column:
 
 def parse_list(raw: Column) -> Column:
     """Pipe-separated text to an array of trimmed, non-blank items."""
-    items = F.transform(F.split(F.coalesce(raw, F.lit("")), "[|]"), F.trim)
+    items = F.transform(F.split(F.coalesce(raw, F.lit("")), "[|]"), lambda x: F.trim(x))
     return F.filter(items, lambda x: x != "")
 
 

@@ -54,7 +54,7 @@ class IsolationForest:
         """``n`` is the number of points; the cut puts ``contamination`` of them outside."""
         size = min(sample, n)
         share = min(1.0, 1.5 * size / max(n, 1))  # rows offered per tree, then cut to ``size``
-        limit = int(share * (2**63 - 1))
+        limit = min(int(share * 2.0**63), 2**63 - 1)
         offered = F.filter(
             F.sequence(F.lit(0), F.lit(trees - 1)),
             lambda t: F.shiftrightunsigned(F.xxhash64(F.col("id"), t, F.lit(seed)), 1) <= limit,

@@ -59,11 +59,11 @@ def sod_array(conflicts: DataFrame | None = None) -> Column:
     ])
 
 
-def sod_matches(conflicts: DataFrame | None = None) -> Column:
-    """Conflict pairs an identity holds both sides of, worst first."""
+def sod_matches(pairs: Column | None = None) -> Column:
+    """Conflict pairs an identity holds both sides of, worst first; ``pairs`` as from ``sod_array``."""
     held = F.transform(F.array_union("roles", "permissions"), F.lower)
     return F.filter(
-        sod_array(conflicts),
+        sod_array() if pairs is None else pairs,
         lambda c: F.array_contains(held, F.lower(c["role_a"])) & F.array_contains(held, F.lower(c["role_b"])),
     )
 
@@ -130,9 +130,11 @@ def with_rules(
 ) -> DataFrame:
     """Adds ``rules``: one result per rule, in registry order. No shuffle."""
     registry = standard_rules(as_of, thresholds) + list(extra or [])
-    return identities.withColumn("sod_conflicts", sod_matches(conflicts)).withColumn(
-        "rules", F.array(*[r.result() for r in registry])
+    # the pairs are a column first: a scalar subquery may not sit inside a lambda
+    paired = identities.withColumn("__pairs", sod_array(conflicts)).withColumn(
+        "sod_conflicts", sod_matches(F.col("__pairs"))
     )
+    return paired.withColumn("rules", F.array(*[r.result() for r in registry])).drop("__pairs")
 
 
 def triggered(rules: Column) -> Column:
