@@ -49,7 +49,7 @@ def access_matrix(events: DataFrame, users: DataFrame | None = None) -> DataFram
 
 
 @F.udf(VectorUDT())
-def _sparse(width: int, positions: list, values: list):
+def _sparse(width, positions, values):
     return Vectors.sparse(width, positions, values)
 
 

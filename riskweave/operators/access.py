@@ -45,8 +45,8 @@ def decision_columns(rate: Column) -> dict[str, Column]:
 
 def access_decisions(requests: DataFrame, rates: DataFrame) -> DataFrame:
     """Decision, confidence and note for every request (department, resource, action, ...)."""
-    # many requests may ask for one grant: spread them over the salts by row
+    # many requests may ask for one grant: spread them over the salts by their content
     joined = salted_left_join(
-        requests, rates.select(*GRANT, "peer_access_rate"), GRANT, F.monotonically_increasing_id()
+        requests, rates.select(*GRANT, "peer_access_rate"), GRANT, F.xxhash64(*requests.columns)
     ).fillna(0.0, ["peer_access_rate"])
     return joined.withColumns(decision_columns(F.col("peer_access_rate")))

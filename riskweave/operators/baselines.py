@@ -19,15 +19,24 @@ PROFILE_NUMBERS = [
 
 
 def baseline_cells(
-    events: DataFrame, users: DataFrame | None = None, thresholds: Thresholds = DEFAULTS, event_as_of=None
+    events: DataFrame,
+    users: DataFrame | None = None,
+    thresholds: Thresholds = DEFAULTS,
+    event_as_of=None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Event counts per (department, title, user, day, hour, resource) in the trailing year.
 
     The raw log is read once, here. When department and title come from the
     inventory they are joined after this aggregation, so what meets the join
-    are a user's hourly cells and not the user's events.
+    are a user's hourly cells and not the user's events. ``only`` keeps the log
+    of the listed user ids, and then ends the year at their newest event.
     """
-    anchor = event_anchor(events, event_as_of)
+    if only is not None and event_as_of is None:
+        newest = events.groupBy("user_id").agg(F.max("ts").alias("ts")).join(only, "user_id", "left_semi")
+        anchor = event_anchor(newest)
+    else:
+        anchor = event_anchor(events, event_as_of)
     year = events.where(F.col("ts") >= days_before(anchor, thresholds.baseline_window_days))
     own_key = KEY if users is None else []
     cells = year.groupBy(
@@ -37,6 +46,8 @@ def baseline_cells(
         F.count_if(F.col("ts") >= days_before(anchor, thresholds.short_window_days)).alias("n30"),
         F.count_if(F.lower("action") == "download").alias("downloads"),
     )
+    if only is not None:
+        cells = cells.join(only, "user_id", "left_semi")
     if users is None:
         return cells.where(F.col("department").isNotNull() & F.col("job_title").isNotNull())
     named = cells.join(users.select("user_id", *KEY), "user_id", "left")
@@ -128,9 +139,10 @@ def build_baselines(
     thresholds: Thresholds = DEFAULTS,
     event_as_of=None,
     computed_at=None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """One profile row per (department, job_title)."""
-    cells = shared(baseline_cells(events, users, thresholds, event_as_of))
+    cells = shared(baseline_cells(events, users, thresholds, event_as_of, only))
     profile = session_stats(cells).join(user_stats(cells), KEY)
     for part in (
         resource_stats(cells),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskweave.functions.salting import salted_left_join
 from riskweave.sources.tables import require_columns
 
 BLANK_CLASSES = ["", "nan", "None"]
@@ -140,7 +141,8 @@ def evaluation_status(aligned: DataFrame) -> DataFrame:
 def event_predictions(event_labels: DataFrame, events: DataFrame, user_predictions: DataFrame) -> DataFrame:
     """Each labelled event takes its user's prediction; unknown events and users get 0."""
     known = events.select("event_id", "user_id").join(event_labels.select("event_id"), "event_id", "left_semi")
-    per_event = known.join(user_predictions.select("user_id", F.col("is_anomaly").alias("p")), "user_id", "left")
+    predicted = user_predictions.select("user_id", F.col("is_anomaly").alias("p"))
+    per_event = salted_left_join(known, predicted, ["user_id"], F.col("event_id"))
     best = per_event.groupBy("event_id").agg(F.max("p").alias("p"))
     out = event_labels.select("event_id").join(best, "event_id", "left")
     return out.select("event_id", F.coalesce(F.col("p").cast("int"), F.lit(0)).alias("is_anomaly"))

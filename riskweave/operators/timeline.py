@@ -23,7 +23,7 @@ def cross_system_travel(
     events: DataFrame,
     thresholds: Thresholds = DEFAULTS,
     regions: dict | None = None,
-    slice_seconds: int = 3600,
+    slice_seconds: int = 300,
 ) -> DataFrame:
     """(user_id, cross_system_impossible_travel) for every user with a dated event.
 

@@ -37,10 +37,9 @@ def holdout_features(users: DataFrame, events: DataFrame, labels: DataFrame, as_
     people = E.align_labels(activity.identities(users, activity.user_activity(events, thresholds)), labels)
     people = checkpointed(stratified_holdout(people, "label", seed=seed))
     train_users = people.where(~F.col("is_test")).select("user_id")
-    train_events = events.join(train_users, "user_id", "left_semi")
-    if train_events.isEmpty():
-        train_events = events
-    profiles = B.build_baselines(train_events, None if "department" in events.columns else users, thresholds)
+    seen = events.select("user_id").distinct().join(train_users, "user_id", "left_semi")
+    only = None if seen.isEmpty() else train_users
+    profiles = B.build_baselines(events, None if "department" in events.columns else users, thresholds, only=only)
     profiled = B.attach_baseline(people, profiles, "role_then_department")
     profiled = B.attach_peers(profiled, B.peer_stats(people.where(~F.col("is_test"))))
     scored = score_identities(profiled, as_of, thresholds)

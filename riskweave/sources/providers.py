@@ -76,15 +76,21 @@ def all_providers(*tables: DataFrame) -> DataFrame:
 
 # -- matching -------------------------------------------------------------------
 
+def _mail_key(row_id: str) -> Column:
+    """Lower-cased address; rows without one get a key of their own, so blanks never pile up on one task."""
+    mail = F.lower(F.trim(_text(F.col("email"))))
+    return F.when(mail != "", mail).otherwise(F.concat(F.lit("no address: "), F.col(row_id)))
+
+
 def match_identities(users: DataFrame, provider_users: DataFrame) -> DataFrame:
     """Every internal user with the best provider record of the same address, or none."""
     priority = F.coalesce(
         F.try_element_at(F.create_map(*[F.lit(x) for p in PRIORITY.items() for x in p]), F.col("provider")), F.lit(9)
     )
-    best = provider_users.where("email <> ''").groupBy(F.lower("email").alias("__mail")).agg(
+    best = provider_users.where("email <> ''").groupBy(_mail_key("external_id").alias("__mail")).agg(
         F.min_by(F.struct("provider", "external_id", "status"), F.struct(priority, "external_id")).alias("idp")
     )
-    joined = users.withColumn("__mail", F.lower("email")).join(best, "__mail", "left")
+    joined = users.withColumn("__mail", _mail_key("user_id")).join(best, "__mail", "left")
     return joined.select("user_id", "email", F.col("idp.provider").alias("provider"),
                          F.col("idp.external_id").alias("external_id"), F.col("idp.status").alias("provider_status"),
                          F.col("idp").isNotNull().alias("matched"))
@@ -92,20 +98,20 @@ def match_identities(users: DataFrame, provider_users: DataFrame) -> DataFrame:
 
 def internal_only(users: DataFrame, provider_users: DataFrame) -> DataFrame:
     """Internal users no provider knows."""
-    known = provider_users.select(F.lower("email").alias("__mail"))
-    return users.withColumn("__mail", F.lower("email")).join(known, "__mail", "left_anti").drop("__mail")
+    known = provider_users.where("email <> ''").select(_mail_key("external_id").alias("__mail"))
+    return users.withColumn("__mail", _mail_key("user_id")).join(known, "__mail", "left_anti").drop("__mail")
 
 
 def provider_only(users: DataFrame, provider_users: DataFrame) -> DataFrame:
     """Provider accounts without an internal user."""
-    known = users.select(F.lower("email").alias("__mail"))
-    return provider_users.withColumn("__mail", F.lower("email")).join(known, "__mail", "left_anti").drop("__mail")
+    known = users.where("email <> ''").select(_mail_key("user_id").alias("__mail"))
+    return provider_users.withColumn("__mail", _mail_key("external_id")).join(known, "__mail", "left_anti").drop("__mail")
 
 
 def matched_count(users: DataFrame, provider_users: DataFrame) -> DataFrame:
     """Distinct internal addresses that some provider knows."""
-    mails = users.select(F.lower("email").alias("m")).where("m <> ''").distinct()
-    known = provider_users.select(F.lower("email").alias("m"))
+    mails = users.where("email <> ''").select(_mail_key("user_id").alias("m")).distinct()
+    known = provider_users.where("email <> ''").select(_mail_key("external_id").alias("m"))
     return mails.join(known, "m", "left_semi").agg(F.count(F.lit(1)).alias("matched_emails"))
 
 

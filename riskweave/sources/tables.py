@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from riskweave import fixed_values as fv
 from riskweave.functions import parsing as P
+from riskweave.functions.salting import salted_left_join
 
 USER_DEFAULTS = {
     "username": "",
@@ -196,9 +197,9 @@ def with_user_attributes(events: DataFrame, users: DataFrame) -> DataFrame:
 
     Operators that only need them per group take ``users`` themselves and join
     after their first aggregation; this row-level form is for row-level output.
-    One busy account may own much of the log: its shuffle partition is split by
-    the adaptive skew join, which works here as the result keeps row order free.
+    One busy account may own much of the log, so its events are spread by event id.
     """
     kept = [c for c in events.columns if c not in ("department", "job_title")]
-    joined = events.select(*kept).join(users.select("user_id", "department", "job_title"), "user_id", "left")
+    home = users.select("user_id", "department", "job_title")
+    joined = salted_left_join(events.select(*kept), home, ["user_id"], F.col("event_id"))
     return joined.fillna("", subset=["department", "job_title"])

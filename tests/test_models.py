@@ -48,7 +48,8 @@ def test_ensemble_finds_outliers_is_stable_and_reloads(spark, tmp_path):
     assert {f"u{i:03d}" for i in range(6)} <= flagged and len(flagged) <= 14
     assert all(0.0 <= r.anomaly_score <= 1.0 for r in out.values())
     again = AnomalyEnsemble.fit(df.coalesce(1), NAMES, contamination=0.05)
-    assert again.isolation.nodes.equals(model.isolation.nodes)
+    # the scaler's sums may differ in the last digit, the trees' shape and samples may not
+    assert np.allclose(again.isolation.nodes.to_numpy(float), model.isolation.nodes.to_numpy(float))
     model.save(spark, str(tmp_path / "m"))
     back = {r.user_id: r.anomaly_score for r in AnomalyEnsemble.load(spark, str(tmp_path / "m")).predict(df).collect()}
     assert back == {u: pytest.approx(r.anomaly_score) for u, r in out.items()}
