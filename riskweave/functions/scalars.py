@@ -9,15 +9,19 @@ from riskweave import fixed_values as fv
 SECONDS_PER_DAY = 86400
 
 
-def _literal(value) -> str:
+def sql_literal(value) -> str:
     if isinstance(value, str):
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
     return repr(value)
 
 
+def sql_map(mapping: dict) -> str:
+    return "map(" + ", ".join(sql_literal(x) for pair in mapping.items() for x in pair) + ")"
+
+
 def literal_map(mapping: dict) -> Column:
     """A constant map column, parsed in one call instead of built entry by entry."""
-    return F.expr("map(" + ", ".join(_literal(x) for pair in mapping.items() for x in pair) + ")")
+    return F.expr(sql_map(mapping))
 
 
 def lookup(mapping: dict, key: Column, default) -> Column:
@@ -66,19 +70,11 @@ def tier_of(score: Column) -> Column:
 def seniority_exception(job_title: Column, roles: Column) -> Column:
     """struct(keyword, adjustment) of the strongest matching title word, else null."""
     words = F.split(F.lower(F.concat_ws("|", F.coalesce(job_title, F.lit("")), roles)), r"[\s/\\\-_|]+")
-    candidates = F.array(*[
-        F.when(
-            F.array_contains(words, keyword),
-            F.struct(
-                F.lit(abs(points)).alias("weight"),
-                F.lit(-position).alias("earlier"),
-                F.lit(keyword).alias("keyword"),
-                F.lit(points).alias("adjustment"),
-            ),
-        )
+    table = F.expr("array(" + ", ".join(
+        f"named_struct('weight', {abs(points)}, 'earlier', {-position}, 'keyword', '{keyword}', 'adjustment', {points})"
         for position, (keyword, points) in enumerate(fv.SENIORITY)
-    ])
-    best = F.array_max(candidates)
+    ) + ")")
+    best = F.array_max(F.filter(table, lambda k: F.array_contains(words, k["keyword"])))
     return F.when(
         best.isNotNull(),
         F.struct(best["keyword"].alias("keyword"), best["adjustment"].alias("adjustment")),

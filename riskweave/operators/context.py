@@ -9,69 +9,59 @@ from riskweave.operators.baselines import FINANCE, raw_zscore
 from riskweave.thresholds import DEFAULTS, Thresholds
 
 
-def _signal(
-    name: str, when: Column, why: Column, confidence: float, points, mutes: tuple = (), followup: bool = False
-) -> Column:
-    """The signal struct where ``when`` holds, else null."""
-    return F.when(F.coalesce(when, F.lit(False)), F.struct(
-        F.lit(name).alias("signal_type"),
-        why.alias("explanation"),
-        F.lit(confidence).alias("confidence"),
-        (points if isinstance(points, Column) else F.lit(points)).alias("score_adjustment"),
-        F.array(*[F.lit(m) for m in mutes]).cast("array<string>").alias("rules_suppressed"),
-        F.lit(followup).alias("requires_followup"),
-    ))
+def _signal(name: str, when: str, why: str, confidence: float, points, mutes: tuple = (), followup: bool = False) -> str:
+    """SQL text: the signal struct where ``when`` holds, else null."""
+    muted = "array(" + ", ".join(f"'{m}'" for m in mutes) + ")"
+    return (
+        f"if(coalesce({when}, false), named_struct('signal_type', '{name}', 'explanation', {why}, "
+        f"'confidence', {confidence}D, 'score_adjustment', {points}, 'rules_suppressed', cast({muted} as array<string>), "
+        f"'requires_followup', {str(followup).lower()}), null)"
+    )
 
 
-def context_signals(as_of: Column, t: Thresholds = DEFAULTS) -> Column:
-    """Ordered array of the signals that apply to an identity."""
-    idle, age = S.days_since_login(as_of), S.account_age(as_of, unknown=365)
-    z = raw_zscore()
-    known = F.col("has_baseline")
-    changes = F.col("role_changes_90d")
-    elevated = changes >= t.temp_elevation_min
+def context_signals(t: Thresholds = DEFAULTS) -> Column:
+    """Ordered array of the signals that apply; needs ``__idle``, ``__age``, ``__z`` and ``__day``."""
+    elevated = f"role_changes_90d >= {t.temp_elevation_min}"
     if t.temp_elevation_max is not None:
-        elevated = elevated & (changes <= t.temp_elevation_max)
-    across = F.col("cross_system_impossible_travel")
+        elevated += f" AND role_changes_90d <= {t.temp_elevation_max}"
     signals = [
         _signal("SABBATICAL_POSSIBLE",
-                idle.between(30, 180) & F.col("is_privileged")
-                & (F.col("employment_status") == "active") & (F.col("owner_id") != ""),
-                F.concat(F.lit("idle for "), idle, F.lit(" days, still active and owned; ask the manager about leave")),
+                "__idle BETWEEN 30 AND 180 AND is_privileged AND employment_status = 'active' AND owner_id <> ''",
+                "concat('idle for ', __idle, ' days, still active and owned; ask the manager about leave')",
                 0.60, -10, followup=True),
-        _signal("TEMP_ELEVATION", elevated,
-                F.lit("a recent role change explains a temporary rise in access"),
+        _signal("TEMP_ELEVATION", elevated, "'a recent role change explains a temporary rise in access'",
                 0.75, -5, ("PRIVILEGE_CREEP", "LATERAL_MOVEMENT_SPIKE")),
         _signal("NEW_HIRE_RAMP",
-                known & (age <= 30) & (F.col("systems_count") > F.col("baseline_avg_unique_resources_30d")),
-                F.concat(F.lit("account opened "), age, F.lit(" days ago, its access is still being set up")),
+                "has_baseline AND __age <= 30 AND systems_count > baseline_avg_unique_resources_30d",
+                "concat('account opened ', __age, ' days ago, its access is still being set up')",
                 0.80, -10, ("OVER_PRIVILEGED",)),
         _signal("BATCH_JOB_PATTERN",
-                known & (F.col("account_type") == "service") & (F.col("off_hours_access_pct") > 0.70)
-                & ~F.col("interactive_login") & (F.col("event_count_30d") > 20) & (z < 2.0),
-                F.lit("steady off-hours automation; compare with the job schedule"),
+                "has_baseline AND account_type = 'service' AND off_hours_access_pct > 0.70D "
+                "AND NOT interactive_login AND event_count_30d > 20 AND __z < 2.0D",
+                "'steady off-hours automation; compare with the job schedule'",
                 0.80, -15, ("SERVICE_ACCT_ABUSE",)),
         _signal("MONTH_END_FINANCE",
-                known & (F.col("department") == FINANCE) & (z > 2.0)
-                & (F.dayofmonth(as_of) >= t.month_end_day),
-                F.concat(F.lit("month-end close, usual surge "),
-                         F.format_number("baseline_month_end_multiplier", 1), F.lit("x")),
+                f"has_baseline AND department = '{FINANCE}' AND __z > 2.0D AND __day >= {t.month_end_day}",
+                "concat('month-end close, usual surge ', format_number(baseline_month_end_multiplier, 1), 'x')",
                 0.90, -20, ("EXCESSIVE_ACCESS",)),
-        _signal("IMPOSSIBLE_TRAVEL_CONFIRMED", F.col("impossible_travel_detected") | across,
-                F.when(across, "distant regions within hours, seen by two systems")
-                .otherwise("distant regions within hours"),
-                0.95, F.when(across, 30).otherwise(25)),
-        _signal("CONTRACTOR_NORM",
-                (F.col("employment_status") == "contractor") & (F.col("off_hours_access_pct") > 0.30),
-                F.lit("contractors often work off-hours; compare with the contract"),
-                0.70, 0),
+        _signal("IMPOSSIBLE_TRAVEL_CONFIRMED", "impossible_travel_detected OR cross_system_impossible_travel",
+                "if(cross_system_impossible_travel, 'distant regions within hours, seen by two systems', "
+                "'distant regions within hours')",
+                0.95, "if(cross_system_impossible_travel, 30, 25)"),
+        _signal("CONTRACTOR_NORM", "employment_status = 'contractor' AND off_hours_access_pct > 0.30D",
+                "'contractors often work off-hours; compare with the contract'", 0.70, 0),
     ]
-    return F.filter(F.array(*signals), lambda s: s.isNotNull())
+    return F.expr("filter(array(" + ", ".join(signals) + "), s -> s IS NOT NULL)")
 
 
 def with_context(identities: DataFrame, as_of: Column, thresholds: Thresholds = DEFAULTS) -> DataFrame:
-    return identities.withColumn("context_signals", context_signals(as_of, thresholds))
+    staged = identities.withColumns({
+        "__idle": S.days_since_login(as_of),
+        "__age": S.account_age(as_of, unknown=365),
+        "__z": raw_zscore(),
+        "__day": F.dayofmonth(as_of),
+    })
+    return staged.withColumn("context_signals", context_signals(thresholds)).drop("__idle", "__age", "__z", "__day")
 
 
-def suppressed_rule_ids() -> Column:
-    return F.array_distinct(F.flatten(F.transform("context_signals", lambda s: s["rules_suppressed"])))
+SUPPRESSED_RULE_IDS = "array_distinct(flatten(transform(context_signals, s -> s.rules_suppressed)))"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskweave import fixed_values as fv
-from riskweave.functions import scalars as S
+from riskweave.functions.scalars import sql_literal, sql_map
+from riskweave.operators.context import SUPPRESSED_RULE_IDS
 from riskweave.sources import dimensions as D
 
 CONTEXT_ACTIONS = {
@@ -14,16 +15,12 @@ CONTEXT_ACTIONS = {
 }
 
 
-def command_for(action: Column) -> Column:
-    """The action's command template, filled with the identity's names."""
-    disable = F.coalesce(
-        F.try_element_at(S.literal_map(fv.DISABLE_COMMANDS), F.col("source_system")),
-        F.lit(fv.DISABLE_COMMAND_OTHER),
-    )
-    other = F.try_element_at(S.literal_map(fv.ACTION_COMMANDS), action)
-    filled = F.when(action == "DISABLE_ACCOUNT", disable).otherwise(other)
+def command_for(action: str) -> str:
+    """SQL text: the action's command template, filled with the identity's names."""
+    disable = f"coalesce(try_element_at({sql_map(fv.DISABLE_COMMANDS)}, source_system), '{fv.DISABLE_COMMAND_OTHER}')"
+    filled = f"if({action} = 'DISABLE_ACCOUNT', {disable}, try_element_at({sql_map(fv.ACTION_COMMANDS)}, {action}))"
     for field in ("username", "email", "source_system"):
-        filled = F.replace(filled, F.lit("{" + field + "}"), F.col(field))
+        filled = f"replace({filled}, '{{{field}}}', {field})"
     return filled
 
 
@@ -34,42 +31,30 @@ def plan_array() -> Column:
     severity class is a step function of the reduction and the score is the
     same for all of an identity's actions, so they never change that order.
     """
-    action_of = S.literal_map(fv.RULE_ACTION)
-    reduction_of = S.literal_map(fv.SEVERITY_REDUCTION)
-
-    def action(kind: Column, why: Column, reduction: Column, place: Column) -> Column:
-        return F.struct(
-            (-reduction).alias("order"), place.cast("int").alias("place"),
-            kind.alias("action_type"), why.alias("description"), reduction.alias("estimated_risk_reduction"),
-        )
-
+    action = lambda kind, why, reduction, place: (
+        f"named_struct('order', -{reduction}, 'place', {place}, 'action_type', {kind}, "
+        f"'description', {why}, 'reduction', {reduction})"
+    )
+    action_of, reduction_of = sql_map(fv.RULE_ACTION), sql_map(fv.SEVERITY_REDUCTION)
     # a rule muted only by its own ``suppressed_by`` still gets its action
-    muted = F.array_distinct(F.flatten(F.transform("context_signals", lambda s: s["rules_suppressed"])))
-    fired = F.filter("rules", lambda r: r["triggered"] & ~F.array_contains(muted, r["rule_id"])
-                     & F.map_contains_key(action_of, r["rule_id"]))
-    from_rules = F.transform(fired, lambda r, i: action(
-        F.try_element_at(action_of, r["rule_id"]), r["evidence"],
-        F.coalesce(F.try_element_at(reduction_of, r["severity"]), F.lit(0)), i))
-    extra = F.array(*[
-        F.when(condition, action(F.lit(kind), F.lit(CONTEXT_ACTIONS[kind][0]), F.lit(CONTEXT_ACTIONS[kind][1]),
-                                 F.lit(1000 + n)))
+    fired = (
+        f"filter(rules, r -> r.triggered AND NOT array_contains({SUPPRESSED_RULE_IDS}, r.rule_id) "
+        f"AND map_contains_key({action_of}, r.rule_id))"
+    )
+    from_rule = action(f"try_element_at({action_of}, r.rule_id)", "r.evidence", f"coalesce(try_element_at({reduction_of}, r.severity), 0)", "i")
+    extra = ", ".join(
+        f"if({condition}, {action(f"'{kind}'", sql_literal(CONTEXT_ACTIONS[kind][0]), CONTEXT_ACTIONS[kind][1], 1000 + n)}, null)"
         for n, (kind, condition) in enumerate([
-            ("VERIFY_WITH_MANAGER", F.exists("context_signals", lambda s: s["requires_followup"])),
-            ("ENABLE_MFA", ~F.col("mfa_enabled")),
-        ])
-    ])
-    ordered = F.array_sort(F.concat(from_rules, F.filter(extra, lambda x: x.isNotNull())))
-    sla = S.literal_map(fv.ACTION_SLA_HOURS)
-    return F.transform(ordered, lambda a, i: F.struct(
-        (i + 1).cast("int").alias("priority"),
-        a["action_type"].alias("action_type"),
-        F.when(F.col("username") != "", F.col("username")).otherwise(F.col("email")).alias("target"),
-        a["description"].alias("human_readable_description"),
-        command_for(a["action_type"]).alias("machine_actionable_command"),
-        a["estimated_risk_reduction"].alias("estimated_risk_reduction"),
-        F.coalesce(F.try_element_at(sla, a["action_type"]), F.lit(24)).alias("expected_resolution_hours"),
-        a["action_type"].isin(fv.ACTIONS_NEEDING_APPROVAL).alias("requires_approval"),
-    ))
+            ("VERIFY_WITH_MANAGER", "exists(context_signals, s -> s.requires_followup)"), ("ENABLE_MFA", "NOT mfa_enabled")])
+    )
+    ordered = f"array_sort(concat(transform({fired}, (r, i) -> {from_rule}), filter(array({extra}), x -> x IS NOT NULL)))"
+    approval = ", ".join(f"'{a}'" for a in fv.ACTIONS_NEEDING_APPROVAL)
+    return F.expr(f"""transform({ordered}, (a, i) -> named_struct(
+      'priority', i + 1, 'action_type', a.action_type, 'target', if(username <> '', username, email),
+      'human_readable_description', a.description, 'machine_actionable_command', {command_for('a.action_type')},
+      'estimated_risk_reduction', a.reduction,
+      'expected_resolution_hours', coalesce(try_element_at({sql_map(fv.ACTION_SLA_HOURS)}, a.action_type), 24),
+      'requires_approval', a.action_type IN ({approval})))""")
 
 
 def with_remediation(scored: DataFrame) -> DataFrame:

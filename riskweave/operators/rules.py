@@ -1,4 +1,4 @@
-"""The access-risk rules as Column expressions in one ordered registry."""
+"""The access-risk rules as SQL expressions in one ordered registry."""
 
 from __future__ import annotations
 
@@ -10,58 +10,51 @@ from riskweave import fixed_values as fv
 from riskweave.functions import scalars as S
 from riskweave.thresholds import DEFAULTS, Thresholds
 
-RULE_STRUCT = "struct<rule_id:string,severity:string,triggered:boolean,evidence:string,suppressed_by:string>"
+HOLDS_ADMIN_PERMISSION = "exists(permissions, p -> contains(lower(p), 'admin'))"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One rule: a boolean condition and its evidence over identity columns."""
+    """One rule over identity columns: SQL text for its condition and its evidence.
+
+    ``__idle`` (days since login), ``__utilization``, ``__anomaly_rate`` and
+    ``sod_conflicts`` are on the row too. Severity is a name, or SQL text after ``=``.
+    """
 
     rule_id: str
-    condition: Column
-    evidence: Column
-    severity: Column | None = None
-
-    def result(self) -> Column:
-        fixed = dict((r, s) for r, s, _ in fv.RULES).get(self.rule_id, "MEDIUM")
-        fired = F.coalesce(self.condition, F.lit(False))
-        return F.struct(
-            F.lit(self.rule_id).alias("rule_id"),
-            (F.lit(fixed) if self.severity is None else self.severity).alias("severity"),
-            fired.alias("triggered"),
-            F.when(fired, self.evidence).otherwise(F.lit("")).alias("evidence"),
-            F.lit(None).cast("string").alias("suppressed_by"),
+    condition: str
+    evidence: str
+    severity: str = "MEDIUM"
+
+    def result(self) -> str:
+        fired = f"coalesce({self.condition}, false)"
+        severity = self.severity[1:] if self.severity.startswith("=") else f"'{self.severity}'"
+        return (
+            f"named_struct('rule_id', '{self.rule_id}', 'severity', {severity}, 'triggered', {fired}, "
+            f"'evidence', if({fired}, {self.evidence}, ''), 'suppressed_by', cast(null as string))"
         )
 
 
-def _percent(c: Column, digits: int = 0) -> Column:
-    return F.concat(F.format_number(c * 100, digits), F.lit("%"))
-
-
 def sod_array(conflicts: DataFrame | None = None) -> Column:
     """Conflict pairs as one array column: fixed values, or a small dimension read once."""
-    fields = ["position", "conflict_id", "role_a", "role_b", "severity", "compliance"]
     if conflicts is not None:
-        rank = F.create_map(*[F.lit(x) for p in fv.SEVERITY_RANK.items() for x in p])
+        severity_rank = S.literal_map(fv.SEVERITY_RANK)
         item = F.struct(
-            (-F.coalesce(F.try_element_at(rank, F.col("severity")), F.lit(1))).alias("order"),
-            *[F.col(f) for f in fields],
+            (-F.coalesce(F.try_element_at(severity_rank, F.col("severity")), F.lit(1))).alias("order"),
+            "position", "conflict_id", "role_a", "role_b", "severity", "compliance",
         )
         return conflicts.agg(F.array_sort(F.collect_list(item))).scalar()
     ordered = sorted(fv.SOD_CONFLICTS, key=lambda c: (-fv.SEVERITY_RANK[c[5]], c[0]))
-    return F.array(*[
-        F.struct(
-            F.lit(-fv.SEVERITY_RANK[severity]).alias("order"), F.lit(position).alias("position"),
-            F.lit(conflict_id).alias("conflict_id"), F.lit(a).alias("role_a"), F.lit(b).alias("role_b"),
-            F.lit(severity).alias("severity"), F.lit(compliance).alias("compliance"),
-        )
+    return F.expr("array(" + ", ".join(
+        f"named_struct('order', {-fv.SEVERITY_RANK[severity]}, 'position', {position}, 'conflict_id', '{conflict_id}', "
+        f"'role_a', '{a}', 'role_b', '{b}', 'severity', '{severity}', 'compliance', '{compliance}')"
         for position, conflict_id, a, b, _, severity, compliance in ordered
-    ])
+    ) + ")")
 
 
 def sod_matches(pairs: Column | None = None) -> Column:
     """Conflict pairs an identity holds both sides of, worst first; ``pairs`` as from ``sod_array``."""
-    held = F.transform(F.array_union("roles", "permissions"), F.lower)
+    held = F.expr("transform(array_union(roles, permissions), h -> lower(h))")
     return F.filter(
         sod_array() if pairs is None else pairs,
         lambda c: F.array_contains(held, F.lower(c["role_a"])) & F.array_contains(held, F.lower(c["role_b"])),
@@ -69,56 +62,55 @@ def sod_matches(pairs: Column | None = None) -> Column:
 
 
 def holds_admin_permission() -> Column:
-    return F.exists("permissions", lambda p: F.lower(p).contains("admin"))
-
-
-def standard_rules(as_of: Column, t: Thresholds = DEFAULTS) -> list[Rule]:
-    """The 13 rules in output order. ``sod_conflicts`` must be on the row (see ``with_rules``)."""
-    idle = S.days_since_login(as_of)
-    utilization = S.permission_utilization()
-    anomaly_rate = S.ratio(F.col("anomaly_event_count"), F.col("event_count_30d"))
-    ended = F.lower("employment_status") == "terminated"
-    daily_peers = F.col("baseline_avg_daily_unique_resources")
-    peak = F.col("max_resources_in_single_day")
-    sod = F.col("sod_conflicts")
-    text = F.concat
-    return [
-        Rule("STALE_PRIVILEGED", (idle > t.stale_days) & F.col("is_privileged"),
-             text(F.lit("privileged, last login "), idle, F.lit(" days ago"))),
-        Rule("ORPHANED_ACCOUNT", (F.col("owner_id") == "") | ended,
-             F.when(F.col("owner_id") == "", "nobody owns the account").otherwise("owner has left, account is live")),
-        Rule("OVER_PRIVILEGED", utilization < t.utilization_floor,
-             text(F.lit("uses "), _percent(utilization, 1), F.lit(" of granted permissions"))),
-        Rule("SHADOW_ADMIN", (F.lower("account_type") != "admin") & holds_admin_permission(),
-             F.lit("admin permission on an account that is not an admin account")),
-        Rule("PRIVILEGE_CREEP", F.col("role_changes_90d") >= t.creep_changes,
-             text(F.col("role_changes_90d").cast("string"), F.lit(" role changes within 90 days"))),
-        Rule("SERVICE_ACCT_ABUSE", (F.lower("account_type") == "service") & F.col("interactive_login"),
-             F.lit("service account that can log in interactively")),
-        Rule("CREDENTIAL_SPRAWL", (F.col("systems_count") >= t.sprawl_systems) & ~F.col("sso_linked"),
-             text(F.col("systems_count").cast("string"), F.lit(" systems and no single sign-on"))),
-        Rule("IMPOSSIBLE_TRAVEL", F.col("impossible_travel_detected"),
-             F.lit("events flagged as impossible travel")),
-        Rule("CROSS_SYSTEM_TRAVEL", F.col("cross_system_impossible_travel"),
-             F.lit("two systems used from distant regions within hours")),
-        Rule("EXCESSIVE_ACCESS",
-             F.col("has_baseline")
-             & (F.col("unique_resources_accessed") > F.col("baseline_p95_events_single_session"))
-             & (anomaly_rate > t.excessive_anomaly_rate),
-             text(F.col("unique_resources_accessed").cast("string"), F.lit(" resources in 30 days, above the peer p95"))),
-        Rule("LATERAL_MOVEMENT_SPIKE",
-             (peak >= t.lateral_resources) & F.col("has_baseline") & (daily_peers > 0)
-             & (peak >= daily_peers * t.lateral_multiplier),
-             text(peak.cast("string"), F.lit(" resources in one day, peers average "), F.format_number(daily_peers, 1))),
-        Rule("BULK_DOWNLOAD",
-             F.col("bulk_download_detected") & (F.col("off_hours_event_pct") > t.bulk_off_hours_pct),
-             text(F.lit("bulk download, off-hours share "), _percent(F.col("off_hours_event_pct")))),
-        Rule("SOD_VIOLATION", F.size(sod) > 0,
-             F.array_join(F.transform(sod, lambda c: F.concat(
-                 c["conflict_id"], F.lit(" "), c["role_a"], F.lit(" + "), c["role_b"],
-                 F.lit(" ("), c["compliance"], F.lit(")"))), "; "),
-             severity=F.coalesce(F.get(sod, F.lit(0))["severity"], F.lit("CRITICAL"))),
-    ]
+    return F.expr(HOLDS_ADMIN_PERMISSION)
+
+
+def standard_rules(t: Thresholds = DEFAULTS) -> list[Rule]:
+    """The 13 rules in output order."""
+    severity = {r: s for r, s, _ in fv.RULES}
+    severity["SOD_VIOLATION"] = "=coalesce(get(sod_conflicts, 0).severity, 'CRITICAL')"
+    percent = lambda value, digits: f"concat(format_number({value} * 100, {digits}), '%')"
+    peers = "baseline_avg_daily_unique_resources"
+    texts = {
+        "STALE_PRIVILEGED": (
+            f"__idle > {t.stale_days} AND is_privileged",
+            "concat('privileged, last login ', __idle, ' days ago')"),
+        "ORPHANED_ACCOUNT": (
+            "owner_id = '' OR lower(employment_status) = 'terminated'",
+            "if(owner_id = '', 'nobody owns the account', 'owner has left, account is live')"),
+        "OVER_PRIVILEGED": (
+            f"__utilization < {t.utilization_floor}D",
+            f"concat('uses ', {percent('__utilization', 1)}, ' of granted permissions')"),
+        "SHADOW_ADMIN": (
+            f"lower(account_type) <> 'admin' AND {HOLDS_ADMIN_PERMISSION}",
+            "'admin permission on an account that is not an admin account'"),
+        "PRIVILEGE_CREEP": (
+            f"role_changes_90d >= {t.creep_changes}", "concat(role_changes_90d, ' role changes within 90 days')"),
+        "SERVICE_ACCT_ABUSE": (
+            "lower(account_type) = 'service' AND interactive_login", "'service account that can log in interactively'"),
+        "CREDENTIAL_SPRAWL": (
+            f"systems_count >= {t.sprawl_systems} AND NOT sso_linked",
+            "concat(systems_count, ' systems and no single sign-on')"),
+        "IMPOSSIBLE_TRAVEL": ("impossible_travel_detected", "'events flagged as impossible travel'"),
+        "CROSS_SYSTEM_TRAVEL": (
+            "cross_system_impossible_travel", "'two systems used from distant regions within hours'"),
+        "EXCESSIVE_ACCESS": (
+            "has_baseline AND unique_resources_accessed > baseline_p95_events_single_session "
+            f"AND __anomaly_rate > {t.excessive_anomaly_rate}D",
+            "concat(unique_resources_accessed, ' resources in 30 days, above the peer p95')"),
+        "LATERAL_MOVEMENT_SPIKE": (
+            f"max_resources_in_single_day >= {t.lateral_resources} AND has_baseline AND {peers} > 0 "
+            f"AND max_resources_in_single_day >= {peers} * {t.lateral_multiplier}D",
+            f"concat(max_resources_in_single_day, ' resources in one day, peers average ', format_number({peers}, 1))"),
+        "BULK_DOWNLOAD": (
+            f"bulk_download_detected AND off_hours_event_pct > {t.bulk_off_hours_pct}D",
+            f"concat('bulk download, off-hours share ', {percent('off_hours_event_pct', 0)})"),
+        "SOD_VIOLATION": (
+            "size(sod_conflicts) > 0",
+            "array_join(transform(sod_conflicts, c -> concat(c.conflict_id, ' ', c.role_a, ' + ', c.role_b, "
+            "' (', c.compliance, ')')), '; ')"),
+    }
+    return [Rule(r, *texts[r], severity[r]) for r in fv.RULE_IDS]
 
 
 def with_rules(
@@ -129,24 +121,27 @@ def with_rules(
     conflicts: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``rules``: one result per rule, in registry order. No shuffle."""
-    registry = standard_rules(as_of, thresholds) + list(extra or [])
-    # the pairs are a column first: a scalar subquery may not sit inside a lambda
-    paired = identities.withColumn("__pairs", sod_array(conflicts)).withColumn(
-        "sod_conflicts", sod_matches(F.col("__pairs"))
-    )
-    return paired.withColumn("rules", F.array(*[r.result() for r in registry])).drop("__pairs")
+    registry = standard_rules(thresholds) + list(extra or [])
+    # helpers are columns first: a scalar subquery may not sit inside a lambda
+    staged = identities.withColumns({
+        "__pairs": sod_array(conflicts),
+        "__idle": S.days_since_login(as_of),
+        "__utilization": S.permission_utilization(),
+        "__anomaly_rate": S.ratio(F.col("anomaly_event_count"), F.col("event_count_30d")),
+    }).withColumn("sod_conflicts", sod_matches(F.col("__pairs")))
+    results = F.expr("array(" + ", ".join(r.result() for r in registry) + ")")
+    return staged.withColumn("rules", results).drop("__pairs", "__idle", "__utilization", "__anomaly_rate")
 
 
 def triggered(rules: Column) -> Column:
     return F.filter(rules, lambda r: r["triggered"])
 
 
-def rule_flags(rules: Column = None) -> dict[str, Column]:
+def rule_flags() -> dict[str, Column]:
     """rule id to 0/1, counting a rule only when it fired and nothing suppresses it."""
-    active = F.col("contributing_factors")
-    return {r: F.array_contains(active, r).cast("int") for r in fv.RULE_IDS}
+    return {r: F.expr(f"cast(array_contains(contributing_factors, '{r}') as int)") for r in fv.RULE_IDS}
 
 
-def rules_long(with_rules_df: DataFrame) -> DataFrame:
+def rules_long(ruled: DataFrame) -> DataFrame:
     """One row per (identity, triggered rule)."""
-    return with_rules_df.select("user_id", F.explode(triggered(F.col("rules"))).alias("r")).select("user_id", "r.*")
+    return ruled.select("user_id", F.explode(triggered(F.col("rules"))).alias("r")).select("user_id", "r.*")

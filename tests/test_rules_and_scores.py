@@ -60,7 +60,7 @@ def test_sod_severity_follows_the_worst_pair_and_dimension_form_agrees(spark, id
 
 
 def test_extra_rule(identities):
-    extra = rules.Rule("MANY_ROLES", F.size("roles") > 2, F.lit("many roles"))
+    extra = rules.Rule("MANY_ROLES", "size(roles) > 2", "'many roles'")
     assert fired(identities(a=dict(roles=["x", "y", "z"])), extra=[extra]) == {"a": ["MANY_ROLES"]}
 
 
