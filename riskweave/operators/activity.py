@@ -33,16 +33,14 @@ def off_hours_flag(events: DataFrame) -> Column:
     return F.hour("ts") <= 5
 
 
-def daily_cells(events: DataFrame, thresholds: Thresholds, event_as_of=None) -> DataFrame:
-    """One row per (user, day, resource): the only pass over the raw log.
+SUMS = ["n30", "n90", "failed", "off_hours", "anomalies", "travel", "downloads"]
 
-    The day and resource in the key spread a busy user's rows over the cluster,
-    and map-side partial aggregation shrinks them before the shuffle.
-    """
-    anchor = event_anchor(events, event_as_of)
+
+def cell_measures(events: DataFrame, thresholds: Thresholds, anchor: Column) -> list[Column]:
+    """What a cell of events adds to the windowed features of its user."""
     recent = F.col("ts") >= days_before(anchor, thresholds.short_window_days)
     longer = F.col("ts") >= days_before(anchor, thresholds.long_window_days)
-    return events.groupBy("user_id", F.to_date("ts").alias("day"), "resource").agg(
+    return [
         F.count_if(recent).alias("n30"),
         F.count_if(longer).alias("n90"),
         F.count_if(longer & ~F.coalesce("success", F.lit(False))).alias("failed"),
@@ -52,17 +50,52 @@ def daily_cells(events: DataFrame, thresholds: Thresholds, event_as_of=None) ->
         F.count_if(longer & (F.lower("action") == "download")).alias("downloads"),
         F.min(F.when(longer, F.unix_micros("ts"))).alias("first_us"),
         F.max(F.when(longer, F.unix_micros("ts"))).alias("last_us"),
+    ]
+
+
+def daily_cells(events: DataFrame, thresholds: Thresholds, event_as_of=None) -> DataFrame:
+    """One row per (user, day, resource) of the raw log.
+
+    The day and resource in the key spread a busy user's rows over the cluster,
+    and map-side partial aggregation shrinks them before the shuffle.
+    """
+    measures = cell_measures(events, thresholds, event_anchor(events, event_as_of))
+    return events.groupBy("user_id", F.to_date("ts").alias("day"), "resource").agg(*measures)
+
+
+def hourly_cells(events: DataFrame, thresholds: Thresholds, event_as_of=None) -> DataFrame:
+    """One row per (user, day, hour, resource), and per department and title where the log has them.
+
+    Holds what activity features, job titles and baselines all need, so a scan
+    reads and shuffles the raw log once for the three of them.
+    """
+    anchor = event_anchor(events, event_as_of)
+    year = F.col("ts") >= days_before(anchor, thresholds.baseline_window_days)
+    own = [c for c in ("department", "job_title") if c in events.columns]
+    return events.groupBy("user_id", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "resource", *own).agg(
+        *cell_measures(events, thresholds, anchor),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(year).alias("n_year"),
+        F.count_if(year & (F.lower("action") == "download")).alias("downloads_year"),
     )
 
 
+def merged_daily(cells: DataFrame) -> DataFrame:
+    """Hourly cells merged to (user, day, resource)."""
+    return cells.groupBy("user_id", "day", "resource").agg(
+        *[F.sum(c).alias(c) for c in SUMS], F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+
+
 def windowed_features(events: DataFrame, thresholds: Thresholds = DEFAULTS, event_as_of=None) -> DataFrame:
-    """All features but travel across systems and the job title; one row per user.
+    """All features but travel across systems and the job title; one row per user."""
+    return features_from_cells(daily_cells(events, thresholds, event_as_of), thresholds)
+
 
-    Cells are rolled up by (user, day) and by (user, resource) in one grouping-set
+def features_from_cells(daily: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
+    """Cells are rolled up by (user, day) and by (user, resource) in one grouping-set
     step, so distinct counts need neither a second scan nor a join.
     """
-    sums = ["n30", "n90", "failed", "off_hours", "anomalies", "travel", "downloads"]
-    cells = daily_cells(events, thresholds, event_as_of).withColumn("named", F.col("resource").isNotNull())
+    cells = daily.withColumn("named", F.col("resource").isNotNull())
     rolled = cells.groupingSets(
         [[F.col("user_id"), F.col("day")], [F.col("user_id"), F.col("resource")]],
         F.col("user_id"), F.col("day"), F.col("resource"),
@@ -70,7 +103,7 @@ def windowed_features(events: DataFrame, thresholds: Thresholds = DEFAULTS, even
         F.grouping("day").alias("by_resource"),
         F.count_if("named").alias("cell_resources"),
         F.count_if(F.col("named") & (F.col("n90") > 0)).alias("cell_resources_90"),
-        *[F.sum(c).alias(c) for c in sums],
+        *[F.sum(c).alias(c) for c in SUMS],
         F.min("first_us").alias("first_us"),
         F.max("last_us").alias("last_us"),
     )
@@ -105,15 +138,29 @@ def usual_job_title(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.mode("job_title", deterministic=True).alias("event_job_title"))
 
 
+def title_from_cells(cells: DataFrame) -> DataFrame:
+    """The same as ``usual_job_title``, from hourly cells."""
+    counts = cells.where("job_title is not null").groupBy("user_id", "job_title").agg(F.sum("n").alias("n"))
+    return counts.groupBy("user_id").agg(
+        F.min_by("job_title", F.struct(-F.col("n"), "job_title")).alias("event_job_title"))
+
+
 def user_activity(
-    events: DataFrame, thresholds: Thresholds = DEFAULTS, event_as_of=None, regions: dict | None = None
+    events: DataFrame,
+    thresholds: Thresholds = DEFAULTS,
+    event_as_of=None,
+    regions: dict | None = None,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
-    """Full activity features, one row per user seen in the log."""
-    features = windowed_features(events, thresholds, event_as_of)
-    travel = cross_system_travel(events, thresholds, regions)
-    out = features.join(travel, "user_id", "left")
+    """Full activity features, one row per user seen in the log; from ``hourly_cells`` if given."""
+    if cells is None:
+        features = windowed_features(events, thresholds, event_as_of)
+    else:
+        features = features_from_cells(merged_daily(cells), thresholds)
+    out = features.join(cross_system_travel(events, thresholds, regions), "user_id", "left")
     if "job_title" in events.columns:
-        out = out.join(usual_job_title(events), "user_id", "left")
+        titles = usual_job_title(events) if cells is None else title_from_cells(cells)
+        out = out.join(titles, "user_id", "left")
     return out.fillna(False, subset=["cross_system_impossible_travel"])
 
 

@@ -48,10 +48,7 @@ def baseline_cells(
     )
     if only is not None:
         cells = cells.join(only, "user_id", "left_semi")
-    if users is None:
-        return cells.where(F.col("department").isNotNull() & F.col("job_title").isNotNull())
-    named = cells.join(users.select("user_id", *KEY), "user_id", "left")
-    return named.fillna("", subset=KEY)
+    return _with_key(cells, users)
 
 
 def session_stats(cells: DataFrame) -> DataFrame:
@@ -143,6 +140,26 @@ def build_baselines(
 ) -> DataFrame:
     """One profile row per (department, job_title)."""
     cells = shared(baseline_cells(events, users, thresholds, event_as_of, only))
+    return profiles_from_cells(cells, thresholds, computed_at)
+
+
+def year_cells(cells: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Baseline cells from the hourly cells of a scan."""
+    own_key = KEY if users is None else []
+    year = cells.where("n_year > 0").select(
+        *own_key, "user_id", "day", "hour", "resource", F.col("n_year").alias("n"), "n30",
+        F.col("downloads_year").alias("downloads"))
+    return _with_key(year, users)
+
+
+def _with_key(cells: DataFrame, users: DataFrame | None) -> DataFrame:
+    if users is None:
+        return cells.where(F.col("department").isNotNull() & F.col("job_title").isNotNull())
+    return cells.join(users.select("user_id", *KEY), "user_id", "left").fillna("", subset=KEY)
+
+
+def profiles_from_cells(cells: DataFrame, thresholds: Thresholds = DEFAULTS, computed_at=None) -> DataFrame:
+    """One profile row per (department, job_title) from baseline cells."""
     profile = session_stats(cells).join(user_stats(cells), KEY)
     for part in (
         resource_stats(cells),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweave.operators import activity, baselines as B, context, features, remediation, rules, scoring
+from riskweave.session import shared
 from riskweave.thresholds import DEFAULTS, Thresholds
 
 SCORED_COLUMNS = [
@@ -24,13 +25,16 @@ def profiled_identities(
     event_as_of=None,
     baselines: DataFrame | None = None,
     baseline_mode: str = "job_title",
-    events_have_attributes: bool | None = None,
 ) -> DataFrame:
     """Identities with activity, profile (``baseline_*``) and peer columns."""
-    own = "department" in events.columns if events_have_attributes is None else events_have_attributes
+    # the raw log is aggregated once; its cells and the per-user features have several readers
+    cells = shared(activity.hourly_cells(events, thresholds, event_as_of))
     if baselines is None:
-        baselines = B.build_baselines(events, None if own else users, thresholds, event_as_of)
-    people = activity.identities(users, activity.user_activity(events, thresholds, event_as_of))
+        own_key = {"department", "job_title"} <= set(events.columns)
+        yearly = shared(B.year_cells(cells, None if own_key else users))
+        baselines = B.profiles_from_cells(yearly, thresholds)
+    active = shared(activity.user_activity(events, thresholds, event_as_of, cells=cells))
+    people = activity.identities(users, active)
     people = B.attach_baseline(people, baselines, baseline_mode)
     return B.attach_peers(people, B.peer_stats(people))
 

@@ -175,3 +175,14 @@ def test_baseline_modes_and_zscores(spark, identities):
     at = lambda d: F.lit(d).cast("timestamp")
     z = lambda d: {r.user_id: r.z for r in B.attach_baseline(people, profiles).select("user_id", B.behavior_zscore(at(d)).alias("z")).collect()}
     assert z("2026-06-13")["a"] == 2.0 and z("2026-06-28")["a"] == 1.0 and z("2026-06-13")["b"] == 0.0
+
+
+def test_hourly_cells_give_the_same_features_titles_and_profiles(spark):
+    rng = random.Random(5)
+    rows = [(*r[:10], rng.choice(["IT", "Finance"]), rng.choice("ABC")) for r in random_events(11, 15, 600, 60 * 24 * 500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cells = activity.hourly_cells(df, Thresholds())
+    text = lambda out: sorted(map(str, out.select(*sorted(out.columns)).collect()))
+    assert text(activity.user_activity(df)) == text(activity.user_activity(df, cells=cells))
+    rounded = lambda out: text(out.select(*B.KEY, "typical_resources", "typical_access_hours", *[F.round(c, 9).alias(c) for c in B.PROFILE_NUMBERS]))
+    assert rounded(B.build_baselines(df)) == rounded(B.profiles_from_cells(B.year_cells(cells)))
