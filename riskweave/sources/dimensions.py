@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskweave import fixed_values as fv
@@ -17,10 +18,12 @@ def sod_conflicts(spark: SparkSession) -> DataFrame:
 
 def read_sod_conflicts(spark: SparkSession, path: str) -> DataFrame:
     """Conflict pairs from JSON, in file order; an absent path gives an empty table."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        raw = spark.read.schema(SOD_JSON).json(path, multiLine=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], SOD_COLUMNS)
-    raw = spark.read.schema(SOD_JSON).json(path, multiLine=True)
     return raw.select(F.posexplode("conflicts").alias("position", "c")).select(
         (F.col("position") + 1).alias("position"), "c.*"
     )
