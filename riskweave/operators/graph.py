@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweave.functions.salting import salted_left_join
 from riskweave.operators.rules import holds_admin_permission
+from riskweave.session import shared
 
 SYSTEM_POINTS, RESOURCE_POINTS = 5, 15
 
@@ -47,19 +48,29 @@ def _role_sets(users: DataFrame) -> DataFrame:
     return users.withColumn("role_set", F.array_sort(F.array_distinct("roles")))
 
 
-def role_set_reach(users: DataFrame) -> DataFrame:
-    """Per distinct role set: the systems and resources reached over role, system, resource.
+def access_kinds(users: DataFrame) -> DataFrame:
+    """(role_set, system, permission_set, n): the distinct kinds of access with their user counts.
 
-    Users collapse to role sets first, so the three fixed hops run on distinct
-    (role, system) and (system, resource) pairs and never on user rows.
+    Expects one inventory row per user; users without roles reach nothing and are left out.
     """
     keyed = _role_sets(users).where(F.size("role_set") > 0)
-    role_sets = keyed.select("role_set").distinct()
+    return keyed.groupBy(
+        "role_set", F.col("source_system").alias("system"),
+        F.array_sort(F.array_distinct("permissions")).alias("permission_set"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+def role_set_reach(kinds: DataFrame) -> DataFrame:
+    """Per distinct role set: the systems and resources reached over role, system, resource.
+
+    The three fixed hops run on distinct (role, system) and (system, resource)
+    pairs of the access kinds and never on user rows.
+    """
+    role_sets = kinds.select("role_set").distinct()
     set_roles = role_sets.select("role_set", F.explode("role_set").alias("role"))
-    role_systems = keyed.groupBy("role_set", "source_system").count().select(
-        F.explode("role_set").alias("role"), F.col("source_system").alias("system")).distinct()
-    system_resources = keyed.select(
-        F.col("source_system").alias("system"), F.explode("permissions").alias("resource")).distinct()
+    role_systems = kinds.select("role_set", "system").distinct().select(
+        F.explode("role_set").alias("role"), "system").distinct()
+    system_resources = kinds.select("system", F.explode("permission_set").alias("resource")).distinct()
     set_systems = set_roles.join(role_systems, "role").select("role_set", "system").distinct()
     set_resources = set_systems.join(system_resources, "system").select("role_set", "resource").distinct()
     systems = set_systems.groupBy("role_set").agg(F.array_sort(F.collect_set("system")).alias("systems_at_risk"))
@@ -67,13 +78,13 @@ def role_set_reach(users: DataFrame) -> DataFrame:
     return systems.join(resources, "role_set", "left")
 
 
-def downstream_counts(reach: DataFrame, users: DataFrame) -> DataFrame:
+def downstream_counts(reach: DataFrame, kinds: DataFrame) -> DataFrame:
     """Per system set: how many users reach at least one of its systems.
 
     Works on distinct system sets with their user counts, so what is paired are
     sets of source systems and never users.
     """
-    sizes = _role_sets(users).groupBy("role_set").agg(F.count_distinct("user_id").alias("n"))
+    sizes = kinds.groupBy("role_set").agg(F.sum("n").alias("n"))
     sets = reach.join(sizes, "role_set").groupBy("systems_at_risk").agg(F.sum("n").alias("n"))
     flat = sets.select("systems_at_risk", "n", F.explode("systems_at_risk").alias("system"))
     other = flat.select(F.col("systems_at_risk").alias("other"), F.col("n").alias("other_n"), "system")
@@ -83,8 +94,9 @@ def downstream_counts(reach: DataFrame, users: DataFrame) -> DataFrame:
 
 def blast_radius(users: DataFrame) -> DataFrame:
     """Reach, downstream user count and impact for every identity in one job."""
-    reach = role_set_reach(users)
-    reach = reach.join(downstream_counts(reach, users), "systems_at_risk", "left")
+    kinds = shared(access_kinds(users))
+    reach = shared(role_set_reach(kinds))
+    reach = reach.join(downstream_counts(reach, kinds), "systems_at_risk", "left")
     out = salted_left_join(_role_sets(users), reach, ["role_set"], F.col("user_id"))
     none = F.array().cast("array<string>")
     systems, resources = F.coalesce("systems_at_risk", none), F.coalesce("sensitive_resources", none)
@@ -104,7 +116,7 @@ def blast_radius(users: DataFrame) -> DataFrame:
 
 def downstream_users(users: DataFrame, identity_id: str) -> DataFrame:
     """The other users who reach any system one identity reaches (a linear filter)."""
-    reach = role_set_reach(users).select("role_set", "systems_at_risk")
+    reach = role_set_reach(shared(access_kinds(users))).select("role_set", "systems_at_risk")
     reached = salted_left_join(_role_sets(users), reach, ["role_set"], F.col("user_id"))
     target = reached.where(F.col("user_id") == identity_id).agg(F.first("systems_at_risk")).scalar()
     return reached.where((F.col("user_id") != identity_id) & F.arrays_overlap("systems_at_risk", target)).select("user_id")
