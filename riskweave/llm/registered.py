@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, quality_classifier, quality_rules, simhash
+from . import decontamination, html_text, language_id, packing, quality_classifier, quality_rules, sharding, simhash, token_shards, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
         "op2_language_id": language_id.op2_language_id,
+        "op3_sharding": sharding.op3_sharding,
         "op4_simhash": simhash.op4_simhash,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_token_shards": token_shards.op7_token_shards,
+        "op8_warc": warc.op8_warc,
+        "op9_html_extraction": html_text.op9_html_extraction,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_sharding": sharding.sql(), "op8_warc": warc.SQL}

@@ -125,7 +125,7 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 WORDS = 5
 SIMILARITY = 0.8
 #: Smallest shingle hashes of a document under which it is looked up.
-KEYS = 8
+KEYS = 16
 #: Pairs at a similarity of 0.8 differ in about 10 of 64 bits; beyond this they are not compared in full.
 FAR_BITS = 24
 
