@@ -22,6 +22,8 @@ from .common import table
 BUCKETS = 10_000
 #: At most so many trusted documents make the target, those with the smallest hashed ids.
 TARGET_DOCUMENTS = 20_000
+#: Added to observed and expected counts of a bucket.
+PRIOR = 30.0
 MIN_SCORE = -0.04
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -80,7 +82,8 @@ def trusted_ids(labels: DataFrame, most: int = TARGET_DOCUMENTS) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """log(target share / raw share) of each bucket, both smoothed by one.
+    """log(target count / count expected from the raw share) of each bucket, both with
+    ``PRIOR`` added, so that a bucket seen rarely says little.
 
     All documents are counted; what reaches the driver is one row per bucket.
     ``trusted`` is bounded by ``trusted_ids`` and therefore broadcast.
@@ -92,9 +95,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> l
     raw, target = sum(c[0] for c in counts.values()), sum(c[1] for c in counts.values())
     if not target:
         return [0.0] * buckets
-    share = {g: ((t + 1) / (target + buckets)) / ((r + 1) / (raw + buckets)) for g, (r, t) in counts.items()}
-    unseen = (raw + buckets) / (target + buckets)
-    return [math.log(share.get(g, unseen)) for g in range(buckets)]
+    ratio = {g: math.log((t + PRIOR) / (r * target / raw + PRIOR)) for g, (r, t) in counts.items()}
+    return [ratio.get(g, 0.0) for g in range(buckets)]
 
 
 def judged(docs: DataFrame, ratios: list[float], min_score: float = MIN_SCORE, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:

@@ -204,8 +204,11 @@ def neighbours(sketch: DataFrame, similarity: float, far_bits: int = FAR_BITS) -
 
 
 def similar_links(pairs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have at least this Jaccard similarity."""
-    sets = sketch.select("doc_id", "shingles")
+    """The pairs whose shingle sets have at least this Jaccard similarity. ``pairs`` is read
+    twice: pass a written table. Of the sets only those in a pair are moved again."""
+    in_pairs = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = sketch.select("doc_id", "shingles").join(in_pairs, "doc_id").dropDuplicates(["doc_id"])
+    sets = written(sets, "sets")
     both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +230,9 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similarity: float = SIMI
     sketch = written(sketches(docs, size), "sketches")
     first = sketch.groupBy("copy").agg(F.min("doc_id").alias("first"))
     first = written(first, "copies")
-    alone = sketch.join(first.select("copy", F.col("first").alias("doc_id")), ["copy", "doc_id"]).dropDuplicates(["copy"])
-    alone = written(alone, "distinct-sketches")
-    links = similar_links(neighbours(alone, similarity), alone, similarity)
+    alone = sketch.drop("shingles").join(first.select("copy", F.col("first").alias("doc_id")), ["copy", "doc_id"]).dropDuplicates(["copy"])
+    pairs = written(neighbours(written(alone, "distinct-sketches"), similarity), "pairs")
+    links = similar_links(pairs, sketch, similarity)
     groups = connected_components(links)
     named = first.join(groups, F.col("first") == F.col("node"), "left").select("copy", F.coalesce("component", "first").alias("component_id"))
     return sketch.select("doc_id", "copy").distinct().join(written(named, "named"), "copy")
