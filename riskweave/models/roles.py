@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -53,20 +53,14 @@ def _sparse(width, positions, values):
     return Vectors.sparse(width, positions, values)
 
 
-def access_vectors(matrix: DataFrame, max_width: int = 1 << 16) -> DataFrame:
+def access_vectors(matrix: DataFrame, width: int = 1 << 16) -> DataFrame:
     """(user_id, width, at, value, raw): one sparse vector per user, also as its two arrays.
 
-    Up to ``max_width`` features get a position each, in name order; a wider
-    vocabulary is hashed to that width, so neither the driver nor a cluster
-    centre ever holds more.
+    A feature's position is its hash modulo ``width``, whatever the size of the
+    vocabulary, so neither the driver nor a cluster centre ever holds more; features
+    that meet at a position add up.
     """
-    if matrix.select("feature").distinct().limit(max_width + 1).count() <= max_width:
-        indexer = StringIndexer(inputCol="feature", outputCol="i", stringOrderType="alphabetAsc").fit(matrix)
-        width = len(indexer.labels)
-        placed = indexer.transform(matrix).withColumn("i", F.col("i").cast("int"))
-    else:
-        width = max_width
-        placed = matrix.withColumn("i", F.pmod(F.xxhash64("feature"), F.lit(width)).cast("int"))
+    placed = matrix.withColumn("i", F.pmod(F.xxhash64("feature"), F.lit(width)).cast("int"))
     entries = placed.groupBy("user_id", "i").agg(F.sum("share").alias("share")).groupBy("user_id").agg(
         F.array_sort(F.collect_list(F.struct("i", "share"))).alias("e"))  # at most ``width`` entries
     return entries.select(

@@ -187,9 +187,7 @@ def anomaly_mix(events: DataFrame, anomaly_types: list[str]) -> DataFrame:
     )
 
 
-# Anomaly types the event log may carry, in alphabetical order.
-ANOMALY_TYPES = [
-    "brute_force", "bulk_download", "excessive_access", "impossible_travel", "lateral_movement",
-    "privilege_escalation", "reconnaissance", "successful_login", "unusual_location",
-    "unusual_resource", "unusual_time",
-]
+def anomaly_types(events: DataFrame) -> list[str]:
+    """The types that flagged events of this log carry, in alphabetical order."""
+    flagged = events.where(F.coalesce("is_anomaly", F.lit(False)) & F.col("anomaly_type").isNotNull() & (F.col("anomaly_type") != ""))
+    return sorted(r.anomaly_type for r in flagged.select("anomaly_type").distinct().collect())  # a vocabulary

@@ -62,11 +62,11 @@ def top_identities(scored: DataFrame, n: int) -> DataFrame:
 
 
 def leaderboard_page(scored: DataFrame, page: int = 1, page_size: int = 50) -> DataFrame:
-    """One 1-based page with its rank; ``page_size`` is at most 200."""
-    size = max(1, min(200, page_size))
-    start = (max(1, page) - 1) * size
-    rows = scored.orderBy(*_order()).offset(start).limit(size)
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(*_order())) + start)
+    """One 1-based page with its rank, as many rows as asked for. A deep page costs no more than the first."""
+    if page < 1 or page_size < 1:
+        raise ValueError("page and page_size start at 1")
+    start = (page - 1) * page_size
+    return rank_all(scored).where((F.col("rank") > start) & (F.col("rank") <= start + page_size))
 
 
 def page_count(scored: DataFrame, page_size: int = 50) -> DataFrame:

@@ -61,7 +61,7 @@ def run_holdout(
     state = E.evaluation_status(E.align_labels(users, labels)).first()  # one row
     if state["status"] != "ok":
         return HoldoutResult(state["status"], state["label_match_count"])
-    types = activity.ANOMALY_TYPES if anomaly_types is None else anomaly_types
+    types = activity.anomaly_types(events) if anomaly_types is None else anomaly_types
     table = checkpointed(holdout_features(users, events, labels, as_of, thresholds, seed, types))
     train = table.where(~F.col("is_test"))
     names = fv.FEATURE_NAMES

@@ -377,7 +377,7 @@ def _access_predictor(spark: SparkSession, d: str) -> DataFrame:
 def _mined(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     users, events = _tables(spark, d)
     matrix = checkpointed(roles.access_matrix(events, users))
-    model, scaled = roles.fit_roles(roles.access_vectors(matrix), max_clusters=8)
+    model, scaled = roles.fit_roles(roles.access_vectors(matrix))
     return roles.assign_roles(model, scaled), matrix, events
 
 
@@ -407,8 +407,7 @@ def registered_queries() -> dict[str, Query]:
         "daily_resource_peaks": _over_events(lambda e: activity.windowed_features(e, CUTS).select(
             "user_id", "max_resources_in_single_day", "max_resources_in_single_session")),
         "usual_job_title": _raw_titles,
-        "anomaly_mix": _over_events(lambda e: activity.anomaly_mix(e, [
-            "bulk_download", "impossible_travel", "lateral_movement", "privilege_escalation", "reconnaissance"])),
+        "anomaly_mix": _over_events(lambda e: activity.anomaly_mix(e, activity.anomaly_types(e))),
         "baseline_profiles": _over_both(lambda u, e: B.build_baselines(e, u, CUTS).select(*B.KEY, *B.PROFILE_NUMBERS)),
         "finance_multipliers": _over_both(lambda u, e: B.finance_multipliers(B.baseline_cells(e, u, CUTS), CUTS)),
         "typical_hours_topk": _over_both(lambda u, e: B.typical_hours(B.baseline_cells(e, u, CUTS))),

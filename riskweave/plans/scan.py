@@ -35,8 +35,8 @@ def profiled_identities(
         baselines = B.profiles_from_cells(yearly, thresholds)
     active = shared(activity.user_activity(events, thresholds, event_as_of, cells=cells))
     people = activity.identities(users, active)
-    people = B.attach_baseline(people, baselines, baseline_mode)
-    return B.attach_peers(people, B.peer_stats(people))
+    peers = B.peer_stats(people)  # before the profiles are joined: the averages need none of them
+    return B.attach_peers(B.attach_baseline(people, baselines, baseline_mode), peers)
 
 
 def score_identities(

@@ -17,10 +17,16 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch one only where none is set."""
+    """The shared folder named by the cluster in ``spark.checkpoint.dir``.
+
+    A session on one machine (``local[...]``, as in tests) may leave it unset; on
+    several machines that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="riskweave-checkpoint-"))
     return sc.getCheckpointDir()
 

@@ -33,8 +33,8 @@ def write_baselines(baselines: DataFrame, path: str) -> None:
 
 
 def read_baselines(spark: SparkSession, path: str) -> DataFrame:
-    """All stored profiles; files that cannot be read are skipped."""
-    spark_read = spark.read.option("ignoreCorruptFiles", True).option("basePath", path)
+    """All stored profiles; a file that cannot be read is an error."""
+    spark_read = spark.read.option("ignoreCorruptFiles", False).option("basePath", path)
     table = spark_read.parquet(path)
     return table.withColumn("department", F.col("department").cast("string"))
 
