@@ -28,7 +28,7 @@ from .common import map_arrow, scratch, table, written
 from .files import attempt, committed, store
 
 ROLL_BYTES = 64 << 20
-SHARD_ROWS = 20_000
+SHARD_ROWS = 5_000
 RANGES = 4096
 DATE = "2000-01-01T00:00:00Z"
 
@@ -97,7 +97,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     copies = written(copies.where("n > 1").select("digest", "newest"), "copies")
     with_shard, shards = _dealt(pages.select("page_id", "url", "html", "digest"), shard_rows)
     dealt = with_shard.join(copies.withColumn("copied", F.lit(True)), "digest", "left").drop("digest")
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    dealt = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = store(folder)
