@@ -23,7 +23,7 @@ class AnomalyEnsemble:
     density: LocalOutlierFactor
 
     @staticmethod
-    def fit(table: DataFrame, features: list[str], contamination: float = 0.15, nu: float = 0.05, fit_rows: int = 20_000, seed: int = 42):
+    def fit(table: DataFrame, features: list[str], contamination: float = 0.15, nu: float = 0.05, seed: int = 42):
         """Fits scaler and detectors on the rows of ``table`` (give training rows only)."""
         scaler = Scaler.fit(table, features)
         pts = checkpointed(scaler.points(table))
@@ -32,13 +32,15 @@ class AnomalyEnsemble:
             scaler,
             IsolationForest.fit(pts, n, contamination, seed=seed),
             OneClassBoundary.fit(pts, n, len(features), nu, seed=seed),
-            LocalOutlierFactor.fit(pts, n, contamination, fit_rows=fit_rows, seed=seed),
+            LocalOutlierFactor.fit(pts, n, contamination),
         )
 
     def decisions(self, table: DataFrame) -> DataFrame:
-        """(user_id, isolation, boundary, density): raw decisions from one pass, below 0 is anomalous."""
-        scorers = {name: getattr(self, name).scorer(table.sparkSession) for name in DETECTORS}
-        return score_points(self.scaler.points(table), scorers).withColumnRenamed("id", "user_id")
+        """(user_id, isolation, boundary, density): raw decisions, below 0 is anomalous. Expects one row a user."""
+        pts = checkpointed(self.scaler.points(table))
+        scorers = {name: getattr(self, name).scorer(table.sparkSession) for name in DETECTORS[:2]}
+        density = self.density.score(pts).withColumnRenamed("decision", "density")
+        return score_points(pts, scorers).join(density, "id").withColumnRenamed("id", "user_id")
 
     def predict(self, table: DataFrame) -> DataFrame:
         """(user_id, detector decisions, is_anomaly, anomaly_score)."""

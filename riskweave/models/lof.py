@@ -1,8 +1,7 @@
 """Local outlier factor in novelty mode: fitted once, then every row is scored against the fit set.
 
-The fit set is the whole table while it has at most ``fit_rows`` points, else a
-uniform sample of that size; like the forest's samples it is training data, and
-no row goes unscored. Its fixed size is what bounds the broadcast.
+The fit set is the whole table at every size. Neighbours come from ``neighbours.PointIndex``;
+k-distance, reachability and density are joins and aggregates on its (point, neighbour) rows.
 """
 
 from __future__ import annotations
@@ -10,91 +9,109 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.models.vectors import as_matrix, bounded_sample, score_points
+from riskweave.models.neighbours import Leaves, PointIndex, distinct_points, nearest, neighbours_among
+from riskweave.models.vectors import as_matrix
+from riskweave.session import checkpointed
 
-CHUNK = 1024
+__all__ = ["LocalOutlierFactor", "nearest", "weighted_quantile"]
 
+BINS = 1000
 
-def nearest(x: np.ndarray, fit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and positions of the k nearest fit points, chunk by chunk."""
-    distances, positions = [], []
-    norms = (fit**2).sum(axis=1)
-    for start in range(0, len(x), CHUNK):
-        block = x[start:start + CHUNK]
-        squared = np.maximum((block**2).sum(axis=1)[:, None] + norms[None, :] - 2.0 * block @ fit.T, 0.0)
-        near = np.argpartition(squared, k - 1, axis=1)[:, :k]
-        order = np.argsort(np.take_along_axis(squared, near, axis=1), axis=1, kind="stable")
-        near = np.take_along_axis(near, order, axis=1)
-        exact = np.sqrt(((block[:, None, :] - fit[near]) ** 2).sum(axis=2))
-        distances.append(exact)
-        positions.append(near)
-    return np.concatenate(distances), np.concatenate(positions)
+
+def weighted_quantile(values: DataFrame, share: float) -> float:
+    """Quantile of ``v`` with ``n`` rows each, linear between neighbours, as of the sorted rows.
+
+    Narrows the range by counts of equal bins until few values are left; no sort, and at
+    most ``BINS`` rows reach the driver at a time.
+    """
+    r = values.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("n")).first()
+    if not r["n"]:
+        return 0.0
+    place = share * (r["n"] - 1)
+
+    def value_at(rank: int) -> float:
+        low, high, left = r["low"], r["high"], rank
+        while low < high:
+            at = F.least(F.floor((F.col("v") - low) / ((high - low) / BINS)), F.lit(BINS - 1))
+            bins = values.where(F.col("v").between(low, high)).groupBy(at.alias("at")).agg(
+                F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("at").collect()
+            if len(bins) == 1 and (bins[0]["low"], bins[0]["high"]) == (low, high):
+                return low  # as near as doubles get
+            for b in bins:
+                if left < b["n"]:
+                    low, high = b["low"], b["high"]
+                    break
+                left -= b["n"]
+        return low
+
+    lower = value_at(int(np.floor(place)))
+    upper = value_at(int(np.ceil(place))) if place % 1 else lower
+    return float(lower + (upper - lower) * (place % 1))
+
+
+def _density(near: DataFrame, k_distance: DataFrame) -> DataFrame:
+    """(q, density) from neighbours and the k-distances (p, k_distance) of the fitted points."""
+    reach = F.col("taken") * F.greatest("d", "k_distance")
+    return near.join(k_distance, "p").groupBy("q").agg((1.0 / (F.sum(reach) / F.sum("taken") + 1e-10)).alias("density"))
+
+
+def _factor(near: DataFrame, own: DataFrame, fitted: DataFrame) -> DataFrame:
+    """(q, factor): the neighbours' mean density over the own; above 1 is sparser than around."""
+    around = near.join(fitted.select("p", F.col("density").alias("of_p")), "p")
+    around = around.groupBy("q").agg((F.sum(F.col("taken") * F.col("of_p")) / F.sum("taken")).alias("around"))
+    return around.join(own, "q").select("q", (F.col("around") / F.col("density")).alias("factor"))
+
+
+def k_distances(pts: DataFrame, k: int = 20) -> DataFrame:
+    """(id, k_distance) of every row: how far its ``k``-th nearest other row lies."""
+    points = distinct_points(pts)
+    far = neighbours_among(points, PointIndex.build(points), k).groupBy("q").agg(F.max("d").alias("k_distance"))
+    return pts.join(points.join(far, F.col("pid") == F.col("q")).select("x", "k_distance"), "x").select("id", "k_distance")
 
 
 @dataclass(frozen=True)
 class LocalOutlierFactor:
-    fit_points: np.ndarray
-    k_distance: np.ndarray
-    density: np.ndarray
+    index: PointIndex
+    fitted: DataFrame  # p, k_distance, density of each distinct point
     k: int
     offset: float
 
     @staticmethod
-    def fit(pts: DataFrame, n: int, contamination: float = 0.15, k: int = 20, fit_rows: int = 20_000, seed: int = 42):
-        chosen = pts if n <= fit_rows else bounded_sample(pts, fit_rows, seed)
-        chosen = chosen.orderBy(F.xxhash64("id", F.lit(seed)), "id")
-        x = as_matrix(chosen.select("x").toPandas()["x"])  # at most fit_rows rows
-        k = max(1, min(k, len(x) - 1))
-        spark = pts.sparkSession
-        shared = spark.sparkContext.broadcast(x)
-
-        # neighbours of the fit points among themselves, found in parallel tasks
-        def neighbours(batches):
-            for pdf in batches:
-                own = pdf["i"].to_numpy()
-                d, p = nearest(shared.value[own], shared.value, min(k + 1, len(shared.value)))
-                mine = p == own[:, None]
-                # a point is not its own neighbour; among exact copies drop one
-                drop = np.where(mine.any(axis=1), mine.argmax(axis=1), d.shape[1] - 1)
-                keep = np.ones_like(mine)
-                keep[np.arange(len(own)), drop] = False
-                yield pd.DataFrame({"i": own, "d": list(d[keep].reshape(len(own), -1)), "p": list(p[keep].reshape(len(own), -1))})
-
-        ids = spark.range(len(x)).select(F.col("id").alias("i")).repartition(max(1, min(64, len(x) // CHUNK + 1)))
-        rows = ids.mapInPandas(neighbours, "i bigint, d array<double>, p array<bigint>").toPandas().sort_values("i")
-        d, p = as_matrix(rows["d"]), as_matrix(rows["p"]).astype(np.int64)
-        k_distance = d[:, -1]
-        density = 1.0 / (np.maximum(d, k_distance[p]).mean(axis=1) + 1e-10)
-        factor = (density[p] / density[:, None]).mean(axis=1)
-        offset = float(np.quantile(-factor, contamination))
-        return LocalOutlierFactor(x, k_distance, density, k, offset)
-
-    def scorer(self, spark: SparkSession):
-        """Matrix to decisions; below 0 is sparser than its neighbours."""
-        shared = spark.sparkContext.broadcast((self.fit_points, self.k_distance, self.density))
-        k, offset = self.k, self.offset
-
-        def decide(x: np.ndarray) -> np.ndarray:
-            fit, k_distance, density = shared.value
-            d, p = nearest(x, fit, k)
-            own = 1.0 / (np.maximum(d, k_distance[p]).mean(axis=1) + 1e-10)
-            return -(density[p] / own[:, None]).mean(axis=1) - offset
-
-        return decide
+    def fit(pts: DataFrame, n: int, contamination: float = 0.15, k: int = 20) -> "LocalOutlierFactor":
+        points = distinct_points(pts)
+        index = PointIndex.build(points)
+        k = max(1, min(k, n - 1))
+        near = checkpointed(neighbours_among(points, index, k))
+        k_distance = near.groupBy("q").agg(F.max("d").alias("k_distance")).withColumnRenamed("q", "p")
+        own = _density(near, k_distance)
+        fitted = checkpointed(own.withColumnRenamed("q", "p").join(k_distance, "p").select("p", "k_distance", "density"))
+        own = fitted.select(F.col("p").alias("q"), "density")
+        factors = checkpointed(_factor(near, own, fitted).join(points.select(F.col("pid").alias("q"), "n"), "q"))
+        offset = weighted_quantile(factors.select((-F.col("factor")).alias("v"), "n"), contamination)
+        return LocalOutlierFactor(index, fitted, k, offset)
 
     def score(self, pts: DataFrame) -> DataFrame:
-        return score_points(pts, {"decision": self.scorer(pts.sparkSession)})
+        """(id, decision) of every row; below 0 is sparser than its neighbours."""
+        asked = distinct_points(pts)
+        near = self.index.nearest(asked.select(F.col("pid").alias("q"), "x"), self.k)
+        factors = _factor(near, _density(near, self.fitted), self.fitted)
+        known = asked.join(factors, asked["pid"] == factors["q"], "left").select("x", "factor")
+        # copies of one vector are split over tasks by the adaptive skew join
+        return pts.join(known, "x", "left").select("id", (-F.coalesce("factor", F.lit(1.0)) - self.offset).alias("decision"))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        rows = [(i, x.tolist(), float(kd), float(d)) for i, (x, kd, d) in enumerate(zip(self.fit_points, self.k_distance, self.density))]
-        spark.createDataFrame(rows, "i int, x array<double>, k_distance double, density double").write.mode("overwrite").parquet(f"{path}/points")
+        self.index.points.write.mode("overwrite").parquet(f"{path}/points")
+        self.fitted.write.mode("overwrite").parquet(f"{path}/fitted")
+        v = self.index.leaves
+        rows = [(int(i), p.tolist(), float(low), float(high), int(w)) for i, p, low, high, w in zip(v.ids, v.pivots, v.low, v.high, v.weight)]
+        spark.createDataFrame(rows, "leaf bigint, pivot array<double>, low double, high double, n bigint").write.mode("overwrite").parquet(f"{path}/leaves")
         spark.createDataFrame([(self.k, self.offset)], "k int, offset double").write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "LocalOutlierFactor":
         meta = spark.read.parquet(f"{path}/meta").first()
-        rows = spark.read.parquet(f"{path}/points").toPandas().sort_values("i")
-        return LocalOutlierFactor(as_matrix(rows["x"]), rows["k_distance"].to_numpy(), rows["density"].to_numpy(), meta["k"], meta["offset"])
+        s = spark.read.parquet(f"{path}/leaves").orderBy("leaf").toPandas()  # one row per leaf
+        leaves = Leaves(s["leaf"].to_numpy(), as_matrix(s["pivot"]), s["low"].to_numpy(), s["high"].to_numpy(), s["n"].to_numpy())
+        return LocalOutlierFactor(PointIndex(spark.read.parquet(f"{path}/points"), leaves), spark.read.parquet(f"{path}/fitted"), meta["k"], meta["offset"])

@@ -14,11 +14,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweave.functions.placing import hashed_position
-from riskweave.models.lof import nearest
-from riskweave.models.vectors import as_matrix, bounded_sample
+from riskweave.models.neighbours import PointIndex, distinct_points, neighbours_among
 from riskweave.session import checkpointed
 
 MIN_AUC = 0.75
+#: Synthetic rows made at a time.
+GROWN_ROWS = 4096
 ACCESS_FEATURES = ["department", "job_title", "resource", "action"]
 
 
@@ -37,41 +38,39 @@ def stratified_holdout(table: DataFrame, label: str = "label", share: float = 0.
     return placed.withColumn("is_test", test).drop("position", "group_rows")
 
 
-def smote(train: DataFrame, features: list[str], label: str = "label", k: int = 5, fit_rows: int = 20_000, seed: int = 42) -> DataFrame:
+def smote(train: DataFrame, features: list[str], label: str = "label", k: int = 5, seed: int = 42) -> DataFrame:
     """Adds synthetic minority rows until both classes have the same size.
 
-    A new row lies between a minority row and one of its nearest minority rows.
-    Neighbours are looked up in all minority rows, or in a uniform sample of
-    ``fit_rows`` of them where there are more; every minority row gets its share
-    of new rows either way.
+    A new row lies between a minority row and one of its ``k`` nearest other minority rows;
+    neighbours are looked up in all of them.
     """
     sizes = train.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
     positives, missing = sizes["p"], sizes["n"] - sizes["p"]
     if positives < 2 or missing <= 0:
         return train
     minority = train.where(F.col(label) == 1).select(F.col("user_id").alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    pool = minority if positives <= fit_rows else bounded_sample(minority, fit_rows, seed)
-    base = as_matrix(pool.orderBy(F.xxhash64("id", F.lit(seed)), "id").select("x").toPandas()["x"])  # at most fit_rows rows
-    held = train.sparkSession.sparkContext.broadcast(base)
+    found = distinct_points(minority)
+    near = neighbours_among(found, PointIndex.build(found), min(k, positives - 1))
+    near = near.join(found.select(F.col("pid").alias("p"), F.col("x").alias("partner")), "p")
+    partners = near.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("d", "p", "taken", "partner"))).alias("near"))  # at most k
+    partners = found.join(partners, F.col("pid") == F.col("q")).select("x", F.expr("flatten(transform(near, s -> array_repeat(s.partner, cast(s.taken AS int))))").alias("partners"))
     each, rest = divmod(missing, positives)
 
     def grow(batches):
         for pdf in batches:
-            x = as_matrix(pdf["x"])
-            near = nearest(x, held.value, min(k + 1, len(held.value)))[1][:, 1:]
-            for row, (point, others, key) in enumerate(zip(x, near, pdf["key"])):
+            for point, others, key, name, position in zip(pdf["x"], pdf["partners"], pdf["key"], pdf["id"], pdf["position"]):
                 rng = np.random.default_rng([seed, int(key) & 0x7FFFFFFFFFFFFFFF])
-                n = each + int(pdf["position"].iloc[row] <= rest)
-                if n == 0:
-                    continue
-                partners = held.value[rng.choice(others, n)]
-                made = point + rng.random((n, 1)) * (partners - point)
-                yield pd.DataFrame({"user_id": [f"synthetic-{pdf['id'].iloc[row]}-{i}" for i in range(n)], "x": list(made)})
+                n = each + int(position <= rest)
+                for first in range(0, n, GROWN_ROWS):
+                    some = min(GROWN_ROWS, n - first)
+                    chosen = np.stack(others)[rng.integers(len(others), size=some)]
+                    made = point + rng.random((some, 1)) * (chosen - point)
+                    yield pd.DataFrame({"user_id": [f"synthetic-{name}-{first + i}" for i in range(some)], "x": list(made)})
 
     placed = hashed_position(minority.withColumn("__one", F.lit(1)), ["__one"], "id", seed)
-    keyed = placed.select("id", "x", "position", F.xxhash64("id", F.lit(seed)).alias("key"))
-    made = keyed.mapInPandas(grow, "user_id string, x array<double>")
-    made = made.select("user_id", *[F.col("x")[i].alias(c) for i, c in enumerate(features)], F.lit(1).alias(label))
+    keyed = placed.select("id", "x", "position", F.xxhash64("id", F.lit(seed)).alias("key")).join(partners, "x")
+    features_of = [F.get("x", F.lit(i)).alias(c) for i, c in enumerate(features)]
+    made = keyed.mapInPandas(grow, "user_id string, x array<double>").select("user_id", *features_of, F.lit(1).alias(label))
     kept = train.select(F.col("user_id").cast("string").alias("user_id"), *[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("int").alias(label))
     return kept.unionByName(made)
 

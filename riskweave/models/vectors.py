@@ -45,14 +45,6 @@ class Scaler:
         return df.select(F.col(id_column).alias("id"), F.array(*self.scaled()).alias("x"))
 
 
-def bounded_sample(pts: DataFrame, rows: int, seed: int = 42) -> DataFrame:
-    """At most ``rows`` points, the ones with the smallest hash of their id.
-
-    The same points whatever the partitioning. Spark keeps ``rows`` per task.
-    """
-    return pts.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(rows)
-
-
 def score_points(pts: DataFrame, scorers: dict) -> DataFrame:
     """(id, one column per scorer) from one pass over the points; a scorer maps a matrix to a vector."""
     def run(batches):

@@ -10,6 +10,7 @@ from riskweave import fixed_values as fv
 from riskweave.functions import parsing as P
 from riskweave.models import roles, supervised
 from riskweave.models.ensemble import AnomalyEnsemble
+from riskweave.models.lof import k_distances
 from riskweave.operators import (
     access, activity, baselines as B, context, evaluation as E, exfiltration, features, graph, remediation, reports,
     rules, sequences, timeline,
@@ -344,6 +345,14 @@ def _anomaly_ensemble(spark: SparkSession, d: str) -> DataFrame:
     return flat(AnomalyEnsemble.fit(table, fv.FEATURE_NAMES).predict(table))
 
 
+def _lof_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 20-distance of every customer over balance, nation and a residue of its key."""
+    raw = spark.read.parquet(f"{d}/customer.parquet")
+    numbers = F.floor(F.col("c_acctbal") / 1000), F.col("c_nationkey"), F.col("c_custkey") % 9
+    pts = raw.select(F.col("c_custkey").cast("string").alias("id"), F.array(*[c.cast("double") for c in numbers]).alias("x"))
+    return flat(k_distances(pts).withColumnRenamed("id", "user_id"))
+
+
 def _risk_classifier(spark: SparkSession, d: str) -> DataFrame:
     table = _labelled_features(spark, d)
     model = supervised.RiskClassifier.fit(table, fv.FEATURE_NAMES, check=False)
@@ -387,7 +396,7 @@ def _role_assignments(spark: SparkSession, d: str) -> DataFrame:
 
 def _role_profiles(spark: SparkSession, d: str) -> DataFrame:
     assigned, matrix, events = _mined(spark, d)
-    return flat(roles.profile_roles(assigned, matrix, roles.grant_counts(events)))
+    return flat(roles.profile_roles(assigned, matrix, roles.grant_counts(events), _scored(spark, d)))
 
 
 def _holdout_report(spark: SparkSession, d: str) -> DataFrame:
@@ -473,6 +482,7 @@ def registered_queries() -> dict[str, Query]:
         "access_matrix": _over_both(lambda u, e: roles.access_matrix(e, u)),
         "stratified_split": _stratified_split,
         "smote_balance": _smote_balance,
+        "lof_neighbours": _lof_neighbours,
         "anomaly_ensemble": _anomaly_ensemble,
         "risk_classifier": _risk_classifier,
         "access_predictor": _access_predictor,

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from riskweave.models import roles, supervised
 from riskweave.models.ensemble import AnomalyEnsemble
-from riskweave.models.lof import LocalOutlierFactor, nearest
+from riskweave.models.lof import LocalOutlierFactor, nearest, weighted_quantile
+from riskweave.models.neighbours import PointIndex, distances, distinct_points, neighbours_among
 from riskweave.models.vectors import Scaler, points
 
 NAMES = ["f0", "f1", "f2"]
@@ -30,16 +32,56 @@ def test_lof_against_plain_numpy_with_copies(spark):
     df, x = cloud(spark, 80, 2)
     df = df.unionByName(df.where("user_id = 'u050'").withColumn("user_id", F.concat("user_id", F.lit("copy"))))
     model = LocalOutlierFactor.fit(points(df, NAMES), 81, 0.1, k=5)
-    fit = model.fit_points
+    rows = model.index.points.join(model.fitted, F.col("pid") == F.col("p")).withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).toPandas()
+    fit, k_distance, density = np.stack(rows["x"]), rows["k_distance"].to_numpy(), rows["density"].to_numpy()
+    assert len(fit) == 81
     d = np.sqrt(((fit[:, None] - fit[None]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
     order = np.argsort(d, axis=1, kind="stable")[:, :5]
     near = np.take_along_axis(d, order, 1)
     lrd = 1 / (np.maximum(near, near[:, -1][order]).mean(1) + 1e-10)
-    assert np.allclose(model.k_distance, near[:, -1], atol=1e-6) and np.allclose(model.density, lrd, rtol=1e-4)
+    assert np.allclose(k_distance, near[:, -1], atol=1e-6) and np.allclose(density, lrd, rtol=1e-4)
+    factor = (lrd[order] / lrd[:, None]).mean(1)
+    assert model.offset == pytest.approx(np.quantile(-factor, 0.1), rel=1e-6)
     assert np.allclose(nearest(fit[:3], fit, 1)[0], 0.0)
 
 
+def vectors_of(spark, x):
+    return spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "x": x.tolist()}), "id bigint, x array<double>").repartition(4)
+
+
+def test_neighbours_are_exact_over_30000_points_with_copies(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(15_000, 4)), rng.normal(size=(9_999, 4)) * 0.1 + 5, np.full((5_001, 4), 2.0)])
+    pts = vectors_of(spark, x)
+    found = distinct_points(pts)
+    assert found.count() == 25_000
+    index = PointIndex.build(found)
+    assert len(index.leaves.ids) > 10
+    near = neighbours_among(found, index, 10).groupBy("q").agg(F.max("d").alias("d"), F.sum("taken").alias("taken"))
+    got = near.join(found, F.col("q") == F.col("pid")).toPandas()
+    assert len(got) == 25_000 and (got["taken"] == 10).all()
+    probe = got.iloc[::50]
+    want = np.sort(distances(np.stack(probe["x"]), x), axis=1)[:, 10]
+    assert np.allclose(probe["d"], want, atol=1e-12)
+
+
+def test_neighbours_when_few_points_or_small_leaves(spark):
+    x = np.random.default_rng(9).normal(size=(60, 2)).round(1)
+    pts = distinct_points(vectors_of(spark, x))
+    for k, leaf in ((7, 5), (59, 8), (1, 60)):
+        near = neighbours_among(pts, PointIndex.build(pts, leaf), k).groupBy("q").agg(F.max("d").alias("d"), F.sum("taken").alias("n"))
+        got = near.join(pts.select("pid", "x"), F.col("q") == F.col("pid")).toPandas()
+        assert np.allclose(got["d"], np.sort(distances(np.stack(got["x"]), x), axis=1)[:, k]) and (got["n"] == k).all()
+
+
+def test_quantile_equals_numpy(spark):
+    v = np.round(np.random.default_rng(3).lognormal(size=3000, sigma=3), 2)
+    df = spark.createDataFrame(pd.DataFrame({"v": v, "n": 1})).groupBy("v").agg(F.sum("n").alias("n"))
+    for share in (0.0, 0.15, 0.5, 1.0):
+        assert weighted_quantile(df, share) == pytest.approx(np.quantile(v, share))
+
+
 def test_ensemble_finds_outliers_is_stable_and_reloads(spark, tmp_path):
     df, _ = cloud(spark)
     model = AnomalyEnsemble.fit(df.repartition(4), NAMES, contamination=0.05)
@@ -91,7 +133,7 @@ def test_roles_split_two_groups_and_hashing_agrees(spark):
     shares = {(r.user_id, r.feature): r.share for r in matrix.collect()}
     assert shares["b0", "repo"] == pytest.approx(2 / 3) and shares["a0", "action_diversity"] == 0.5
     for width in (1 << 16, 3):
-        model, scaled = roles.fit_roles(roles.access_vectors(matrix, max_width=width), max_clusters=4)
+        model, scaled = roles.fit_roles(roles.access_vectors(matrix, width=width), max_clusters=4)
         assigned = roles.assign_roles(model, scaled)
         got = {r.user_id: r.cluster_id for r in assigned.collect()}
         if width > 3:
