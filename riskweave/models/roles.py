@@ -91,7 +91,8 @@ def fit_roles(vectors: DataFrame, max_clusters: int = MAX_CLUSTERS, min_silhouet
     judge = ClusteringEvaluator(featuresCol="x", predictionCol="cluster_id")
 
     def train(k: int) -> KMeansModel:
-        return KMeans(featuresCol="x", predictionCol="cluster_id", k=k, seed=seed).fit(scaled)
+        # the block solver fails where seeding finds fewer than k distinct centres
+        return KMeans(featuresCol="x", predictionCol="cluster_id", k=k, seed=seed, solver="row").fit(scaled)
 
     best, best_score = None, -1.0
     for k in range(2, min(max_clusters, users - 1) + 1):
