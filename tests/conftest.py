@@ -8,7 +8,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-NOW = datetime(2026, 6, 13)
+from fixed_now import NOW  # noqa: E402
 
 IDENTITY_SCHEMA = """user_id string, username string, email string, department string, employment_status string,
 account_type string, owner_id string, source_system string, job_title string, last_login timestamp, created_at timestamp,

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from conftest import NOW
+from fixed_now import NOW
 from riskweave import fixed_values as fv
 from riskweave.operators import context, features, remediation, rules, scoring
 from riskweave.sources import dimensions
