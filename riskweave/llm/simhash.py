@@ -128,6 +128,8 @@ SIMILARITY = 0.8
 KEYS = 16
 #: Pairs at a similarity of 0.8 differ in about 10 of 64 bits; beyond this they are not compared in full.
 FAR_BITS = 24
+#: Rows after a row, in the order of a key, that it is compared with.
+REACH = 8
 
 
 def sketches(docs: DataFrame, size: int = WORDS, keys: int = KEYS) -> DataFrame:
@@ -154,53 +156,69 @@ def sketches(docs: DataFrame, size: int = WORDS, keys: int = KEYS) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, copy long, fp long, n long, keys array<long>, shingles binary")
 
 
-def neighbours(sketch: DataFrame, similarity: float, far_bits: int = FAR_BITS) -> DataFrame:
-    """Candidate pairs (a, b) of ids: rows next to each other when sorted by key, then by the
-    fingerprint, rotated differently for each key. One pair a row at most, however many
-    share a key; sorting is by range, so a frequent key spreads over tasks, and the ends
-    of tasks are paired too."""
+def neighbours(sketch: DataFrame, similarity: float, far_bits: int = FAR_BITS, reach: int = REACH) -> DataFrame:
+    """Candidate pairs (a, b, step) of ids: rows at most ``reach`` places apart when sorted by
+    key, then by the fingerprint, rotated differently for each key; ``step`` is the smallest
+    distance. A row is in ``2 * reach`` pairs a key at most, however many share the key;
+    sorting is by range, so a frequent key spreads over tasks, and the ends of tasks are
+    paired too: ``2 * reach`` rows of each task are compared on the driver."""
     rotated = F.expr("shiftleft(fp, turn) | shiftrightunsigned(fp, 64 - turn)")
     keyed = sketch.select("doc_id", "fp", "n", F.explode("keys").alias("key")).withColumn("turn", F.expr("cast(pmod(key, 63) AS int)"))
     keyed = keyed.select("key", rotated.alias("place"), "doc_id", "fp", "n")
     keyed = keyed.repartitionByRange("key", "place", "doc_id").sortWithinPartitions("key", "place", "doc_id")
     fields = ["key", "doc_id", "fp", "n"]
+    schema = pa.schema([("part", pa.int32()), ("at", pa.int64()), *[(f, pa.int64()) for f in fields], ("other", pa.int64()), ("step", pa.int32())])
 
     def compared(x, y) -> np.ndarray:
-        bits = np.unpackbits((x[2] ^ y[2]).view(np.uint8).reshape(-1, 8), axis=1).sum(1) if len(x[2]) else np.zeros(0)
-        return (x[0] == y[0]) & (bits <= far_bits) & (np.minimum(x[3], y[3]) >= similarity * np.maximum(x[3], y[3]))
+        near = (x[0] == y[0]) & (np.minimum(x[3], y[3]) >= similarity * np.maximum(x[3], y[3]))
+        return near & (np.bitwise_count((x[2] ^ y[2]).view(np.uint64)) <= far_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        def out(kind, x, y):
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(x[0]), pa.int32()), *[pa.array(v) for v in x], pa.array(y[1])], ["part", *fields, "other"])
+        def out(**columns):
+            n = len(columns["doc_id"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-        last, first = None, None
+        seen, first, last = 0, [np.zeros(0, np.int64)] * 4, [np.zeros(0, np.int64)] * 4
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(f).to_numpy() for f in fields]
-            if last is None:
-                first = [v[:1] for v in rows]
-                x, y = [v[:-1] for v in rows], [v[1:] for v in rows]
-            else:
-                x, y = [np.concatenate([a, v[:-1]]) for a, v in zip(last, rows)], rows
-            near = compared(x, y)
-            if near.any():
-                yield out(-1, [v[near] for v in x], [v[near] for v in y])
-            last = [v[-1:] for v in rows]
-        if last is not None:
-            part = TaskContext.get().partitionId()
-            yield out(2 * part, first, first)
-            yield out(2 * part + 1, last, last)
-
-    found = written(map_arrow(keyed.select(*fields), run, "part int, key long, doc_id long, fp long, n long, other long"), "neighbours")
-    ends = found.where("part >= 0").orderBy("part").collect()  # two rows a task
-    across = [(x.doc_id, y.doc_id) for x, y in zip(ends[1::2], ends[2::2]) if compared(*[[np.array([v]) for v in (r.key, r.doc_id, r.fp, r.n)] for r in (x, y)])[0]]
-    pairs = found.where("part = -1").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
-    if across:
-        pairs = pairs.union(sketch.sparkSession.createDataFrame(across, "a long, b long"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+            rows = [np.concatenate([v, batch.column(f).to_numpy()]) for v, f in zip(last, fields)]
+            old, n = len(last[0]), len(rows[0])
+            for step in range(1, min(reach, n - 1) + 1):
+                low = max(0, old - step)
+                x, y = [v[low : n - step] for v in rows], [v[low + step :] for v in rows]
+                if not (x[0] == y[0]).any():  # rows farther apart have no key in common either
+                    break
+                near = compared(x, y)
+                if near.any():
+                    yield out(doc_id=x[1][near], other=y[1][near], step=np.full(int(near.sum()), step))
+            if len(first[0]) < reach:
+                first = [np.concatenate([v, w[old:]])[:reach] for v, w in zip(first, rows)]
+            seen, last = seen + n - old, [v[-reach:] for v in rows]
+        if seen:
+            ahead = np.arange(len(first[0]))
+            behind = np.arange(max(seen - len(last[0]), len(ahead)), seen)
+            ends = [np.concatenate([v, w[len(w) - len(behind) :]]) for v, w in zip(first, last)]
+            at = np.concatenate([ahead, behind])
+            yield out(part=np.full(len(at), TaskContext.get().partitionId()), at=at, **dict(zip(fields, ends)))
+
+    ddl = "part int, at long, key long, doc_id long, fp long, n long, other long, step int"
+    found = written(map_arrow(keyed.select(*fields), run, ddl), "neighbours")
+    pairs = found.where("part IS NULL").select("doc_id", "other", "step")
+    ends = found.where("part IS NOT NULL").select("part", "at", *fields).orderBy("part", "at").toPandas()
+    if len(ends):
+        part, rows = ends["part"].to_numpy(), [ends[f].to_numpy() for f in fields]
+        sizes = ends.groupby("part")["at"].max() + 1
+        place = ends["at"].to_numpy() + (sizes.cumsum() - sizes).loc[part].to_numpy()
+        across = []
+        for step in range(1, min(reach, len(ends) - 1) + 1):
+            near = compared([v[:-step] for v in rows], [v[step:] for v in rows])
+            near &= (part[:-step] != part[step:]) & (place[step:] - place[:-step] <= reach)
+            across += zip(rows[1][:-step][near].tolist(), rows[1][step:][near].tolist(), (place[step:] - place[:-step])[near].tolist())
+        if across:
+            pairs = pairs.union(sketch.sparkSession.createDataFrame(across, "doc_id long, other long, step int"))
+    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"), "step").where("a <> b")
+    return pairs.groupBy("a", "b").agg(F.min("step").alias("step"))
 
 
 def similar_links(pairs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
@@ -209,7 +227,7 @@ def similar_links(pairs: DataFrame, sketch: DataFrame, similarity: float) -> Dat
     in_pairs = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = sketch.select("doc_id", "shingles").join(in_pairs, "doc_id").dropDuplicates(["doc_id"])
     sets = written(sets, "sets")
-    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    both = pairs.select("a", "b").join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,9 +250,15 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similarity: float = SIMI
     first = written(first, "copies")
     alone = sketch.drop("shingles").join(first.select("copy", F.col("first").alias("doc_id")), ["copy", "doc_id"]).dropDuplicates(["copy"])
     pairs = written(neighbours(written(alone, "distinct-sketches"), similarity), "pairs")
-    links = similar_links(pairs, sketch, similarity)
-    groups = connected_components(links)
-    named = first.join(groups, F.col("first") == F.col("node"), "left").select("copy", F.coalesce("component", "first").alias("component_id"))
+    # next neighbours first; of the rest only pairs that these links leave in different groups
+    groups = connected_components(similar_links(pairs.where("step = 1"), sketch, similarity))
+    apart = pairs.where("step > 1").join(groups.toDF("a", "of_a"), "a", "left").join(groups.toDF("b", "of_b"), "b", "left")
+    apart = apart.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).where("of_a <> of_b")
+    apart = written(apart, "pairs-apart")
+    more = similar_links(apart, sketch, similarity).join(apart, ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    joined = connected_components(more)
+    named = first.join(groups, F.col("first") == F.col("node"), "left").select("copy", F.coalesce("component", "first").alias("group"))
+    named = named.join(joined, F.col("group") == F.col("node"), "left").select("copy", F.coalesce("component", "group").alias("component_id"))
     return sketch.select("doc_id", "copy").distinct().join(written(named, "named"), "copy")
 
 

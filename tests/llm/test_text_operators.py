@@ -135,3 +135,24 @@ def test_near_duplicates_keep_one_of_a_group(frame):
     kept = simhash.stage(frame(rows).sparkSession, frame(rows), "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 7]
     assert kept.columns == frame(rows).columns
+
+
+def test_near_duplicates_equal_brute_force_in_families_around_the_threshold(frame):
+    rng = random.Random(7)
+    rows, word = [], lambda: f"w{rng.randrange(10**6)}"
+    for _ in range(6):
+        base = [word() for _ in range(200)]
+        for _ in range(rng.choice([2, 15, 40])):
+            text = list(base)
+            for k in rng.sample(range(200), rng.randrange(1, 8)):
+                text[k] = word()
+            rows.append((len(rows), " ".join(text)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    least = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and least[a] != least[b]:
+                low, high = sorted((least[a], least[b]))
+                least = [low if x == high else x for x in least]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(rows)).collect()}
+    assert [got[k] for k in range(len(rows))] == least
