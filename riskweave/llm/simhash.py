@@ -128,6 +128,8 @@ SIMILARITY = 0.8
 KEYS = 16
 #: Pairs at a similarity of 0.8 differ in about 10 of 64 bits; beyond this they are not compared in full.
 FAR_BITS = 24
+#: The bitmap of ids in pairs has two to this power of bits, 8 MB.
+FILTER_BITS = 26
 #: Rows after a row, in the order of a key, that it is compared with.
 REACH = 8
 
@@ -221,12 +223,28 @@ def neighbours(sketch: DataFrame, similarity: float, far_bits: int = FAR_BITS, r
     return pairs.groupBy("a", "b").agg(F.min("step").alias("step"))
 
 
-def similar_links(pairs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have at least this Jaccard similarity. ``pairs`` is read
-    twice: pass a written table. Of the sets only those in a pair are moved again."""
+def perhaps_in(rows: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The ``rows`` whose doc_id is in ``ids``, and few others: those that share a bit with one
+    in a bitmap of fixed size. It keeps wide rows out of a shuffle; an exact join follows."""
+    place = f"pmod(xxhash64(doc_id), {1 << bits}L) + 1"
+    marks = ids.select(F.expr(place).alias("_s_place")).groupBy(F.expr("bitmap_bucket_number(_s_place)").alias("_s_bucket"))
+    marks = marks.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_s_place))").alias("_s_marks"))
+    placed = rows.withColumn("_s_place", F.expr(place)).withColumn("_s_bucket", F.expr("bitmap_bucket_number(_s_place)"))
+    at = "bitmap_bit_position(_s_place)"
+    of = f"cast(conv(hex(substring(_s_marks, cast({at} div 8 AS int) + 1, 1)), 16, 10) AS int)"
+    marked = placed.join(F.broadcast(marks), "_s_bucket").where(f"shiftright({of}, cast({at} % 8 AS int)) % 2 = 1")
+    return marked.select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def shingle_sets(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the ids in ``pairs``, a written table. Other sets aren't moved."""
     in_pairs = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = sketch.select("doc_id", "shingles").join(in_pairs, "doc_id").dropDuplicates(["doc_id"])
-    sets = written(sets, "sets")
+    sets = perhaps_in(sketch.select("doc_id", "shingles"), in_pairs).join(in_pairs, "doc_id")
+    return sets.dropDuplicates(["doc_id"])
+
+
+def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have at least this Jaccard similarity."""
     both = pairs.select("a", "b").join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,12 +268,13 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similarity: float = SIMI
     first = written(first, "copies")
     alone = sketch.drop("shingles").join(first.select("copy", F.col("first").alias("doc_id")), ["copy", "doc_id"]).dropDuplicates(["copy"])
     pairs = written(neighbours(written(alone, "distinct-sketches"), similarity), "pairs")
+    sets = written(shingle_sets(pairs, sketch), "sets")
     # next neighbours first; of the rest only pairs that these links leave in different groups
-    groups = connected_components(similar_links(pairs.where("step = 1"), sketch, similarity))
+    groups = connected_components(similar_links(pairs.where("step = 1"), sets, similarity))
     apart = pairs.where("step > 1").join(groups.toDF("a", "of_a"), "a", "left").join(groups.toDF("b", "of_b"), "b", "left")
     apart = apart.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).where("of_a <> of_b")
     apart = written(apart, "pairs-apart")
-    more = similar_links(apart, sketch, similarity).join(apart, ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    more = similar_links(apart, sets, similarity).join(apart, ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     joined = connected_components(more)
     named = first.join(groups, F.col("first") == F.col("node"), "left").select("copy", F.coalesce("component", "first").alias("group"))
     named = named.join(joined, F.col("group") == F.col("node"), "left").select("copy", F.coalesce("component", "group").alias("component_id"))
