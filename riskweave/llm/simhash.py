@@ -143,11 +143,11 @@ def sketches(docs: DataFrame, size: int = WORDS, keys: int = KEYS) -> DataFrame:
             data = LOWER[data]
             words = find_words(data, offsets)
             hashes, bounds = shingle_hashes(word_hashes(data, words), words.bounds, size)
-            fp = majority_bits(hashes, bounds)
             place = mix(hashes * np.uint64(3) + (np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.uint64))
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(place)])
             copy = mix(total[bounds[1:]] - total[bounds[:-1]])
             sets = [np.unique(hashes[bounds[k] : bounds[k + 1]]) for k in range(batch.num_rows)]
+            fp = majority_bits(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))  # of the sets, as the similarity is
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(copy.view(np.int64)), pa.array(fp.view(np.int64)),
                 pa.array([len(s) for s in sets], pa.int64()),

@@ -156,3 +156,13 @@ def test_near_duplicates_equal_brute_force_in_families_around_the_threshold(fram
                 least = [low if x == high else x for x in least]
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(rows)).collect()}
     assert [got[k] for k in range(len(rows))] == least
+
+
+def test_near_duplicates_find_copies_with_a_repeated_passage(frame):
+    rng = random.Random(8)
+    rows, word = [], lambda: f"w{rng.randrange(10**6)}"
+    for k in range(20):
+        base, passage = [word() for _ in range(304)], [word() for _ in range(8)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + passage * 25))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(rows)).collect()}
+    assert got == {k: k - k % 2 for k in range(40)}
