@@ -13,8 +13,8 @@ similarity of at least 0.8, for the pipeline.
 
 Null texts count as empty. Texts without a word have fingerprint zero and are linked like
 any other by ``fingerprint_groups``; by ``near_duplicates`` all of them are copies of one
-another. Repeated rows are repeated in the result. Rows with a null id take part, but
-never name a group unless all of its ids are null. Other columns are not looked at.
+another. Repeated rows are repeated in the result, but for the pipeline. Rows with a null id
+take part, but never name a group unless all of its ids are null. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from .common import map_arrow, scratch, slices, table, written
@@ -134,18 +135,38 @@ FILTER_BITS = 26
 REACH = 8
 
 
+def _copies(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each text's sequence of shingles, equal for equal word sequences."""
+    place = mix(hashes * np.uint64(3) + (np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(place)])
+    return mix(total[bounds[1:]] - total[bounds[:-1]])
+
+
+def _shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    data = LOWER[data]
+    words = find_words(data, offsets)
+    return shingle_hashes(word_hashes(data, words), words.bounds, size)
+
+
+def with_copies(docs: DataFrame, name: str, size: int = WORDS) -> DataFrame:
+    """``docs`` with the ``copy`` of ``sketches`` as a further column of this name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches):
+            copy = _copies(*_shingles(data, offsets, size))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copy.view(np.int64))], [*batch.schema.names, name])
+
+    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def sketches(docs: DataFrame, size: int = WORDS, keys: int = KEYS) -> DataFrame:
     """(doc_id, copy, fp, n, keys, shingles) of every row. ``copy`` is equal for equal word
     sequences; ``shingles`` has the sorted distinct 32-bit hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
-            data = LOWER[data]
-            words = find_words(data, offsets)
-            hashes, bounds = shingle_hashes(word_hashes(data, words), words.bounds, size)
-            place = mix(hashes * np.uint64(3) + (np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.uint64))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(place)])
-            copy = mix(total[bounds[1:]] - total[bounds[:-1]])
+            hashes, bounds = _shingles(data, offsets, size)
+            copy = _copies(hashes, bounds)
             sets = [np.unique(hashes[bounds[k] : bounds[k + 1]]) for k in range(batch.num_rows)]
             fp = majority_bits(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))  # of the sets, as the similarity is
             yield pa.RecordBatch.from_arrays([
@@ -237,9 +258,9 @@ def perhaps_in(rows: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> Data
 
 
 def shingle_sets(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the ids in ``pairs``, a written table. Other sets aren't moved."""
+    """(doc_id, shingles) of the texts in ``pairs``, named by their ``copy``. Other sets aren't moved."""
     in_pairs = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = perhaps_in(sketch.select("doc_id", "shingles"), in_pairs).join(in_pairs, "doc_id")
+    sets = perhaps_in(sketch.select(F.col("copy").alias("doc_id"), "shingles"), in_pairs).join(in_pairs, "doc_id")
     return sets.dropDuplicates(["doc_id"])
 
 
@@ -259,15 +280,12 @@ def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return map_arrow(both, run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, copy, component_id) for every distinct (doc_id, copy) in ``docs``: component_id
-    is the smallest id of the group. Exact copies are joined by ``copy`` and stand for each
-    other in the search; ids are taken to be unique among texts that differ."""
+def near_groups(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, copy, group) for every distinct (doc_id, copy) in ``docs``, a written table. The
+    search is among distinct texts, named by ``copy``; ids may be null and need not be unique."""
     sketch = written(sketches(docs, size), "sketches")
-    first = sketch.groupBy("copy").agg(F.min("doc_id").alias("first"))
-    first = written(first, "copies")
-    alone = sketch.drop("shingles").join(first.select("copy", F.col("first").alias("doc_id")), ["copy", "doc_id"]).dropDuplicates(["copy"])
-    pairs = written(neighbours(written(alone, "distinct-sketches"), similarity), "pairs")
+    alone = written(sketch.drop("doc_id", "shingles").dropDuplicates(["copy"]).withColumnRenamed("copy", "doc_id"), "distinct-sketches")
+    pairs = written(neighbours(alone, similarity), "pairs")
     sets = written(shingle_sets(pairs, sketch), "sets")
     # next neighbours first; of the rest only pairs that these links leave in different groups
     groups = connected_components(similar_links(pairs.where("step = 1"), sets, similarity))
@@ -275,17 +293,30 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similarity: float = SIMI
     apart = apart.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).where("of_a <> of_b")
     apart = written(apart, "pairs-apart")
     more = similar_links(apart, sets, similarity).join(apart, ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    joined = connected_components(more)
-    named = first.join(groups, F.col("first") == F.col("node"), "left").select("copy", F.coalesce("component", "first").alias("group"))
-    named = named.join(joined, F.col("group") == F.col("node"), "left").select("copy", F.coalesce("component", "group").alias("component_id"))
-    return sketch.select("doc_id", "copy").distinct().join(written(named, "named"), "copy")
+    named = _merged(alone.select(F.col("doc_id").alias("copy"), F.col("doc_id").alias("group")), groups)
+    named = written(_merged(named, connected_components(more)), "named")
+    return written(sketch.select("doc_id", "copy").distinct().join(named, "copy"), "grouped")
+
+
+def near_duplicates(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, copy, component_id) for every distinct (doc_id, copy) in ``docs``: component_id
+    is the smallest id of the group, null if all are null."""
+    rows = near_groups(docs, size, similarity)
+    return rows.join(rows.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group").select("doc_id", "copy", "component_id")
+
+
+def _merged(named: DataFrame, components: DataFrame) -> DataFrame:
+    """(copy, group) with the groups that ``components`` (node, component) joins under one name."""
+    joined = named.join(components, F.col("group") == F.col("node"), "left")
+    return joined.select("copy", F.coalesce("component", "group").alias("group"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; of its repeated rows
-    one. A row with a null id is kept unless it is a copy of a row with an id."""
+    """One row of each group stays: one with the smallest id, with a null id only if the group
+    has no other; of that id's texts in the group and of repeated rows also one."""
     own = docs.columns
-    groups = near_duplicates(docs)
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stays.select(F.col("doc_id").alias("_n_id")), F.col("doc_id").cast("long").eqNullSafe(F.col("_n_id")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "copy"))
+    stays = near_groups(docs).groupBy("group").agg(first.alias("first")).select(*[F.col(f"first.{c}").alias(f"_n_{c}") for c in ("none", "id", "copy")])
+    keyed = with_copies(docs, "_n_copy").withColumn("_n_none", F.col("doc_id").isNull()).withColumn("_n_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    kept = keyed.join(stays, ["_n_none", "_n_id", "_n_copy"]).dropDuplicates(["_n_none", "_n_id", "_n_copy"])
     return kept.select(*[F.col(f"`{c}`") for c in own])

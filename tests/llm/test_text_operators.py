@@ -166,3 +166,13 @@ def test_near_duplicates_find_copies_with_a_repeated_passage(frame):
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + passage * 25))]
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(rows)).collect()}
     assert got == {k: k - k % 2 for k in range(40)}
+
+
+def test_near_duplicates_keep_one_row_of_repeated_and_null_ids(frame):
+    rng = random.Random(9)
+    a, b, c, d, e = ([f"{x}{rng.randrange(10**6)}" for _ in range(120)] for x in "abcde")
+    near = lambda words: " ".join([*words[:60], "changed", *words[61:]])
+    a_, b_, c_, d_, e_ = map(" ".join, (a, b, c, d, e))
+    rows = [(1, a_), (1, a_), (1, near(a)), (2, b_), (2, c_), (None, d_), (None, d_), (None, near(d)), (None, near(b)), (None, c_), (None, e_), (0, near(e))]
+    kept = Counter((r.doc_id, r.text[0]) for r in simhash.stage(frame(rows).sparkSession, frame(rows), "").collect())
+    assert kept == Counter([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (0, "e")])
