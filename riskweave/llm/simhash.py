@@ -9,7 +9,9 @@ points one bit away, without pairing their members, and lookups then leave out p
 whose members are already known to hang together.
 
 ``near_duplicates`` finds documents whose sets of five-word shingles have a Jaccard
-similarity of at least 0.8, for the pipeline.
+similarity of at least 0.8, for the pipeline. A first search among neighbours in sorted
+order joins large families without pairing them; a second, by prefixes of ordered
+shingles, finds every similar pair that is still apart.
 
 Null texts count as empty. Texts without a word have fingerprint zero and are linked like
 any other by ``fingerprint_groups``; by ``near_duplicates`` all of them are copies of one
@@ -127,12 +129,16 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Smallest shingle hashes of a document under which it is looked up.
 KEYS = 16
-#: Pairs at a similarity of 0.8 differ in about 10 of 64 bits; beyond this they are not compared in full.
+#: Pairs at a similarity of 0.8 differ in about 10 of 64 bits; beyond this the first search leaves them to the second.
 FAR_BITS = 24
 #: The bitmap of ids in pairs has two to this power of bits, 8 MB.
 FILTER_BITS = 26
-#: Rows after a row, in the order of a key, that it is compared with.
+#: Rows after a row, in the order of a key, that the first search compares it with.
 REACH = 8
+#: Shingles counted as common at most; they come last in the order of the second search.
+COMMON = 1 << 16
+#: One text in so many is counted for them.
+COUNTED = 16
 
 
 def _copies(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -159,9 +165,53 @@ def with_copies(docs: DataFrame, name: str, size: int = WORDS) -> DataFrame:
     return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
-def sketches(docs: DataFrame, size: int = WORDS, keys: int = KEYS) -> DataFrame:
-    """(doc_id, copy, fp, n, keys, shingles) of every row. ``copy`` is equal for equal word
-    sequences; ``shingles`` has the sorted distinct 32-bit hashes as bytes."""
+def common_shingles(docs: DataFrame, size: int = WORDS, at_most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many texts hold, and their counts in a part of the texts.
+
+    They only set the order in which ``sketches`` looks at shingles: any order gives the same
+    result, this one keeps shingles of large families out of the lookups.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches):
+            hashes, bounds = _shingles(data, offsets, size)
+            sets = [np.unique(hashes[bounds[k] : bounds[k + 1]]) for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+
+    part = docs.where(f"pmod(xxhash64(text), {COUNTED}) = 0").select("text")
+    counts = written(map_arrow(part, run, "shingle long").groupBy("shingle").count().where("count > 1"), "counts")
+    levels = counts.groupBy(F.expr("least(count, 10000)").alias("level")).count().orderBy(F.desc("level")).collect()
+    least, total = 10_001, 0
+    for level, n in levels:
+        total += n
+        if total > at_most:
+            break
+        least = level
+    found = counts.where(F.col("count") >= least).orderBy("shingle").toPandas()
+    shingles = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], found["count"].to_numpy(np.int64)[order]
+
+
+def _length(n, share: float):
+    """How many of n ordered shingles a set can be looked up by, if it shares this share of them."""
+    return n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
+
+
+def sketches(docs: DataFrame, size: int = WORDS, keys: int = KEYS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, copy, fp, n, keys, prefix, shingles) of every row. ``copy`` is equal for equal word
+    sequences; ``prefix`` has the rarest hashes, of which two similar texts have one in common;
+    ``shingles`` has the sorted distinct 32-bit hashes as bytes."""
+    common, counts = common_shingles(docs, size)
+
+    def rarest(s: np.ndarray) -> np.ndarray:
+        if not len(s):
+            return s
+        held = np.zeros(len(s), np.int64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+            held = np.where(common[at] == s, counts[at], 0)
+        return s[np.argsort(held, kind="stable")[: _length(np.int64(len(s)), similarity)]]  # s is sorted: ties by hash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
@@ -173,10 +223,11 @@ def sketches(docs: DataFrame, size: int = WORDS, keys: int = KEYS) -> DataFrame:
                 batch.column("doc_id"), pa.array(copy.view(np.int64)), pa.array(fp.view(np.int64)),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([s[:keys].view(np.int64) for s in sets], pa.list_(pa.int64())),
+                pa.array([rarest(s).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 pa.array([np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets], pa.binary()),
-            ], ["doc_id", "copy", "fp", "n", "keys", "shingles"])
+            ], ["doc_id", "copy", "fp", "n", "keys", "prefix", "shingles"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, copy long, fp long, n long, keys array<long>, shingles binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, copy long, fp long, n long, keys array<long>, prefix array<long>, shingles binary")
 
 
 def neighbours(sketch: DataFrame, similarity: float, far_bits: int = FAR_BITS, reach: int = REACH) -> DataFrame:
@@ -244,10 +295,33 @@ def neighbours(sketch: DataFrame, similarity: float, far_bits: int = FAR_BITS, r
     return pairs.groupBy("a", "b").agg(F.min("step").alias("step"))
 
 
-def perhaps_in(rows: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The ``rows`` whose doc_id is in ``ids``, and few others: those that share a bit with one
+def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b, of_a, of_b) of texts from different groups that may be similar, and all that are.
+
+    ``rows`` has (doc_id, group, n, prefix). In any one order of shingles, two sets at the
+    similarity have a shingle in common among the first of each: of the longer set's as
+    many as ``prefix`` has, of the shorter set's about half as many. Their lengths and the
+    places of the first common shingle bound what they share. Shingles that only texts of
+    one group hold are left out before texts are paired, so a family that the first search
+    has joined is not paired out.
+    """
+    both = similarity / (1 + similarity)
+    keyed = rows.select("doc_id", "group", "n", F.posexplode("prefix").alias("pos", "key"))
+    spread = keyed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
+    spread = written(spread, "spread-shingles")
+    held = written(perhaps_in(keyed, spread, "key").join(spread, "key"), "held")
+    x = held.select("key", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "group", "n", "pos")])
+    y = held.where(f"pos <= n - ceil({2 * both!r}D * n - 1e-9D)").select("key", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "group", "n", "pos")])
+    near = F.expr(f"""group_x <> group_y AND (n_y < n_x OR n_y = n_x AND doc_id_y < doc_id_x) AND n_y >= {similarity!r}D * n_x - 1e-9D
+        AND 1 + least(n_x - pos_x - 1, n_y - pos_y - 1) >= {both!r}D * (n_x + n_y) - 1e-9D""")
+    found = x.join(y, "key").where(near)
+    return found.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"), F.col("group_x").alias("of_a"), F.col("group_y").alias("of_b")).distinct()
+
+
+def perhaps_in(rows: DataFrame, ids: DataFrame, column: str = "doc_id", bits: int = FILTER_BITS) -> DataFrame:
+    """The ``rows`` whose ``column`` is in ``ids``, and few others: those that share a bit with one
     in a bitmap of fixed size. It keeps wide rows out of a shuffle; an exact join follows."""
-    place = f"pmod(xxhash64(doc_id), {1 << bits}L) + 1"
+    place = f"pmod(xxhash64({column}), {1 << bits}L) + 1"
     marks = ids.select(F.expr(place).alias("_s_place")).groupBy(F.expr("bitmap_bucket_number(_s_place)").alias("_s_bucket"))
     marks = marks.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_s_place))").alias("_s_marks"))
     placed = rows.withColumn("_s_place", F.expr(place)).withColumn("_s_bucket", F.expr("bitmap_bucket_number(_s_place)"))
@@ -283,7 +357,7 @@ def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
 def near_groups(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, copy, group) for every distinct (doc_id, copy) in ``docs``, a written table. The
     search is among distinct texts, named by ``copy``; ids may be null and need not be unique."""
-    sketch = written(sketches(docs, size), "sketches")
+    sketch = written(sketches(docs, size, similarity=similarity), "sketches")
     alone = written(sketch.drop("doc_id", "shingles").dropDuplicates(["copy"]).withColumnRenamed("copy", "doc_id"), "distinct-sketches")
     pairs = written(neighbours(alone, similarity), "pairs")
     sets = written(shingle_sets(pairs, sketch), "sets")
@@ -295,6 +369,11 @@ def near_groups(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARI
     more = similar_links(apart, sets, similarity).join(apart, ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     named = _merged(alone.select(F.col("doc_id").alias("copy"), F.col("doc_id").alias("group")), groups)
     named = written(_merged(named, connected_components(more)), "named")
+    # then all pairs that are still in different groups, by shingles in common
+    texts = alone.join(named.withColumnRenamed("copy", "doc_id"), "doc_id").select("doc_id", "group", "n", "prefix")
+    apart = written(prefix_pairs(texts, similarity), "prefix-pairs")
+    more = similar_links(apart, written(shingle_sets(apart, sketch), "sets"), similarity).join(apart, ["a", "b"])
+    named = written(_merged(named, connected_components(more.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))), "named")
     return written(sketch.select("doc_id", "copy").distinct().join(named, "copy"), "grouped")
 
 

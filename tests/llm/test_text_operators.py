@@ -176,3 +176,19 @@ def test_near_duplicates_keep_one_row_of_repeated_and_null_ids(frame):
     rows = [(1, a_), (1, a_), (1, near(a)), (2, b_), (2, c_), (None, d_), (None, d_), (None, near(d)), (None, near(b)), (None, c_), (None, e_), (0, near(e))]
     kept = Counter((r.doc_id, r.text[0]) for r in simhash.stage(frame(rows).sparkSession, frame(rows), "").collect())
     assert kept == Counter([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (0, "e")])
+
+
+def test_near_duplicates_without_a_common_lookup_key(frame):
+    rng = random.Random(10)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+    hashes, _ = simhash._shingles(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]), simhash.WORDS)
+    edited = list(words)
+    for k in np.argsort(hashes)[: simhash.KEYS]:
+        edited[k] = f"x{k}"
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame([(1, " ".join(words)), (2, " ".join(edited))])).collect()}
+    assert got == {1: 1, 2: 1}
+
+
+def test_near_duplicates_are_complete_without_the_first_search(frame, monkeypatch):
+    monkeypatch.setattr(simhash, "neighbours", lambda sketch, *_: sketch.sparkSession.createDataFrame([], "a long, b long, step int"))
+    test_near_duplicates_equal_brute_force_in_families_around_the_threshold(frame)
