@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, language_id, packing, quality_classifier, quality_rules, sharding, simhash, token_shards, warc, whitening
+from . import alignment, decontamination, html_text, language_id, packing, quality_classifier, quality_rules, sharding, simhash, token_shards, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_extraction": html_text.op9_html_extraction,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
         "op12_whitening": whitening.op12_whitening,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
