@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one numpy pass works on. Bounds a worker's memory; a longer text is a slice of its own.
 SLICE_BYTES = (2 << 20) - 1
@@ -101,3 +101,19 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values[bounds[i]:bounds[i + 1]], zero for empty ranges."""
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+#: A value with more than one in so many rows meets its rows by broadcast: so many values at most.
+HOT = 1_000
+
+
+def join_copies(rows: DataFrame, distinct: DataFrame, on: str, columns: list[str]) -> DataFrame:
+    """``rows`` with the ``columns`` of ``distinct`` (on, copies, ...), a written table of one row for
+    each value of ``on`` that has ``copies`` rows; null where there is none. Values with very many
+    copies are broadcast, the others joined by a shuffle."""
+    total = distinct.agg(F.sum("copies")).first()[0] or 0
+    hot = distinct.where(F.col("copies") * HOT > total).select(on, *[F.col(c).alias(f"_hot_{c}") for c in columns], F.lit(True).alias("_hot"))
+    met = rows.join(F.broadcast(hot), on, "left")
+    common = met.where("_hot").select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in columns])
+    rare = met.where("_hot IS NULL").select(*rows.columns).join(distinct.where(F.col("copies") * HOT <= total).select(on, *columns), on, "left")
+    return common.union(rare.select(*common.columns))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontamination, html_text, language_id, packing, quality_classifier, quality_rules, sharding, simhash, token_shards, warc, whitening
+from . import alignment, decontamination, html_text, language_id, neighbour_graph, packing, quality_classifier, quality_rules, sharding, simhash, token_shards, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.op8_warc,
         "op9_html_extraction": html_text.op9_html_extraction,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_near_dedup": neighbour_graph.op11_near_dedup,
         "op12_whitening": whitening.op12_whitening,
         "op13_alignment": alignment.op13_alignment,
     }

@@ -26,15 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_arrow, table, written
+from .common import join_copies, map_arrow, table, written
 
 COMPONENTS = 16
 #: Quantisation of the query: a step of 1/64, and an offset that keeps usual values positive.
 SCALE, OFFSET = 64, 1_000_000
 #: Numbers that one matrix product works on.
 BLOCK = 1 << 20
-#: A vector with more than one in so many rows is joined back by broadcast: at most as many vectors.
-HOT = 1_000
 
 
 class Whitening(NamedTuple):
@@ -167,13 +165,8 @@ def whiten(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding"
         nothing = x.where("false").select(id_column, F.lit(0).cast("long").alias("deviation"), F.array(F.lit(0.0)).alias("z"))
         return nothing, model, 0.0
     projected = written(whitened(distinct, model), "whitened")
-    total = distinct.agg(F.sum("copies")).first()[0]
-    # vectors with very many copies meet their rows by broadcast, at most HOT of them; the others by a shuffle
-    hot = projected.where(F.col("copies") * HOT > total).select("x", F.col("deviation").alias("hot_deviation"), F.col("z").alias("hot_z"))
-    rest = x.join(F.broadcast(hot), "x", "left")
-    rare = rest.where("hot_z IS NULL").select(id_column, "x").join(projected.where(F.col("copies") * HOT <= total), "x").select(id_column, "deviation", "z")
-    common = rest.where("hot_z IS NOT NULL").select(id_column, F.col("hot_deviation").alias("deviation"), F.col("hot_z").alias("z"))
-    return rare.union(common), model, identity_error(projected, model.n)
+    found = join_copies(x, projected, "x", ["deviation", "z"]).select(id_column, "deviation", "z")
+    return found, model, identity_error(projected, model.n)
 
 
 def op12_whitening(spark, sf_dir: str) -> DataFrame:
