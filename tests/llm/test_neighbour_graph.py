@@ -16,7 +16,7 @@ def plain(rows, threshold=0.95):
     """{position: (vec_id, n_links, component_id, kept)} by all pairs."""
     whole = [k for k, (_, v) in enumerate(rows) if v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
     linked, n_links = {k: k for k in range(len(rows))}, dict.fromkeys(range(len(rows)), 0)
-    x = np.array([rows[k][1] for k in whole], np.float32).astype(float)
+    x = np.array([rows[k][1] for k in whole] or [[1.0]], np.float32).astype(float)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
 
     def root(k):
@@ -24,7 +24,7 @@ def plain(rows, threshold=0.95):
             k = linked[k]
         return k
 
-    for p, q in np.argwhere(np.triu(x @ x.T >= threshold, 1)):
+    for p, q in np.argwhere(np.triu(x @ x.T >= threshold, 1)[: len(whole)]):
         p, q = whole[p], whole[q]
         n_links[p] += 1
         n_links[q] += 1
