@@ -49,9 +49,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
+    """``df.mapInArrow`` with this package at hand in the workers. Workers live on between tasks
+    and stages; what a task has freed goes back to the machine when it ends."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def released(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(released, schema)
 
 
 def scratch(spark: SparkSession, label: str) -> str:

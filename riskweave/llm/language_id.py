@@ -157,10 +157,11 @@ def trained(spark, sf_dir: str) -> Filters:
 
 def stage(spark, docs: DataFrame, sf_dir: str, min_score: float = MIN_SCORE) -> DataFrame:
     """Drops texts of no known language: ``und``, or a best share below ``min_score``."""
+    # every column under a name that can't clash; the text goes to the workers once beside its lowered form
     own = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_l_row"), "text").withColumnRenamed("_l_row", "row_of")
+    inner = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"_own_{k}") for k, c in enumerate(own)])
     kept = identify(inner, trained(spark, sf_dir)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return kept.select("row_of.*")
+    return kept.select(*[F.col("text" if c == "text" else f"_own_{k}").alias(c) for k, c in enumerate(own)])
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

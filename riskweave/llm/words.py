@@ -40,9 +40,13 @@ def find_words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -
     return Words(starts, ends, np.searchsorted(starts, offsets))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE), np.full(n, _INVERSE)
+#: Bytes that one pass of the word hashes covers: the tables of powers have this length.
+SPAN = 1 << 21
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(SPAN, _BASE), np.full(SPAN, _INVERSE)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
@@ -57,13 +61,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial by differences of running sums, then mixed."""
-    if not len(words.starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(1 << int(len(data)).bit_length())
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[: len(data)], out=total[1:])
-    return mix((total[words.ends] - total[words.starts]) * up[words.starts] + (words.ends - words.starts).astype(np.uint64))
+    """A 64-bit hash of each word's bytes: a polynomial by differences of running sums, then mixed.
+    Of a word longer than ``SPAN`` the hashes of its parts are mixed in turn, so memory is bounded."""
+    out = np.zeros(len(words.starts), np.uint64)
+    up, down = _powers()
+    at = 0
+    while at < len(out):
+        low = int(words.starts[at])
+        to = int(np.searchsorted(words.ends, low + SPAN, "right"))
+        if to == at:  # longer than the span
+            parts = [low + k for k in range(0, int(words.ends[at]) - low, SPAN)]
+            for s, e in zip(parts, [*parts[1:], int(words.ends[at])]):
+                part = np.sum((data[s:e].astype(np.uint64) + np.uint64(1)) * down[: e - s], dtype=np.uint64)
+                out[at] = mix(out[at : at + 1] * _BASE + part)[0]
+            at += 1
+            continue
+        high = int(words.ends[to - 1])
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * down[: high - low], out=total[1:])
+        starts, ends = words.starts[at:to] - low, words.ends[at:to] - low
+        out[at:to] = mix((total[ends] - total[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+        at = to
+    return out
 
 
 def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

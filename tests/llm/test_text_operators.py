@@ -192,3 +192,13 @@ def test_near_duplicates_without_a_common_lookup_key(frame):
 def test_near_duplicates_are_complete_without_the_first_search(frame, monkeypatch):
     monkeypatch.setattr(simhash, "neighbours", lambda sketch, *_: sketch.sparkSession.createDataFrame([], "a long, b long, step int"))
     test_near_duplicates_equal_brute_force_in_families_around_the_threshold(frame)
+
+
+def test_language_stage_keeps_columns_of_clashing_names(spark, frame, tmp_path):
+    rows = [(1, "plain words of a text", "en"), (2, None, None), (3, "plain words of a text", "en")]
+    schema = "doc_id long, text string, lang string, score string, lang_pred string, row_of string"
+    docs = spark.createDataFrame([(*r, "s", "p", "r") for r in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = language_id.stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "plain words of a text", "en", "s", "p", "r"), (3, "plain words of a text", "en", "s", "p", "r")]
