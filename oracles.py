@@ -489,7 +489,8 @@ SELECT label, is_test, CAST(CASE WHEN is_test = 1 THEN floor(n * 0.2) ELSE n - f
 FROM (SELECT CAST(c % 6 = 2 AS BIGINT) AS label, count(*) AS n FROM us GROUP BY 1), (SELECT unnest([0::BIGINT, 1::BIGINT]) AS is_test)""", "us")
     o["smote_balance"] = _sql("SELECT label, greatest(p, q) AS n FROM (SELECT count(*) FILTER (c % 6 = 2) AS p, count(*) FILTER (c % 6 <> 2) AS q FROM us), (SELECT unnest([0::BIGINT, 1::BIGINT]) AS label)", "us")
     o["lof_neighbours"] = """
-WITH p AS (SELECT c_custkey AS c, CAST(floor(c_acctbal / 1000) AS DOUBLE) AS x, CAST(c_nationkey AS DOUBLE) AS y, CAST(c_custkey % 9 AS DOUBLE) AS z FROM customer),
+WITH o AS (SELECT o_custkey AS c_custkey, count(*) AS n, sum(CAST(o_totalprice AS DOUBLE)) AS spent FROM orders GROUP BY 1),
+ p AS (SELECT c_custkey AS c, CAST(c_acctbal AS DOUBLE) / 1000 AS x, round(coalesce(spent, 0), 2) / 100000 AS y, CAST(coalesce(n, 0) AS DOUBLE) AS z FROM customer LEFT JOIN o USING (c_custkey)),
  d AS (SELECT p.c, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS d FROM p, p AS q WHERE p.c <> q.c),
  r AS (SELECT c, d, row_number() OVER (PARTITION BY c ORDER BY d) AS rn FROM d)
 SELECT CAST(c AS VARCHAR) AS user_id, round(d, 6) AS k_distance FROM r WHERE rn = 20"""

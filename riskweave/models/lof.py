@@ -11,8 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.models.neighbours import Leaves, PointIndex, distinct_points, nearest, neighbours_among
-from riskweave.models.vectors import as_matrix
+from riskweave.models.neighbours import PointIndex, distinct_points, nearest, neighbours_among
 from riskweave.session import checkpointed
 
 __all__ = ["LocalOutlierFactor", "nearest", "weighted_quantile"]
@@ -102,16 +101,11 @@ class LocalOutlierFactor:
         return pts.join(known, "x", "left").select("id", (-F.coalesce("factor", F.lit(1.0)) - self.offset).alias("decision"))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.index.points.write.mode("overwrite").parquet(f"{path}/points")
+        self.index.save(path)
         self.fitted.write.mode("overwrite").parquet(f"{path}/fitted")
-        v = self.index.leaves
-        rows = [(int(i), p.tolist(), float(low), float(high), int(w)) for i, p, low, high, w in zip(v.ids, v.pivots, v.low, v.high, v.weight)]
-        spark.createDataFrame(rows, "leaf bigint, pivot array<double>, low double, high double, n bigint").write.mode("overwrite").parquet(f"{path}/leaves")
-        spark.createDataFrame([(self.k, self.offset)], "k int, offset double").write.mode("overwrite").parquet(f"{path}/meta")
+        spark.createDataFrame([(self.k, self.offset, len(self.index.levels))], "k int, offset double, levels int").write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "LocalOutlierFactor":
         meta = spark.read.parquet(f"{path}/meta").first()
-        s = spark.read.parquet(f"{path}/leaves").orderBy("leaf").toPandas()  # one row per leaf
-        leaves = Leaves(s["leaf"].to_numpy(), as_matrix(s["pivot"]), s["low"].to_numpy(), s["high"].to_numpy(), s["n"].to_numpy())
-        return LocalOutlierFactor(PointIndex(spark.read.parquet(f"{path}/points"), leaves), spark.read.parquet(f"{path}/fitted"), meta["k"], meta["offset"])
+        return LocalOutlierFactor(PointIndex.load(spark, path, meta["levels"]), spark.read.parquet(f"{path}/fitted"), meta["k"], meta["offset"])

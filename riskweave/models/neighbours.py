@@ -1,20 +1,28 @@
-"""Exact nearest neighbours among all points of a table, as joins of bounded blocks.
-
-Exact copies are one point with a weight, so a large group of copies costs nothing.
-Points go to the nearest of a few pivots; a pivot's cell is cut into leaves of about
-``LEAF_POINTS``. A query first searches the leaf around it, which bounds the distance
-of its farthest neighbour, and then every leaf that the triangle inequality cannot rule
-out. Queries that meet a leaf are cut into blocks too, so no task holds more than one
-leaf and one block. Pivots and leaf bounds (one row per leaf) are the only broadcast.
+"""Exact nearest neighbours among all points of a table, by a tree of pivots.
+
+Exact copies are one point with a weight, so a large group of copies costs nothing. The
+tree is built level by level: a cell of more than ``LEAF_POINTS`` points is split among up
+to ``FAN`` of its points that lie far apart, each point going to the nearest, and a node
+keeps the ranges of distances from each child's points to each pivot. A cell that is still
+too full is split again by distance, so the tree is deep where points are dense. Only the
+nodes of one level are looked at at a time: up to ``SHARED`` of them are sent to all tasks,
+more are joined with what arrives at their cells, in bounded parts.
+
+A search runs down the tree twice. First to the leaf around the query, whose points bound
+the distance of its farthest neighbour; then into every cell that the ranges cannot rule out
+by the triangle inequality. Queries that meet a leaf are cut into blocks, so no task holds
+more than one leaf and one block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskweave.models.vectors import as_matrix
 from riskweave.session import checkpointed
@@ -22,6 +30,12 @@ from riskweave.session import checkpointed
 LEAF_POINTS = 2048
 QUERY_POINTS = 4096
 BLOCK = 256
+#: Children of a node, and points of a cell among which they are chosen.
+FAN, CANDIDATES = 16, 64
+#: Nodes of a level that are sent to all tasks; of more none is.
+SHARED = 256
+#: Cells are numbered from the root, child i of cell c being c * FAN + i + 1; so deep they fit into long.
+MOST_LEVELS = 14
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -49,82 +63,139 @@ def distinct_points(pts: DataFrame) -> DataFrame:
     return checkpointed(grouped.select(F.monotonically_increasing_id().alias("pid"), "x", "n"))
 
 
-@dataclass(frozen=True)
-class Leaves:
-    """One entry per leaf: its cell's pivot, how near and far its points lie, and their weight."""
+class Node(NamedTuple):
+    """An inner cell: its pivots, and for each child (row) how near and far its points lie to each pivot."""
 
-    ids: np.ndarray
     pivots: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    weight: np.ndarray
+    n: np.ndarray
+
+    @staticmethod
+    def of(row) -> "Node":
+        return Node(*(np.stack([np.asarray(v, float) for v in row[c]]) for c in ("pivots", "low", "high")), np.asarray(row["n"], float))
 
-    def bounds(self, x: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distance to each leaf's pivot, least distance to its points, distance that holds ``need`` points)."""
+    def children(self, x: np.ndarray, within: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distance to each pivot, least distance to each child's points, a distance that holds ``need`` points)."""
         d = distances(x, self.pivots)
-        least = np.maximum(np.maximum(d - self.high, self.low - d), 0.0)
-        order = np.argsort(d + self.high, axis=1)
-        enough = np.cumsum(self.weight[order], axis=1) >= need
-        last = np.where(enough.any(axis=1), enough.argmax(axis=1), 0)
-        reach = np.take_along_axis(d + self.high, order, axis=1)[np.arange(len(x)), last]
-        return d, least, np.where(enough.any(axis=1), reach, np.inf)
+        least = np.maximum(np.maximum(self.low[None] - d[:, None], d[:, None] - self.high[None]).max(axis=2), 0.0)
+        most = (d[:, None] + self.high[None]).min(axis=2)
+        order = np.argsort(most, axis=1)
+        enough = np.cumsum(self.n[order], axis=1) >= need
+        reach = np.take_along_axis(most, order, axis=1)[np.arange(len(x)), enough.argmax(axis=1)]
+        return d, least, np.minimum(within, np.where(enough.any(axis=1), reach, np.inf))
+
+
+def _meet(rows: DataFrame, nodes: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run(rows of a cell, its node or None)`` for the cells of ``rows``, in blocks."""
+    few = nodes.limit(SHARED + 1).toPandas()
+    if len(few) <= SHARED:
+        shared = rows.sparkSession.sparkContext.broadcast({r["cell"]: Node.of(r) for _, r in few.iterrows()})
+
+        def local(batches):
+            for pdf in batches:
+                for cell, part in pdf.groupby("cell", sort=False):
+                    for start in range(0, len(part), BLOCK):
+                        yield run(part.iloc[start:start + BLOCK], shared.value.get(cell))
+
+        return rows.mapInPandas(local, schema)
+    parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_POINTS).alias("parts"))
+    dealt = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64(rows.columns[0]), F.col("parts"))).drop("parts")
+    held = nodes.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def meet(part: pd.DataFrame, node: pd.DataFrame) -> pd.DataFrame:
+        one = Node.of(node.iloc[0]) if len(node) else None
+        part = part.drop(columns="part")
+        blocks = [run(part.iloc[start:start + BLOCK], one) for start in range(0, len(part), BLOCK)]
+        return pd.concat(blocks) if blocks else pd.DataFrame()
+
+    return dealt.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInPandas(meet, schema)
+
+
+def _pivots(cell: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Points of a cell that lie far apart: each is the farthest from all before it."""
+    x = as_matrix(pdf.sort_values("pid")["x"])
+    chosen, away = [0], distances(x, x[:1])[:, 0]
+    while len(chosen) < FAN and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, distances(x, x[chosen[-1:]])[:, 0])
+    return pd.DataFrame({"cell": [cell[0]], "pivots": [[x[k].tolist() for k in chosen]]})
+
+
+def _split(points: DataFrame, leaf_points: int) -> tuple[DataFrame, DataFrame] | None:
+    """(points with their new cells, the nodes of this level), or nothing where no cell is too full."""
+    full = checkpointed(points.groupBy("cell").count().where(F.col("count") > leaf_points).select("cell"))
+    if full.isEmpty():
+        return None
+    crowded = points.join(full, "cell", "left_semi")
+    by_hash = Window.partitionBy("cell").orderBy(F.xxhash64("pid"), "pid")
+    some = crowded.withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= CANDIDATES).select("cell", "pid", "x")
+    pivots = checkpointed(some.groupBy("cell").applyInPandas(_pivots, "cell bigint, pivots array<array<double>>"))
+    def route(part: pd.DataFrame, node: Node | None) -> pd.DataFrame:
+        if node is None:
+            return part.assign(parent=-1, d=None)
+        d = distances(as_matrix(part["x"]), node.pivots)
+        return part.assign(parent=part["cell"], cell=part["cell"] * FAN + d.argmin(axis=1) + 1, d=list(d))
+
+    unranged = pivots.select("cell", "pivots", F.col("pivots").alias("low"), F.col("pivots").alias("high"), F.array(F.lit(0)).alias("n"))
+    routed = checkpointed(_meet(points.select("pid", "x", "n", "cell"), unranged, route, "pid bigint, x array<double>, n bigint, cell bigint, parent bigint, d array<double>"))
+    ranges = [f(F.get("d", F.lit(k))).alias(f"{name}{k}") for name, f in (("low", F.min), ("high", F.max)) for k in range(FAN)]
+    children = routed.where("parent >= 0").groupBy("parent", "cell").agg(F.sum("n").alias("n"), *ranges)
+    present = [F.array_compact(F.array(*[f"{name}{k}" for k in range(FAN)])).alias(name) for name in ("low", "high")]
+    children = children.select(F.col("parent").alias("cell"), F.struct(F.col("cell").alias("child"), *present, "n").alias("child"))
+    nodes = children.groupBy("cell").agg(F.sort_array(F.collect_list("child")).alias("children"))  # at most FAN
+    nodes = pivots.join(nodes, "cell").select("cell", "pivots", "children.low", "children.high", "children.n")
+    return routed.select("pid", "x", "n", "cell"), checkpointed(nodes)
 
 
 @dataclass(frozen=True)
 class PointIndex:
-    points: DataFrame  # pid, x, n, leaf
-    leaves: Leaves
+    points: DataFrame  # pid, x, n, cell (a leaf)
+    levels: tuple[DataFrame, ...]  # cell, pivots, low, high, n of the inner cells, from the root down
 
     @staticmethod
     def build(points: DataFrame, leaf_points: int = LEAF_POINTS) -> "PointIndex":
         """Index of (pid, x, n) with distinct x. The answers do not depend on the pivots."""
-        cells = max(1, -(-points.count() // leaf_points))
-        chosen = points.orderBy(F.xxhash64("pid"), "pid").limit(cells)
-        pivots = as_matrix(chosen.select("x").toPandas()["x"])  # one row per cell
-        shared = points.sparkSession.sparkContext.broadcast(pivots)
+        placed, levels = points.select("pid", "x", "n", F.lit(0).cast("bigint").alias("cell")), []
+        while len(levels) < MOST_LEVELS and (found := _split(placed, leaf_points)):
+            placed = found[0]
+            levels.append(found[1])
+        return PointIndex(checkpointed(placed), tuple(levels))
 
-        def assign(batches):
-            for pdf in batches:
-                if len(pdf):
-                    d, cell = nearest(as_matrix(pdf["x"]), shared.value, 1)
-                    yield pdf.assign(cell=cell[:, 0], away=d[:, 0])
-
-        placed = points.select("pid", "x", "n").mapInPandas(assign, "pid bigint, x array<double>, n bigint, cell bigint, away double")
-        placed = checkpointed(placed)
-        sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / leaf_points).alias("parts"))
-        leaf = F.col("cell") * (1 << 24) + F.pmod(F.xxhash64("pid"), F.col("parts"))
-        placed = checkpointed(placed.join(sizes, "cell").select("pid", "x", "n", leaf.alias("leaf"), "cell", "away"))
-        s = placed.groupBy("leaf", "cell").agg(F.min("away").alias("low"), F.max("away").alias("high"), F.sum("n").alias("n")).orderBy("leaf").toPandas()
-        leaves = Leaves(s["leaf"].to_numpy(), pivots[s["cell"].to_numpy()] if len(s) else pivots, s["low"].to_numpy(), s["high"].to_numpy(), s["n"].to_numpy())
-        return PointIndex(placed.select("pid", "x", "n", "leaf"), leaves)
-
-    def _visits(self, queries: DataFrame, need: int, home: bool) -> DataFrame:
-        """(q, x, leaf, within): the leaf around each query, or all others that its ``within`` reaches."""
-        shared = queries.sparkSession.sparkContext.broadcast(self.leaves)
-
-        def run(batches):
-            leaves = shared.value
-            for pdf in batches:
-                for start in range(0, len(pdf), BLOCK):
-                    part = pdf.iloc[start:start + BLOCK]
-                    d, least, within = leaves.bounds(as_matrix(part["x"]), need)
-                    own = d.argmin(axis=1)
-                    if home:
-                        row, leaf = np.arange(len(part)), own
-                    else:
-                        within = np.minimum(within, part["within"].to_numpy())
-                        reached = least <= within[:, None] * (1 + 1e-9)
-                        reached[np.arange(len(part)), own] = False
-                        row, leaf = np.nonzero(reached)
-                    yield pd.DataFrame({"q": part["q"].to_numpy()[row], "x": part["x"].to_numpy()[row], "leaf": leaves.ids[leaf], "within": within[row]})
-
-        return checkpointed(queries.mapInPandas(run, "q bigint, x array<double>, leaf bigint, within double"))
+    def save(self, path: str) -> None:
+        self.points.write.mode("overwrite").parquet(f"{path}/points")
+        for k, nodes in enumerate(self.levels):
+            nodes.withColumn("level", F.lit(k)).write.mode("append" if k else "overwrite").parquet(f"{path}/nodes")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, levels: int) -> "PointIndex":
+        inner = [spark.read.parquet(f"{path}/nodes").where(F.col("level") == k).drop("level") for k in range(levels)]
+        return PointIndex(spark.read.parquet(f"{path}/points"), tuple(inner))
+
+    def visits(self, queries: DataFrame, need: int, home: bool) -> DataFrame:
+        """(q, x, within, home, cell): the leaf around each query (q, x, within, home), or all leaves
+        but ``home`` that its ``within`` reaches. ``within`` shrinks to what the ranges promise."""
+        schema = "q bigint, x array<double>, within double, home bigint, cell bigint"
+
+        def run(part: pd.DataFrame, node: Node | None) -> pd.DataFrame:
+            if node is None:
+                return part
+            d, least, within = node.children(as_matrix(part["x"]), part["within"].to_numpy(), need)
+            row, child = (np.arange(len(part)), d.argmin(axis=1)) if home else np.nonzero(least <= within[:, None] * (1 + 1e-9))
+            out = part.iloc[row]
+            return out.assign(within=within[row], cell=out["cell"].to_numpy() * FAN + child + 1)
+
+        found = queries.select("q", "x", "within", "home", F.lit(0).cast("bigint").alias("cell"))
+        for nodes in self.levels:
+            found = _meet(found, nodes, run, schema)
+        return checkpointed(found if home else found.where("cell <> home"))
 
     def _search(self, visits: DataFrame, need: int) -> DataFrame:
         """(q, p, d, n): of each leaf met, the ``need`` nearest points within reach."""
-        parts = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_POINTS).alias("parts"))
-        asked = visits.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts"))).drop("parts")
-        held = self.points.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        parts = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_POINTS).alias("parts"))
+        asked = visits.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts"))).drop("parts")
+        own = self.points.select(*[F.col(c).alias(c) for c in self.points.columns])  # queries may come from the same table
+        held = own.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
         def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
             if not len(queries) or not len(points):
@@ -135,16 +206,18 @@ class PointIndex:
             p = p[row, at]
             return pd.DataFrame({"q": queries["q"].to_numpy()[row], "p": points["pid"].to_numpy()[p], "d": d[row, at], "n": points["n"].to_numpy()[p]})
 
-        keys = ["leaf", "part"]
+        keys = ["cell", "part"]
         return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(run, "q bigint, p bigint, d double, n bigint")
 
     def nearest(self, queries: DataFrame, need: int) -> DataFrame:
         """(q, p, d, taken): per query (q, x) its nearest points until ``need`` rows are taken."""
-        near = checkpointed(_first(self._search(self._visits(queries, need, home=True), need), need))
-        within = near.groupBy("q").agg(F.sum("taken").alias("taken"), F.max("d").alias("d"))
-        within = within.select("q", F.when(F.col("taken") >= need, F.col("d")).alias("within"))
-        bounded = queries.join(within, "q", "left").select("q", "x", F.coalesce("within", F.lit(float("inf"))).alias("within"))
-        others = self._search(self._visits(bounded, need, home=False), need)
+        start = queries.select("q", "x", F.lit(float("inf")).alias("within"), F.lit(-1).cast("bigint").alias("home"))
+        around = self.visits(start, need, home=True)
+        near = checkpointed(_first(self._search(around, need), need))
+        known = near.groupBy("q").agg(F.sum("taken").alias("taken"), F.max("d").alias("d"))
+        bound = F.least("within", F.when(F.col("taken") >= need, F.col("d")))  # least() passes over null
+        again = around.join(known, "q", "left").select("q", "x", bound.alias("within"), F.col("cell").alias("home"))
+        others = self._search(self.visits(again, need, home=False), need)
         return checkpointed(_first(near.select("q", "p", "d", "n").unionByName(others), need)).drop("n")
 
 

@@ -346,10 +346,14 @@ def _anomaly_ensemble(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lof_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The 20-distance of every customer over balance, nation and a residue of its key."""
-    raw = spark.read.parquet(f"{d}/customer.parquet")
-    numbers = F.floor(F.col("c_acctbal") / 1000), F.col("c_nationkey"), F.col("c_custkey") % 9
-    pts = raw.select(F.col("c_custkey").cast("string").alias("id"), F.array(*[c.cast("double") for c in numbers]).alias("x"))
+    """The 20-distance of every customer over its balance, spending and number of orders."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("double")).alias("spent"))
+    raw = spark.read.parquet(f"{d}/customer.parquet").join(orders, "c_custkey", "left")
+    # the sum is rounded to cents: it must not depend on the order of its terms
+    spent = F.round(F.coalesce("spent", F.lit(0.0)), 2) / 100_000
+    numbers = F.col("c_acctbal").cast("double") / 1000, spent, F.coalesce("n", F.lit(0)).cast("double")
+    pts = raw.select(F.col("c_custkey").cast("string").alias("id"), F.array(*numbers).alias("x"))
     return flat(k_distances(pts).withColumnRenamed("id", "user_id"))
 
 

@@ -50,20 +50,38 @@ def vectors_of(spark, x):
     return spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "x": x.tolist()}), "id bigint, x array<double>").repartition(4)
 
 
-def test_neighbours_are_exact_over_30000_points_with_copies(spark):
-    rng = np.random.default_rng(4)
-    x = np.concatenate([rng.normal(size=(15_000, 4)), rng.normal(size=(9_999, 4)) * 0.1 + 5, np.full((5_001, 4), 2.0)])
-    pts = vectors_of(spark, x)
-    found = distinct_points(pts)
-    assert found.count() == 25_000
-    index = PointIndex.build(found)
-    assert len(index.leaves.ids) > 10
-    near = neighbours_among(found, index, 10).groupBy("q").agg(F.max("d").alias("d"), F.sum("taken").alias("taken"))
-    got = near.join(found, F.col("q") == F.col("pid")).toPandas()
-    assert len(got) == 25_000 and (got["taken"] == 10).all()
-    probe = got.iloc[::50]
+def _visited(spark, n, leaf_points):
+    """k-distances held against brute force on a part, and how many points each query meets."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 4)) + rng.integers(0, 3, size=(n, 1)) * 4.0
+    found = distinct_points(vectors_of(spark, x))
+    index = PointIndex.build(found, leaf_points)
+    sizes = index.points.groupBy("cell").count()
+    assert sizes.agg(F.max("count")).first()[0] <= leaf_points and len(index.levels) >= 2
+    near = index.nearest(found.select(F.col("pid").alias("q"), "x"), 11)
+    far = near.groupBy("q").agg(F.max("d").alias("within"), F.sum("taken").alias("taken")).join(found, F.col("q") == F.col("pid"))
+    got = far.toPandas()
+    assert len(got) == n and (got["taken"] == 11).all()
+    probe = got.iloc[:: n // 300]
     want = np.sort(distances(np.stack(probe["x"]), x), axis=1)[:, 10]
-    assert np.allclose(probe["d"], want, atol=1e-12)
+    assert np.allclose(probe["within"], want, atol=1e-12)
+    met = index.visits(far.select("q", "x", "within", F.lit(-1).cast("bigint").alias("home")), 11, home=False)
+    return met.join(sizes, "cell").agg(F.sum("count")).first()[0] / n
+
+
+def test_neighbours_are_exact_and_work_grows_with_the_points(spark):
+    """Four times the points: each query meets about as many, not four times as many."""
+    small, large = _visited(spark, 5_000, 128), _visited(spark, 20_000, 128)
+    assert large < 1.6 * small and large < 20_000 / 8
+
+
+def test_nodes_may_be_joined_instead_of_shared(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(3_000, 3))
+    found = distinct_points(vectors_of(spark, x))
+    shared = {r.q: r.d for r in neighbours_among(found, PointIndex.build(found, 64), 7).groupBy("q").agg(F.max("d").alias("d")).collect()}
+    monkeypatch.setattr("riskweave.models.neighbours.SHARED", 0)
+    joined = {r.q: r.d for r in neighbours_among(found, PointIndex.build(found, 64), 7).groupBy("q").agg(F.max("d").alias("d")).collect()}
+    assert joined == shared and len(joined) == 3_000
 
 
 def test_neighbours_when_few_points_or_small_leaves(spark):
