@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskweave.functions.numbering import numbered
 from riskweave.functions.salting import salted_left_join
 from riskweave.operators.rules import holds_admin_permission
 from riskweave.session import shared
@@ -60,43 +61,59 @@ def access_kinds(users: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+def role_systems(kinds: DataFrame) -> DataFrame:
+    """(role, system): the systems in which a role is held, distinct."""
+    pairs = kinds.select("role_set", "system").distinct()
+    return pairs.select(F.explode("role_set").alias("role"), "system").distinct()
+
+
 def role_set_reach(kinds: DataFrame) -> DataFrame:
-    """Per distinct role set: the systems and resources reached over role, system, resource.
+    """(role_set, systems_at_risk): the systems reached over the set's roles.
 
-    The three fixed hops run on distinct (role, system) and (system, resource)
-    pairs of the access kinds and never on user rows.
-    """
-    role_sets = kinds.select("role_set").distinct()
-    set_roles = role_sets.select("role_set", F.explode("role_set").alias("role"))
-    role_systems = kinds.select("role_set", "system").distinct().select(
-        F.explode("role_set").alias("role"), "system").distinct()
-    system_resources = kinds.select("system", F.explode("permission_set").alias("resource")).distinct()
-    set_systems = set_roles.join(role_systems, "role").select("role_set", "system").distinct()
-    set_resources = set_systems.join(system_resources, "system").select("role_set", "resource").distinct()
-    systems = set_systems.groupBy("role_set").agg(F.array_sort(F.collect_set("system")).alias("systems_at_risk"))
-    resources = set_resources.groupBy("role_set").agg(F.array_sort(F.collect_set("resource")).alias("sensitive_resources"))
-    return systems.join(resources, "role_set", "left")
-
-
-def downstream_counts(reach: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Per system set: how many users reach at least one of its systems.
-
-    Works on distinct system sets with their user counts, so what is paired are
-    sets of source systems and never users.
+    Runs on distinct role sets and (role, system) pairs and never on user rows.
     """
+    set_roles = kinds.select("role_set").distinct().select("role_set", F.explode("role_set").alias("role"))
+    reached = set_roles.join(role_systems(kinds), "role").groupBy("role_set")
+    return reached.agg(F.array_sort(F.collect_set("system")).alias("systems_at_risk"))
+
+
+def system_sets(reach: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(systems_at_risk, n, number): the distinct system sets, how many users reach each, and a dense number."""
     sizes = kinds.groupBy("role_set").agg(F.sum("n").alias("n"))
-    sets = reach.join(sizes, "role_set").groupBy("systems_at_risk").agg(F.sum("n").alias("n"))
-    flat = sets.select("systems_at_risk", "n", F.explode("systems_at_risk").alias("system"))
-    other = flat.select(F.col("systems_at_risk").alias("other"), F.col("n").alias("other_n"), "system")
-    pairs = flat.drop("n").join(other, "system").select("systems_at_risk", "other", "other_n").distinct()
-    return pairs.groupBy("systems_at_risk").agg(F.sum("other_n").alias("reaching_users"))
+    return numbered(reach.join(sizes, "role_set").groupBy("systems_at_risk").agg(F.sum("n").alias("n")))
+
+
+def set_resources(sets: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(systems_at_risk, sensitive_resources): the resources of a set's systems."""
+    held = kinds.select("system", F.explode("permission_set").alias("resource")).distinct()
+    met = sets.select("systems_at_risk", F.explode("systems_at_risk").alias("system")).join(held, "system")
+    return met.groupBy("systems_at_risk").agg(F.array_sort(F.collect_set("resource")).alias("sensitive_resources"))
+
+
+def downstream_counts(sets: DataFrame) -> DataFrame:
+    """(systems_at_risk, reaching_users): how many users reach at least one system of each set.
+
+    A system has bitmaps of the numbers of the sets that it is in. A set stands for ``n`` users,
+    so there is one bitmap for each binary digit of ``n``, of the sets that have it: the sets
+    that meet a given one are the union of its systems' bitmaps, and their users the sum of
+    2^digit times the bits. Sets are never paired.
+    """
+    digits = F.expr("filter(sequence(0, 62), d -> shiftright(n, d) % 2 = 1)")
+    placed = sets.select("systems_at_risk", (F.col("number") + 1).alias("place"), F.explode(digits).alias("digit"))
+    placed = placed.select(F.explode("systems_at_risk").alias("system"), "digit", F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("bit"))
+    marks = placed.groupBy("system", "digit", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    asked = sets.select("number", F.explode("systems_at_risk").alias("system"))
+    union = asked.join(marks, "system").groupBy("number", "digit", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("met"))
+    users = union.groupBy("number").agg(F.sum(F.expr("shiftleft(met, digit)")).alias("reaching_users"))
+    return sets.join(users, "number").select("systems_at_risk", "reaching_users")
 
 
 def blast_radius(users: DataFrame) -> DataFrame:
     """Reach, downstream user count and impact for every identity in one job."""
     kinds = shared(access_kinds(users))
     reach = shared(role_set_reach(kinds))
-    reach = reach.join(downstream_counts(reach, kinds), "systems_at_risk", "left")
+    sets = system_sets(reach, kinds)
+    reach = reach.join(set_resources(sets, kinds), "systems_at_risk", "left").join(downstream_counts(sets), "systems_at_risk", "left")
     out = salted_left_join(_role_sets(users), reach, ["role_set"], F.col("user_id"))
     none = F.array().cast("array<string>")
     systems, resources = F.coalesce("systems_at_risk", none), F.coalesce("sensitive_resources", none)
@@ -115,8 +132,11 @@ def blast_radius(users: DataFrame) -> DataFrame:
 
 
 def downstream_users(users: DataFrame, identity_id: str) -> DataFrame:
-    """The other users who reach any system one identity reaches (a linear filter)."""
-    reach = role_set_reach(shared(access_kinds(users))).select("role_set", "systems_at_risk")
-    reached = salted_left_join(_role_sets(users), reach, ["role_set"], F.col("user_id"))
-    target = reached.where(F.col("user_id") == identity_id).agg(F.first("systems_at_risk")).scalar()
-    return reached.where((F.col("user_id") != identity_id) & F.arrays_overlap("systems_at_risk", target)).select("user_id")
+    """The other users who reach any system one identity reaches: those who hold a role that is
+    held in such a system. Only (user, role) rows meet the roles found."""
+    held = role_systems(shared(access_kinds(users)))
+    own = users.where(F.col("user_id") == identity_id).select(F.explode("roles").alias("role")).distinct()
+    systems = held.join(own, "role", "left_semi").select("system").distinct()
+    roles = held.join(systems, "system", "left_semi").select("role").distinct()
+    others = users.where(F.col("user_id") != identity_id).select("user_id", F.explode(F.array_distinct("roles")).alias("role"))
+    return others.join(roles, "role", "left_semi").select("user_id").distinct()

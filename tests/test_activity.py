@@ -95,6 +95,26 @@ def test_attack_chains_match_brute_force(spark, hours, count_blank):
     assert len({v[1] for v in want.values()}) > 2
 
 
+def test_few_slices_of_a_plain_log_are_looked_at(spark):
+    """Ten users of many plain events, one of whom has a chain: the bound leaves its slices, and the result is exact."""
+    rows = [event(i, user=f"u{i % 10}", ts=END + timedelta(minutes=3 * i), kind="" if i % 3 else "bulk_download") for i in range(3_000)]
+    chain = ["reconnaissance", "privilege_escalation", "lateral_movement", "bulk_download"]
+    rows += [event(5_000 + k, user="u4", ts=END + timedelta(hours=70, minutes=20 * k), kind=kind) for k, kind in enumerate(chain)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    _, cells = sequences.time_cells(df, 300)
+    possible = sequences.possible_slices(cells, 24, 3, True).toPandas()
+    assert set(possible["user_id"]) == {"u4"} and len(possible) < 0.05 * cells.select("user_id", "slice").distinct().count()
+    got = {r.user_id: (r.pattern_detected, r.pattern_type, round(r.sequence_confidence, 9)) for r in sequences.attack_chains(df).collect()}
+    assert got == brute_chains(rows, timedelta(hours=2), 3, True) and got["u4"] == (True, "recon_to_exfil", 0.95) and len(got) == 10
+
+
+def test_chains_of_a_null_user_and_of_types_without_a_pattern(spark):
+    rows = [event(k, user=None, ts=END + timedelta(minutes=k), kind=kind) for k, kind in enumerate(["lateral_movement", "x", "y"])]
+    rows += [event(10 + k, user="v", ts=END + timedelta(minutes=k), kind=kind) for k, kind in enumerate(["x", "y", "z", "w"])]
+    got = {r.user_id: (r.pattern_detected, r.pattern_type) for r in sequences.attack_chains(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {None: (True, "lateral_movement"), "v": (False, None)}
+
+
 def test_chain_of_five_types_in_one_row(spark):
     kinds = ["reconnaissance", "privilege_escalation", "lateral_movement", "bulk_download", "impossible_travel"]
     rows = [event(i, ts=END + timedelta(minutes=15 * i), kind=kinds[i % 5]) for i in range(10)]

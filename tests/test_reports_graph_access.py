@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from riskweave.functions.numbering import numbered
 from riskweave.functions.salting import salted_left_join
 from riskweave.operators import access, evaluation as E, exfiltration, graph, reports
 from riskweave.sources import providers, sinks
@@ -97,6 +98,27 @@ def test_blast_radius_and_graph(spark):
     assert {r.id: r.shadow_admin for r in graph.graph_nodes(users).where("type = 'user'").collect()} == {"a": False, "b": True, "c": False, "d": False}
 
 
+def test_downstream_counts_equal_all_pairs_of_users(spark):
+    rng = random.Random(8)
+    rows = [(f"u{k}", [f"r{rng.randrange(60)}" for _ in range(rng.choice([0, 1, 1, 2, 3]))], f"s{min(rng.randrange(30), rng.randrange(30))}", [f"p{rng.randrange(9)}"]) for k in range(900)]
+    users = spark.createDataFrame(rows, "user_id string, roles array<string>, source_system string, permissions array<string>")
+    held = {}
+    for _, roles, system, _ in rows:
+        for role in roles:
+            held.setdefault(role, set()).add(system)
+    reach = {u: set().union(*(held[r] for r in roles)) for u, roles, *_ in rows}
+    want = {u: max(0, sum(bool(own & other) for other in reach.values()) - 1) for u, own in reach.items()}
+    assert {r.identity_id: r.downstream_user_count for r in graph.blast_radius(users).collect()} == want
+    assert {r.user_id for r in graph.downstream_users(users, "u1").collect()} == {u for u in reach if u != "u1" and reach[u] & reach["u1"]}
+
+
+def test_numbers_are_dense_over_uneven_partitions(spark):
+    rows = spark.range(1000).where("id % 7 < 3 OR id > 900").repartition(5)
+    got = numbered(rows).toPandas()
+    assert sorted(got["number"]) == list(range(len(got))) and len(set(got["id"])) == len(got)
+    assert numbered(rows.where("false")).count() == 0
+
+
 def test_provider_normalisers_and_matching(spark):
     okta = spark.createDataFrame([("o1", "DEPROVISIONED", "2020", None, ("jo@x", None, "Jo", None))],
         "id string, status string, created string, lastLogin string, profile struct<login string, email string, firstName string, lastName string>")
