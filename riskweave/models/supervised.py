@@ -14,10 +14,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweave.functions.placing import hashed_position
+from riskweave.models.extra_trees import ExtraTrees
 from riskweave.models.neighbours import PointIndex, distinct_points, neighbours_among
 from riskweave.session import checkpointed
 
 MIN_AUC = 0.75
+#: Trees outside the risk classifier grow as deep as the library allows.
+MOST_DEPTH = 30
 #: Synthetic rows made at a time.
 GROWN_ROWS = 4096
 ACCESS_FEATURES = ["department", "job_title", "resource", "action"]
@@ -133,7 +136,7 @@ def fit_access_predictor(decided: DataFrame, label: str = "decision", seed: int
         OneHotEncoder(inputCols=indexed, outputCols=coded, handleInvalid="error", dropLast=True),
         VectorAssembler(inputCols=coded + ["peer_access_rate"], outputCol="x"),
         StringIndexer(inputCol=label, outputCol="decision_i", handleInvalid="skip", stringOrderType="alphabetAsc"),
-        RandomForestClassifier(featuresCol="x", labelCol="decision_i", numTrees=100, maxDepth=10, seed=seed),
+        RandomForestClassifier(featuresCol="x", labelCol="decision_i", numTrees=100, maxDepth=MOST_DEPTH, seed=seed),
     ]).fit(decided)
 
 
@@ -150,15 +153,14 @@ def predict_access(model: PipelineModel | None, requests: DataFrame) -> DataFram
         F.array_max(vector_to_array("probability")).alias("predicted_confidence"))
 
 
-def base_forests(train: DataFrame, features: list[str], label: str = "label", seed: int = 42) -> dict[str, PipelineModel]:
-    """The two class-weighted base models: a bagged forest, and one of many unbagged shallow-binned trees."""
+def base_forests(train: DataFrame, features: list[str], label: str = "label", seed: int = 42) -> tuple[PipelineModel, ExtraTrees]:
+    """The two class-weighted base models: a bagged forest, and extremely randomised trees."""
     weighted = train.withColumn("w", class_weight(label, train))
-    assemble = VectorAssembler(inputCols=list(features), outputCol="x")
-    common = dict(featuresCol="x", labelCol=label, weightCol="w", maxDepth=10, seed=seed, featureSubsetStrategy="sqrt")
-    return {
-        "weighted_probability": Pipeline(stages=[assemble, RandomForestClassifier(numTrees=100, **common)]).fit(weighted),
-        "extra_probability": Pipeline(stages=[assemble, RandomForestClassifier(numTrees=150, bootstrap=False, maxBins=8, **common)]).fit(weighted),
-    }
+    bagged = Pipeline(stages=[
+        VectorAssembler(inputCols=list(features), outputCol="x"),
+        RandomForestClassifier(featuresCol="x", labelCol=label, weightCol="w", numTrees=100, maxDepth=MOST_DEPTH, featureSubsetStrategy="sqrt", seed=seed),
+    ]).fit(weighted)
+    return bagged, ExtraTrees.fit(train, features, label, seed=seed)
 
 
 def fit_meta(train: DataFrame, inputs: list[str], label: str = "label", c: float = 0.5) -> PipelineModel:

@@ -68,8 +68,9 @@ def run_holdout(
     ensemble = AnomalyEnsemble.fit(train, names, contamination=0.20, seed=seed)
     classifier = RiskClassifier.fit(train, names, seed=seed, check=check_auc)
     stacked = classifier.predict(table, "smote_probability")
-    for name, model in base_forests(train, names, seed=seed).items():
-        stacked = model.transform(stacked).withColumn(name, positive_probability()).drop("x", "rawPrediction", "probability", "prediction")
+    bagged, extra = base_forests(train, names, seed=seed)
+    stacked = bagged.transform(stacked).withColumn("weighted_probability", positive_probability()).drop("x", "rawPrediction", "probability", "prediction")
+    stacked = extra.predict(stacked, "extra_probability")
     stacked = stacked.join(ensemble.predict(table).select("user_id", "anomaly_score"), "user_id")
     scaler = Scaler.fit(train, names)
     stacked = stacked.withColumns({f"scaled_{c}": v for c, v in zip(names, scaler.scaled())})

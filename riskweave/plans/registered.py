@@ -10,6 +10,7 @@ from riskweave import fixed_values as fv
 from riskweave.functions import parsing as P
 from riskweave.models import roles, supervised
 from riskweave.models.ensemble import AnomalyEnsemble
+from riskweave.models.extra_trees import ExtraTrees
 from riskweave.models.lof import k_distances
 from riskweave.operators import (
     access, activity, baselines as B, context, evaluation as E, exfiltration, features, graph, remediation, reports,
@@ -363,6 +364,13 @@ def _risk_classifier(spark: SparkSession, d: str) -> DataFrame:
     return flat(model.predict(table).select("user_id", "label", "risk_probability"))
 
 
+def _extra_trees(spark: SparkSession, d: str) -> DataFrame:
+    table = _labelled_features(spark, d)
+    split = checkpointed(supervised.stratified_holdout(table))
+    model = ExtraTrees.fit(split.where(~F.col("is_test")), fv.FEATURE_NAMES)
+    return flat(model.predict(split.where("is_test")).select("user_id", "label", "extra_probability"))
+
+
 def _smote_balance(spark: SparkSession, d: str) -> DataFrame:
     balanced = supervised.smote(_labelled_features(spark, d), fv.FEATURE_NAMES)
     return flat(balanced.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
@@ -489,6 +497,7 @@ def registered_queries() -> dict[str, Query]:
         "lof_neighbours": _lof_neighbours,
         "anomaly_ensemble": _anomaly_ensemble,
         "risk_classifier": _risk_classifier,
+        "extra_trees": _extra_trees,
         "access_predictor": _access_predictor,
         "role_assignments": _role_assignments,
         "role_profiles": _role_profiles,
