@@ -387,10 +387,12 @@ SELECT user_id, department, resource, action, round(coalesce(rate, 0.0), 6) AS p
  CASE WHEN rate > 0.8 THEN 0.95 WHEN rate > 0.4 THEN 0.65 WHEN rate > 0 THEN 0.8 ELSE 0.9 END::DOUBLE AS confidence
 FROM (SELECT user_id, department, 'res_' || CAST(c % 23 AS VARCHAR) AS resource, CASE c % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'admin' ELSE 'download' END AS action FROM us)
 LEFT JOIN rt USING (department, resource, action)""", "ev", "us")
-    o["access_matrix"] = _sql("""
+    matrix = """
 SELECT user_id, resource AS feature, round(count(*) / CAST(any_value(t) AS DOUBLE), 6) AS share FROM ev JOIN (SELECT user_id, count(*) AS t FROM ev GROUP BY 1) USING (user_id) GROUP BY user_id, resource
 UNION ALL SELECT user_id, 'action_diversity', round(count(DISTINCT action) / CAST(count(*) AS DOUBLE), 6) FROM ev GROUP BY 1
-UNION ALL SELECT user_id, 'department_' || department, round(1 / CAST(count(*) AS DOUBLE), 6) FROM ev JOIN us USING (user_id) GROUP BY user_id, department""", "ev", "us")
+UNION ALL SELECT user_id, 'department_' || department, round(1 / CAST(count(*) AS DOUBLE), 6) FROM ev JOIN us USING (user_id) GROUP BY user_id, department"""
+    o["access_matrix"] = _sql(matrix, "ev", "us")
+    o["access_vectors"] = _sql(f", m AS ({matrix}), v AS (SELECT feature, dense_rank() OVER (ORDER BY feature) - 1 AS i FROM (SELECT DISTINCT feature FROM m)) SELECT user_id, CAST(i AS BIGINT) AS i, feature, share FROM m JOIN v USING (feature)", "ev", "us")
 
     # -- reports ------------------------------------------------------------------------
     o["tier_distribution"] = _sql("""

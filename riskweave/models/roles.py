@@ -6,12 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from riskweave.functions.numbering import numbered
+from riskweave.models.kmeans import STARTS, Fitted, Rows, fit_many
 from riskweave.session import checkpointed
 
 MAX_CLUSTERS, DEFAULT_CLUSTERS, MIN_SILHOUETTE = 15, 8, 0.35
@@ -48,85 +46,95 @@ def access_matrix(events: DataFrame, users: DataFrame | None = None) -> DataFram
         "user_id", "feature", (F.col("value") / F.col("total")).alias("share"))
 
 
-@F.udf(VectorUDT())
-def _sparse(width, positions, values):
-    return Vectors.sparse(width, positions, values)
+def vocabulary(matrix: DataFrame) -> DataFrame:
+    """(feature, i): every feature's place, dense and in the order of the names."""
+    return numbered(matrix.select("feature").distinct().orderBy("feature"), "i")
 
 
-def access_vectors(matrix: DataFrame, width: int = 1 << 16) -> DataFrame:
-    """(user_id, width, at, value, raw): one sparse vector per user, also as its two arrays.
+def access_vectors(matrix: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """(user_id, at, value): one sparse row per user, over ``places`` (by default the vocabulary of ``matrix``).
 
-    A feature's position is its hash modulo ``width``, whatever the size of the
-    vocabulary, so neither the driver nor a cluster centre ever holds more; features
-    that meet at a position add up.
+    Features get exact places, so none share one; features that ``places`` doesn't have are left out.
     """
-    placed = matrix.withColumn("i", F.pmod(F.xxhash64("feature"), F.lit(width)).cast("int"))
-    entries = placed.groupBy("user_id", "i").agg(F.sum("share").alias("share")).groupBy("user_id").agg(
-        F.array_sort(F.collect_list(F.struct("i", "share"))).alias("e"))  # at most ``width`` entries
-    return entries.select(
-        "user_id", F.lit(width).alias("width"), F.col("e.i").alias("at"), F.col("e.share").alias("value"),
-        _sparse(F.lit(width), F.col("e.i"), F.col("e.share")).alias("raw"))
+    placed = matrix.join(places if places is not None else vocabulary(matrix), "feature")
+    entries = placed.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "share"))).alias("e"))
+    return entries.select("user_id", F.col("e.i").alias("at"), F.col("e.share").alias("value"))  # at most a user's features
 
 
 @dataclass(frozen=True)
 class RoleModel:
-    """k-means centres in deviation-scaled space. Distances need no centring, so vectors stay sparse."""
+    """k-means centres in deviation-scaled space, and the places of the features. Distances need no centring, so rows stay sparse."""
 
-    kmeans: KMeansModel
+    centres: np.ndarray
     deviations: np.ndarray
+    places: DataFrame  # feature, i
 
-    def centers(self) -> np.ndarray:
-        return np.array(self.kmeans.clusterCenters())
+    def scaled(self, vectors: DataFrame) -> DataFrame:
+        """(id, at, value) in deviations; a constant feature is zero."""
+        held = vectors.sparkSession.sparkContext.broadcast(np.where(self.deviations > 0, self.deviations, np.inf))
 
+        def divide(batches):
+            for pdf in batches:
+                yield pdf.assign(value=[np.asarray(v) / held.value[np.asarray(a, int)] for a, v in zip(pdf["at"], pdf["value"])])
 
-def fit_roles(vectors: DataFrame, max_clusters: int = MAX_CLUSTERS, min_silhouette: float = MIN_SILHOUETTE,
-              seed: int = 42) -> tuple[RoleModel, DataFrame]:
-    """The model with the best silhouette, and the users with their scaled vectors.
+        id_type = vectors.schema["user_id"].dataType.simpleString()
+        return vectors.withColumnRenamed("user_id", "id").mapInPandas(divide, f"id {id_type}, at array<int>, value array<double>")
 
-    Below the silhouette cut the default number of clusters is used.
+    def save(self, path: str) -> None:
+        spark = self.places.sparkSession
+        self.places.write.mode("overwrite").parquet(f"{path}/places")
+        spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(self.centres)], "k int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
+        spark.createDataFrame([(self.deviations.tolist(),)], "deviations array<double>").write.mode("overwrite").parquet(f"{path}/deviations")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "RoleModel":
+        centres = [r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("k").collect()]
+        deviations = spark.read.parquet(f"{path}/deviations").first()["deviations"]
+        return RoleModel(np.array(centres), np.array(deviations), spark.read.parquet(f"{path}/places"))
+
+
+def fit_roles(matrix: DataFrame, max_clusters: int = MAX_CLUSTERS, min_silhouette: float = MIN_SILHOUETTE,
+              starts: int = STARTS, seed: int = 42) -> tuple[RoleModel, DataFrame]:
+    """The model with the best silhouette, and the users' scaled rows (id, at, value).
+
+    Of each number of clusters the best of ``starts`` is taken. Below the silhouette cut the
+    default number of clusters is used. What the driver holds are centres and deviations:
+    numbers of clusters and starts times the vocabulary.
     """
-    scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=False, withStd=True).fit(vectors)
-    scaled = checkpointed(scaler.transform(vectors).select("user_id", "at", "value", "x"))
-    users = scaled.count()
-    judge = ClusteringEvaluator(featuresCol="x", predictionCol="cluster_id")
-
-    def train(k: int) -> KMeansModel:
-        # the block solver fails where seeding finds fewer than k distinct centres
-        return KMeans(featuresCol="x", predictionCol="cluster_id", k=k, seed=seed, solver="row").fit(scaled)
-
-    best, best_score = None, -1.0
-    for k in range(2, min(max_clusters, users - 1) + 1):
-        model = train(k)
-        if sum(size > 0 for size in model.summary.clusterSizes) < 2:
-            continue
-        score = judge.evaluate(model.transform(scaled))
-        if score > best_score:
-            best, best_score = model, score
-    if best is None or best_score <= min_silhouette:
-        best = train(min(DEFAULT_CLUSTERS, max(users, 2)))
-    return RoleModel(best, scaler.std.toArray()), scaled
+    places = checkpointed(vocabulary(matrix))
+    vectors = checkpointed(access_vectors(matrix, places))
+    users, width = vectors.count(), places.count()
+    spread = vectors.select(F.explode(F.arrays_zip("at", "value")).alias("e")).groupBy("e.at").agg(
+        F.sum("e.value").alias("s"), F.sum(F.col("e.value") * F.col("e.value")).alias("q")).toPandas()
+    deviations = np.zeros(width)
+    mean, square = spread["s"].to_numpy(float) / max(users, 1), spread["q"].to_numpy(float) / max(users, 1)
+    deviations[spread["at"].to_numpy(int)] = np.sqrt(np.maximum(square - mean**2, 0.0))
+    deviations[deviations < 1e-12] = 0.0
+    model = RoleModel(np.zeros((0, width)), deviations, places)
+    scaled = checkpointed(model.scaled(vectors))
+    most = min(max_clusters, users - 1)
+    fitted = fit_many(scaled, width, sorted({*range(2, most + 1), min(DEFAULT_CLUSTERS, max(users, 1))}), starts, seed)
+    split = {k: f for k, f in fitted.items() if k <= most and (f.sizes > 0).sum() >= 2}
+    best = max(split, key=lambda k: (split[k].silhouette, -k), default=None)
+    if best is None or split[best].silhouette <= min_silhouette:
+        few = [k for k in fitted if k <= DEFAULT_CLUSTERS]
+        best = max(few, default=None)
+    chosen = fitted[best].centres if best is not None else fit_many(scaled, width, [1], 1, seed).get(1, Fitted(np.zeros((1, width)), 0.0, 0.0, np.zeros(1))).centres
+    return RoleModel(chosen, deviations, places), scaled
 
 
 def assign_roles(model: RoleModel, scaled: DataFrame) -> DataFrame:
     """(user_id, cluster_id, distance, is_outlier): beyond mean + 2 deviations of its cluster."""
-    spread = np.where(model.deviations > 0, model.deviations, np.inf)
-    held = scaled.sparkSession.sparkContext.broadcast((model.centers(), spread))  # at most 15 * width numbers
+    held = scaled.sparkSession.sparkContext.broadcast((model.centres, np.ascontiguousarray(model.centres.T)))
 
     def measure(batches):
-        centers, deviations = held.value
-        norms = (centers**2).sum(axis=1)
         for pdf in batches:
-            cluster = pdf["cluster_id"].to_numpy()
-            row = np.repeat(np.arange(len(pdf)), pdf["at"].map(len))
-            at, value = np.concatenate(pdf["at"].to_numpy()), np.concatenate(pdf["value"].to_numpy())
-            value = value / deviations[at]
-            change = np.bincount(row, value * (value - 2.0 * centers[cluster[row], at]), len(pdf))
-            yield pd.DataFrame({"user_id": pdf["user_id"], "cluster_id": cluster,
-                                "distance": np.sqrt(np.maximum(norms[cluster] + change, 0.0))})
-
-    assigned = model.kmeans.transform(scaled).select("user_id", "cluster_id", "at", "value")
-    id_type = scaled.schema["user_id"].dataType.simpleString()
-    measured = assigned.mapInPandas(measure, f"user_id {id_type}, cluster_id int, distance double")
+            away = Rows.of(pdf).distances(*held.value)
+            cluster = away.argmin(axis=1)
+            yield pd.DataFrame({"user_id": pdf["id"], "cluster_id": cluster, "distance": np.sqrt(away[np.arange(len(pdf)), cluster])})
+
+    id_type = scaled.schema["id"].dataType.simpleString()
+    measured = scaled.mapInPandas(measure, f"user_id {id_type}, cluster_id int, distance double")
     limits = measured.groupBy("cluster_id").agg((F.avg("distance") + 2 * F.stddev_pop("distance")).alias("limit"))
     joined = measured.join(F.broadcast(limits), "cluster_id")  # one row per cluster
     return joined.select("user_id", "cluster_id", "distance", (F.col("distance") > F.col("limit")).alias("is_outlier"))

@@ -395,10 +395,18 @@ def _access_predictor(spark: SparkSession, d: str) -> DataFrame:
         "user_id", "decision", "predicted_decision", "predicted_confidence"))
 
 
+def _access_vectors(users: DataFrame, events: DataFrame) -> DataFrame:
+    """The sparse rows of role mining, read back entry by entry by the vocabulary's places."""
+    matrix = roles.access_matrix(events, users)
+    places = roles.vocabulary(matrix)
+    entries = roles.access_vectors(matrix, places).select("user_id", F.explode(F.arrays_zip("at", "value")).alias("e"))
+    return entries.select("user_id", F.col("e.at").alias("i"), F.col("e.value").alias("share")).join(places, "i")
+
+
 def _mined(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     users, events = _tables(spark, d)
     matrix = checkpointed(roles.access_matrix(events, users))
-    model, scaled = roles.fit_roles(roles.access_vectors(matrix))
+    model, scaled = roles.fit_roles(matrix)
     return roles.assign_roles(model, scaled), matrix, events
 
 
@@ -492,6 +500,7 @@ def registered_queries() -> dict[str, Query]:
         "event_confusion": _event_confusion,
         "event_class_metrics": _over_events(_event_class_metrics),
         "access_matrix": _over_both(lambda u, e: roles.access_matrix(e, u)),
+        "access_vectors": _over_both(_access_vectors),
         "stratified_split": _stratified_split,
         "smote_balance": _smote_balance,
         "lof_neighbours": _lof_neighbours,
