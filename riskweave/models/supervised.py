@@ -153,6 +153,14 @@ def predict_access(model: PipelineModel | None, requests: DataFrame) -> DataFram
         F.array_max(vector_to_array("probability")).alias("predicted_confidence"))
 
 
+def save_access_predictor(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_access_predictor(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def base_forests(train: DataFrame, features: list[str], label: str = "label", seed: int = 42) -> tuple[PipelineModel, ExtraTrees]:
     """The two class-weighted base models: a bagged forest, and extremely randomised trees."""
     weighted = train.withColumn("w", class_weight(label, train))

@@ -146,3 +146,19 @@ def event_predictions(event_labels: DataFrame, events: DataFrame, user_predictio
     best = per_event.groupBy("event_id").agg(F.max("p").alias("p"))
     out = event_labels.select("event_id").join(best, "event_id", "left")
     return out.select("event_id", F.coalesce(F.col("p").cast("int"), F.lit(0)).alias("is_anomaly"))
+
+
+def event_confusion(event_labels: DataFrame, user_predictions: DataFrame) -> DataFrame:
+    """(true, pred, n) of labelled events (user_id, is_anomaly) whose users have predictions (user_id, is_anomaly).
+
+    An event takes its user's prediction, 0 where there is none, so an event's pair of classes
+    follows from its user and label: what leaves the log are counts by (user, label), combined
+    before they are moved, and no event row is shuffled. For labels that don't carry the user
+    there is ``event_predictions``.
+    """
+    require_columns(event_labels, "user_id", "is_anomaly")
+    require_columns(user_predictions, "user_id", "is_anomaly")
+    counts = event_labels.groupBy("user_id", F.col("is_anomaly").cast("int").cast("string").alias("true")).agg(F.count(F.lit(1)).alias("n"))
+    guessed = user_predictions.groupBy("user_id").agg(F.max(F.col("is_anomaly").cast("int")).alias("p"))
+    pred = F.coalesce("p", F.lit(0)).cast("string")
+    return counts.join(guessed, "user_id", "left").groupBy("true", pred.alias("pred")).agg(F.sum("n").alias("n"))

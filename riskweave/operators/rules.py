@@ -35,15 +35,8 @@ class Rule:
         )
 
 
-def sod_array(conflicts: DataFrame | None = None) -> Column:
-    """Conflict pairs as one array column: fixed values, or a small dimension read once."""
-    if conflicts is not None:
-        severity_rank = S.literal_map(fv.SEVERITY_RANK)
-        item = F.struct(
-            (-F.coalesce(F.try_element_at(severity_rank, F.col("severity")), F.lit(1))).alias("order"),
-            "position", "conflict_id", "role_a", "role_b", "severity", "compliance",
-        )
-        return conflicts.agg(F.array_sort(F.collect_list(item))).scalar()
+def sod_array() -> Column:
+    """The fixed conflict pairs as one array column, worst first."""
     ordered = sorted(fv.SOD_CONFLICTS, key=lambda c: (-fv.SEVERITY_RANK[c[5]], c[0]))
     return F.expr("array(" + ", ".join(
         f"named_struct('order', {-fv.SEVERITY_RANK[severity]}, 'position', {position}, 'conflict_id', '{conflict_id}', "
@@ -52,15 +45,37 @@ def sod_array(conflicts: DataFrame | None = None) -> Column:
     ) + ")")
 
 
+def _held() -> Column:
+    return F.expr("transform(array_union(roles, permissions), h -> lower(h))")
+
+
 def sod_matches(pairs: Column | None = None) -> Column:
     """Conflict pairs an identity holds both sides of, worst first; ``pairs`` as from ``sod_array``."""
-    held = F.expr("transform(array_union(roles, permissions), h -> lower(h))")
     return F.filter(
         sod_array() if pairs is None else pairs,
-        lambda c: F.array_contains(held, F.lower(c["role_a"])) & F.array_contains(held, F.lower(c["role_b"])),
+        lambda c: F.array_contains(_held(), F.lower(c["role_a"])) & F.array_contains(_held(), F.lower(c["role_b"])),
     )
 
 
+def sod_holdings(identities: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(user_id, sod_conflicts) of the identities that hold both sides of a pair in ``conflicts``, worst first.
+
+    For tables of any number of pairs. A pair is filed under the side that fewer identities
+    hold, so an item that everybody holds brings nobody to its pairs; whoever holds the rarer
+    side is checked for the other. No identity is compared with pairs that it has no side of.
+    """
+    rank = F.coalesce(F.try_element_at(S.literal_map(fv.SEVERITY_RANK), F.col("severity")), F.lit(1))
+    pair = F.struct((-rank).alias("order"), "position", "conflict_id", "role_a", "role_b", "severity", "compliance")
+    pairs = conflicts.select(F.lower("role_a").alias("a"), F.lower("role_b").alias("b"), pair.alias("pair"))
+    items = identities.select("user_id", F.explode(F.array_distinct(_held())).alias("item"))
+    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("holders"))
+    sides = pairs.join(counts.toDF("a", "of_a"), "a").join(counts.toDF("b", "of_b"), "b")  # a side that nobody holds ends here
+    rare = F.col("of_a") <= F.col("of_b")
+    index = sides.select(F.when(rare, F.col("a")).otherwise(F.col("b")).alias("item"), F.when(rare, F.col("b")).otherwise(F.col("a")).alias("other"), "pair")
+    found = items.join(index, "item").select("user_id", F.col("other").alias("item"), "pair").join(items, ["user_id", "item"], "left_semi")
+    return found.groupBy("user_id").agg(F.array_sort(F.collect_set("pair")).alias("sod_conflicts"))
+
+
 def holds_admin_permission() -> Column:
     return F.expr(HOLDS_ADMIN_PERMISSION)
 
@@ -120,17 +135,20 @@ def with_rules(
     extra: list[Rule] | None = None,
     conflicts: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds ``rules``: one result per rule, in registry order. No shuffle."""
+    """Adds ``rules``: one result per rule, in registry order. No shuffle, unless a table of ``conflicts`` is given."""
     registry = standard_rules(thresholds) + list(extra or [])
-    # helpers are columns first: a scalar subquery may not sit inside a lambda
     staged = identities.withColumns({
-        "__pairs": sod_array(conflicts),
         "__idle": S.days_since_login(as_of),
         "__utilization": S.permission_utilization(),
         "__anomaly_rate": S.ratio(F.col("anomaly_event_count"), F.col("event_count_30d")),
-    }).withColumn("sod_conflicts", sod_matches(F.col("__pairs")))
+    })
+    if conflicts is None:
+        staged = staged.withColumn("sod_conflicts", sod_matches())
+    else:
+        staged = staged.drop("sod_conflicts").join(sod_holdings(identities, conflicts), "user_id", "left")
+        staged = staged.withColumn("sod_conflicts", F.coalesce("sod_conflicts", F.filter(sod_array(), lambda c: F.lit(False))))
     results = F.expr("array(" + ", ".join(r.result() for r in registry) + ")")
-    return staged.withColumn("rules", results).drop("__pairs", "__idle", "__utilization", "__anomaly_rate")
+    return staged.withColumn("rules", results).drop("__idle", "__utilization", "__anomaly_rate")
 
 
 def triggered(rules: Column) -> Column:

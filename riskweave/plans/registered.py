@@ -19,7 +19,7 @@ from riskweave.operators import (
 from riskweave.plans import holdout, scan
 from riskweave.plans.lens import as_of, lens_events, lens_users
 from riskweave.session import checkpointed
-from riskweave.sources import providers, sinks, tables
+from riskweave.sources import dimensions, providers, sinks, tables
 from riskweave.thresholds import Thresholds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,8 +162,8 @@ def _rule_flags(people: DataFrame) -> DataFrame:
 
 
 def _sod_violations(users: DataFrame) -> DataFrame:
-    matches = F.transform(rules.sod_matches(), lambda c: c["conflict_id"])
-    return users.select("user_id", matches.alias("conflict_ids")).where(F.size("conflict_ids") > 0)
+    found = rules.sod_holdings(users, dimensions.sod_conflicts(users.sparkSession))
+    return found.select("user_id", F.transform("sod_conflicts", lambda c: c["conflict_id"]).alias("conflict_ids"))
 
 
 def _discriminators(people: DataFrame) -> DataFrame:
@@ -319,10 +319,8 @@ def _over_judged(run: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _event_confusion(spark: SparkSession, d: str) -> DataFrame:
-    events = lens_events(spark, d)
-    truth = events.select("event_id", F.col("is_anomaly").cast("int").alias("is_anomaly"))
-    predicted = E.event_predictions(truth, events, _predictions(_scored(spark, d)))
-    return flat(E.confusion_matrix(E.join_labels(predicted, truth)))
+    labelled = lens_events(spark, d).select("event_id", "user_id", "is_anomaly")
+    return flat(E.event_confusion(labelled, _predictions(_scored(spark, d))))
 
 
 def _event_class_metrics(events: DataFrame) -> DataFrame:

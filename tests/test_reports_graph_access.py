@@ -162,6 +162,22 @@ def test_false_positive_rates_by_department(spark):
     assert (empty.rows, empty.overall_f1, empty.macro_f1, empty.weighted_f1, empty.false_positive_rate) == (0, 0.0, 0.0, 0.0, 0.0)
 
 
+def test_event_confusion_counts_by_user_and_moves_no_event_row(spark):
+    rows = [(f"e{k}", f"u{k % 7}" if k % 11 else None, k % 3 == 0) for k in range(500)]
+    labels = spark.createDataFrame(rows, "event_id string, user_id string, is_anomaly boolean")
+    users = spark.createDataFrame([("u1", 1), ("u2", 0), ("u2", 1), ("u3", 0)], "user_id string, is_anomaly int")
+    found = E.event_confusion(labels, users)
+    want = {}
+    for _, user, true in rows:
+        cell = str(int(true)), "1" if user in ("u1", "u2") else "0"
+        want[cell] = want.get(cell, 0) + 1
+    assert {(r["true"], r.pred): r.n for r in found.collect()} == want
+    by_event = E.confusion_matrix(E.join_labels(E.event_predictions(labels, labels, users), labels))
+    assert {(r["true"], r.pred): r.n for r in by_event.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "event_id" not in plan.split("Exchange")[0] and not any("event_id" in line for line in plan.splitlines() if "Exchange" in line)
+
+
 def test_event_predictions_and_status(spark):
     labels = spark.createDataFrame([("e1", 1), ("e2", 0), ("gone", 1)], "event_id string, is_anomaly int")
     events = spark.createDataFrame([("e1", "u1"), ("e2", "u2")], "event_id string, user_id string")

@@ -59,6 +59,26 @@ def test_sod_severity_follows_the_worst_pair_and_dimension_form_agrees(spark, id
         assert got == {"a": ("CRITICAL", ["SOD-002", "SOD-004", "SOD-005"]), "b": ("HIGH", ["SOD-003"])}
 
 
+def test_ten_thousand_pairs_are_looked_up_by_the_side_that_few_hold(spark, identities):
+    """Everybody holds 'viewer'; the pairs of it with rare items are found, and nobody is compared with all pairs."""
+    pairs = [(k + 1, f"P-{k:05d}", *(("VIEWER", f"rare_{k}") if k % 2 else (f"rare_{k}", f"rare_{k + 1}")), "d", ["CRITICAL", "HIGH", "odd"][k % 3], "c") for k in range(10_000)]
+    conflicts = spark.createDataFrame(pairs, dimensions.SOD_COLUMNS)
+    people = {f"u{k}": dict(roles=["Viewer", f"rare_{k}"], permissions=[f"RARE_{k + 1}"] if k % 4 == 0 else []) for k in range(40)}
+    people["none"] = dict(roles=[], permissions=["viewer"])
+    df = identities(**people)
+    got = {r.user_id: [c.conflict_id for c in r.sod_conflicts] for r in rules.sod_holdings(df, conflicts).collect()}
+    rank = {"CRITICAL": fv.SEVERITY_RANK["CRITICAL"], "HIGH": fv.SEVERITY_RANK["HIGH"], "odd": 1}
+    want = {}
+    for user, p in people.items():
+        held = {x.lower() for x in p["roles"] + p["permissions"]}
+        own = [c for c in pairs if c[2].lower() in held and c[3].lower() in held]
+        if own:
+            want[user] = [c[1] for c in sorted(own, key=lambda c: (-rank[c[5]], c[0]))]
+    assert got == want and len(want) > 20
+    ruled = rules.with_rules(df, day(), conflicts=conflicts).select("user_id", F.size("sod_conflicts").alias("n"))
+    assert {r.user_id: r.n for r in ruled.collect()} == {u: len(want.get(u, [])) for u in people}
+
+
 def test_extra_rule(identities):
     extra = rules.Rule("MANY_ROLES", "size(roles) > 2", "'many roles'")
     assert fired(identities(a=dict(roles=["x", "y", "z"])), extra=[extra]) == {"a": ["MANY_ROLES"]}
