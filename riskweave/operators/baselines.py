@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from riskweave.functions.quantiles import group_quantile
 from riskweave.functions.salting import salted_left_join
 from riskweave.operators.activity import days_before, event_anchor
 from riskweave.session import shared
@@ -54,10 +55,8 @@ def baseline_cells(
 def session_stats(cells: DataFrame) -> DataFrame:
     """Events per session, a session being one user's UTC day."""
     sessions = cells.groupBy(*KEY, "user_id", "day").agg(F.sum("n").alias("n"))
-    return sessions.groupBy(*KEY).agg(
-        F.avg("n").alias("avg_events_per_session"),
-        F.percentile("n", F.lit(0.95)).alias("p95_events_single_session"),
-    )
+    usual = sessions.groupBy(*KEY).agg(F.avg("n").alias("avg_events_per_session"))
+    return usual.join(group_quantile(sessions, KEY, "n", 0.95, "p95_events_single_session"), KEY)
 
 
 def user_stats(cells: DataFrame) -> DataFrame:
@@ -66,12 +65,12 @@ def user_stats(cells: DataFrame) -> DataFrame:
         F.sum("n30").alias("n30"), F.sum("downloads").alias("downloads")
     )
     recent = F.when(F.col("n30") > 0, F.col("n30"))
-    downloads = F.when(F.col("downloads") > 0, F.col("downloads"))
-    return per_user.groupBy(*KEY).agg(
+    usual = per_user.groupBy(*KEY).agg(
         F.coalesce(F.avg(recent), F.lit(0.0)).alias("avg_events_30d"),
         F.coalesce(F.stddev_pop(recent), F.lit(0.0)).alias("std_events_30d"),
-        F.coalesce(F.percentile(downloads, F.lit(0.99)), F.lit(0.0)).alias("p99_download_count"),
     )
+    most = group_quantile(per_user.where("downloads > 0"), KEY, "downloads", 0.99, "p99_download_count")
+    return usual.join(most, KEY, "left").fillna(0.0, subset=["p99_download_count"])
 
 
 def resource_stats(cells: DataFrame) -> DataFrame:

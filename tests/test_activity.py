@@ -4,10 +4,12 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as fv
+from riskweave.functions.quantiles import group_quantile
 from riskweave.operators import activity, baselines as B, sequences, timeline
 from riskweave.thresholds import Thresholds
 
@@ -206,3 +208,19 @@ def test_hourly_cells_give_the_same_features_titles_and_profiles(spark):
     assert text(activity.user_activity(df)) == text(activity.user_activity(df, cells=cells))
     rounded = lambda out: text(out.select(*B.KEY, "typical_resources", "typical_access_hours", *[F.round(c, 9).alias(c) for c in B.PROFILE_NUMBERS]))
     assert rounded(B.build_baselines(df)) == rounded(B.profiles_from_cells(B.year_cells(cells)))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.37, 0.95, 1.0])
+def test_group_quantiles_equal_numpy(spark, share):
+    """One group owns most rows; what is ranked are its distinct values."""
+    rng = np.random.default_rng(6)
+    rows = [("big", int(v)) for v in rng.integers(0, 40, 5_000)] + [(f"g{k % 30}", int(v)) for k, v in enumerate(rng.integers(0, 1000, 400))] + [("one", 7), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    found = group_quantile(df, ["g"], "v", share, "q")
+    values = defaultdict(list)
+    for g, v in rows:
+        if v is not None:
+            values[g].append(v)
+    assert {r.g: r.q for r in found.collect()} == {g: pytest.approx(np.quantile(v, share)) for g, v in values.items()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and plan.index("Window") < plan.index("count(1)")  # counted below the ranks
