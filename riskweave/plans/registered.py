@@ -339,6 +339,16 @@ def _labelled_features(spark: SparkSession, d: str) -> DataFrame:
     return checkpointed(E.align_labels(table, _labels(lens_users(spark, d))))
 
 
+def _risk_labels(scored: DataFrame) -> DataFrame:
+    """Labels that features can tell: the identities with the highest scores, under a fifth of them."""
+    return tables.read_labels(scored.select("user_id", F.when(F.col("score") >= 95, "True").otherwise("no").alias("is_anomaly")))
+
+
+def _risk_features(spark: SparkSession, d: str) -> DataFrame:
+    table = features.feature_table(_people(spark, d), as_of(), keep=["department", "job_title"])
+    return checkpointed(E.align_labels(table, _risk_labels(_scored(spark, d))))
+
+
 def _anomaly_ensemble(spark: SparkSession, d: str) -> DataFrame:
     table = _labelled_features(spark, d)
     return flat(AnomalyEnsemble.fit(table, fv.FEATURE_NAMES).predict(table))
@@ -357,13 +367,13 @@ def _lof_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _risk_classifier(spark: SparkSession, d: str) -> DataFrame:
-    table = _labelled_features(spark, d)
-    model = supervised.RiskClassifier.fit(table, fv.FEATURE_NAMES, check=False)
+    table = _risk_features(spark, d)
+    model = supervised.RiskClassifier.fit(table, fv.FEATURE_NAMES)
     return flat(model.predict(table).select("user_id", "label", "risk_probability"))
 
 
 def _extra_trees(spark: SparkSession, d: str) -> DataFrame:
-    table = _labelled_features(spark, d)
+    table = _risk_features(spark, d)
     split = checkpointed(supervised.stratified_holdout(table))
     model = ExtraTrees.fit(split.where(~F.col("is_test")), fv.FEATURE_NAMES)
     return flat(model.predict(split.where("is_test")).select("user_id", "label", "extra_probability"))
@@ -419,7 +429,7 @@ def _role_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 def _holdout_report(spark: SparkSession, d: str) -> DataFrame:
     users, events = _tables(spark, d)
-    result = holdout.run_holdout(users, events, _labels(users), as_of(), CUTS, check_auc=False)
+    result = holdout.run_holdout(users, events, _risk_labels(_scored(spark, d)), as_of(), CUTS)
     return flat(result.report)
 
 

@@ -165,3 +165,13 @@ def test_roles_split_two_groups_and_reload(spark, tmp_path):
     again = back.scaled(roles.access_vectors(roles.access_matrix(new), back.places))
     assert [r.cluster_id for r in roles.assign_roles(back, again).collect()] == [got["a0"]]
 
+
+
+def test_the_quality_gate_lets_good_models_pass_and_stops_bad_ones(spark):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame(rng.normal(size=(300, 3)), columns=NAMES).assign(user_id=[f"u{k}" for k in range(300)])
+    good = spark.createDataFrame(pdf.assign(label=(pdf["f0"] + 0.2 * rng.normal(size=300) > 1.0).astype(int)))
+    assert supervised.RiskClassifier.fit(good, NAMES).auc > supervised.MIN_AUC
+    with pytest.raises(supervised.ModelQualityError) as stopped:
+        supervised.RiskClassifier.fit(spark.createDataFrame(pdf.assign(label=rng.integers(0, 2, 300))), NAMES)
+    assert stopped.value.auc < supervised.MIN_AUC
