@@ -20,7 +20,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -73,20 +72,17 @@ def gzipped(data: bytes) -> bytes:
 
 
 def _dealt(pages: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
-    """Adds ``shard``, in order of page_id, about ``shard_rows`` rows each. At most RANGES + 1
-    counts reach the driver."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).head()
-    if low is None:
+    """Adds ``shard``, in order of page_id, about ``shard_rows`` rows each, however the ids are spread:
+    the bounds are quantiles of the ids, at most RANGES of them. Equal ids are in one shard."""
+    total = pages.agg(F.count("page_id")).head()[0]
+    parts = min(RANGES, -(-total // shard_rows))
+    if parts < 2:
         return pages.withColumn("shard", F.lit(0)), 1
-    width = -(-(high - low + 1) // RANGES)
-    at = F.coalesce(F.floor((F.col("page_id") - low) / width).cast("int") + 1, F.lit(0))
-    counts = np.zeros(RANGES + 1, np.int64)
-    for r in pages.groupBy(at.alias("at")).count().collect():
-        counts[r["at"]] = r["count"]
-    shard = ((np.cumsum(counts) - counts) // shard_rows).astype(int)
-    shard = np.unique(shard, return_inverse=True)[1]
-    listed = F.split(F.lit(",".join(map(str, shard))), ",").cast("array<int>")
-    return pages.withColumn("shard", F.get(listed, at)), int(shard.max()) + 1
+    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    bounds = sorted(set(pages.agg(F.percentile_approx("page_id", shares, 20 * parts + 10_000)).head()[0]))
+    listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+    passed = F.size(F.filter(listed, lambda b: b < F.col("page_id")))
+    return pages.withColumn("shard", F.when(F.col("page_id").isNull(), 0).otherwise(passed)), len(bounds) + 1
 
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_rows: int = SHARD_ROWS, revisit_bytes: int = 0) -> DataFrame:
