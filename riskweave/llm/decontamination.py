@@ -10,12 +10,15 @@ has similarity zero. Their fingerprints are slid over the text. A multi-index of
 16-bit blocks, each with the ball that the pigeonhole principle asks for, returns every
 item within ``radius`` bits of a window; candidates are then compared exactly.
 
-The item side is cut into groups of at most ``GROUP_SHINGLES`` shingles, each broadcast and
-held against all documents, so the benchmark may grow. Null and empty texts, and items
-without a word, match nothing. A document or item of fewer than five words is one shingle.
-Rows are judged one by one: repeated rows give repeated results, repeated items too. Rows
-with null ids are judged. An empty benchmark finds nothing. Other columns are carried along
-by the stage.
+The item side is cut into groups of bounded size, each broadcast and held against all
+documents, so the benchmark may grow. Weights count the holders of a shingle among all
+items before groups are cut, so that no result depends on the grouping.
+
+Null and empty texts, and items without a word, match nothing. A document or item of fewer
+than five words is one shingle. Rows are judged one by one: repeated rows give repeated
+results, repeated items too. Rows with null ids are judged. Texts of any length are read
+whole. Of windows that are equally similar to an item the first counts. An empty benchmark
+finds nothing. Other columns are carried along by the stage.
 """
 
 from __future__ import annotations
@@ -28,14 +31,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import map_arrow, slices, table
+from .common import map_arrow, slices, table, written
 from .words import NOT_ALNUM, find_words, majority_bits, shingle_hashes, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
 #: Bits that the fingerprints of a window and an item may differ in; pairs at a similarity of 0.8 have about 10.
 RADIUS = 18
+#: Bounds of one broadcast group: its words, and its items, each of which takes about 60 kB of block tables.
 GROUP_SHINGLES = 200_000
+GROUP_ITEMS = 1_000
 BLOCKS, BLOCK_BITS = 4, 16
 
 
@@ -59,13 +64,14 @@ def _balls(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted values within ``radius`` bits of each 16-bit value, and whose they are."""
     masks = np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(BLOCK_BITS), r)], np.uint16)
     near = (values[:, None] ^ masks[None, :]).ravel()
-    owner = np.repeat(np.arange(len(values)), len(masks))
+    owner = np.repeat(np.arange(len(values), dtype=np.int32), len(masks))
     order = np.argsort(near, kind="stable")
     return near[order], owner[order]
 
 
-def prepare(rows: list[tuple], radius: int = RADIUS, size: int = WORDS) -> Items:
-    """The index of a group of (id, lower-cased text) items."""
+def prepare(rows: list[tuple], total: int, radius: int = RADIUS, size: int = WORDS) -> Items:
+    """The index of a group of items (id, lower-cased text, shingles, how many of all ``total``
+    items hold each of them)."""
     batch = pa.RecordBatch.from_arrays([pa.array([r[1] or "" for r in rows], pa.string())], ["text"])
     sets, sizes, fps = [], [], []
     for _, data, offsets in slices([batch]):
@@ -73,10 +79,11 @@ def prepare(rows: list[tuple], radius: int = RADIUS, size: int = WORDS) -> Items
         fps.append(majority_bits(hashes, bounds))
         sizes.append(np.diff(words.bounds))
         sets += [np.unique(hashes[a:b], return_counts=True) for a, b in zip(bounds, bounds[1:])]
-    shingles, held = np.unique(np.concatenate([s for s, _ in sets] or [np.zeros(0, np.uint64)]), return_counts=True)
+    shingles, at = np.unique(np.concatenate([np.array(r[2] or [], np.int64).view(np.uint64) for r in rows]), return_index=True)
+    held = np.concatenate([np.array(r[3] or [], np.int64) for r in rows])[at]
     fps = np.concatenate(fps or [np.zeros(0, np.uint64)])
     blocks = [_balls(((fps >> np.uint64(BLOCK_BITS * k)) & np.uint64(0xFFFF)).astype(np.uint16), radius // BLOCKS) for k in range(BLOCKS)]
-    return Items([r[0] for r in rows], np.concatenate(sizes or [np.zeros(0, np.int64)]), shingles, np.log1p(len(rows) / held), float(np.log1p(len(rows))), sets, fps, blocks)
+    return Items([r[0] for r in rows], np.concatenate(sizes or [np.zeros(0, np.int64)]), shingles, np.log1p(total / held), float(np.log1p(total)), sets, fps, blocks)
 
 
 def _weighed(items: Items, hashes: np.ndarray) -> np.ndarray:
@@ -153,26 +160,49 @@ def _matches(batch, data, offsets, items: Items, radius: int, least: float):
             yield int(row), item, first, n, value
 
 
-def item_groups(benchmark: DataFrame, most: int = GROUP_SHINGLES) -> Iterator[Items]:
+def with_holders(items: DataFrame, size: int = WORDS) -> DataFrame:
+    """``items`` (item_id, text) with their distinct ``shingles`` and, for each, ``held``: how many
+    items hold it. Counted once for each distinct text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches):
+            _, hashes, bounds = _hashed(data, offsets, size)
+            for k in range(batch.num_rows):
+                own = np.unique(hashes[bounds[k] : bounds[k + 1]]).view(np.int64)
+                for low in range(0, len(own), 10_000):
+                    part = pa.array(own[low : low + 10_000])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(np.full(len(part), k))) for c in ("name", "copies")], part], ["name", "copies", "shingle"])
+
+    named = items.withColumn("name", F.sha2("text", 256))
+    texts = named.groupBy("name").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    shingles = written(map_arrow(texts.select("name", "copies", "text"), run, "name string, copies long, shingle long"), "item-shingles")
+    held = shingles.join(shingles.groupBy("shingle").agg(F.sum("copies").alias("held")), "shingle")
+    of = held.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("shingle", "held"))).alias("of"))
+    return named.join(of, "name", "left").select("item_id", "text", F.col("of.shingle").alias("shingles"), F.col("of.held").alias("held"))
+
+
+def item_groups(benchmark: DataFrame, most: int = GROUP_SHINGLES, most_items: int = GROUP_ITEMS) -> Iterator[Items]:
     """Indexed items, fetched in order of id, in groups of a bounded size."""
+    lowered = benchmark.select("item_id", F.lower("text").alias("text")).where("text IS NOT NULL")
+    items = written(with_holders(lowered), "items")
+    total = items.count()
     rows, held = [], 0
-    items = benchmark.select("item_id", F.lower("text").alias("text")).where("text IS NOT NULL").orderBy("item_id", "text")
-    for row in items.toLocalIterator():
+    for row in items.orderBy("item_id", "text").toLocalIterator():
         rows.append(tuple(row))
         held += row.text.count(" ") + 1
-        if held >= most:
-            yield prepare(rows)
+        if held >= most or len(rows) >= most_items:
+            yield prepare(rows, total)
             rows, held = [], 0
     if rows:
-        yield prepare(rows)
+        yield prepare(rows, total)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = SIMILARITY, **group) -> DataFrame:
     """(doc_id, item_id, first_word, similarity): for each document and item its best window."""
     out = None
     lowered = docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
     schema = "doc_id long, item_id long, first_word long, similarity double"
-    for items in item_groups(benchmark):
+    for items in item_groups(benchmark, **group):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
