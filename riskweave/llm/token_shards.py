@@ -7,25 +7,31 @@ permuted again (cycle walking). A shard holds ``shard_rows`` consecutive places;
 k of it starts at byte ``k * stride * 2``. Ids are unsigned 16-bit, little endian, padded
 with the end id; an index file of fixed-size records beside the shard holds doc_id, piece
 and length. A reader can begin at any place by seeking, and a run that is repeated leaves
-shards alone that are whole.
+shards alone that already hold the same bytes.
 
-Null and empty texts are one sequence of the end id. A null doc_id is stored as the
-smallest 64-bit number. Repeated rows are repeated sequences. An empty table writes no
-shard. The numbering follows the written order of the token table; other columns are not
-looked at.
+Sequences are numbered by (doc_id, digest of the text, piece), so that the training order
+depends on the rows and the key only, not on how Spark cut the input. The ids stay where
+they are for that: slim rows of documents are sorted by range, and each part of the token
+table gets a file with the first number of each of its documents.
+
+Null and empty texts are one sequence of the end id. A null doc_id comes first and is stored
+as the smallest 64-bit number. Texts of any length are encoded whole. Repeated rows are
+repeated sequences; which of two equal rows comes first makes no difference. An empty table
+writes no shard. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyarrow import fs
 
-from .common import map_arrow, scratch, table
+from .common import map_arrow, scratch, table, written
 from .files import attempt, committed, store
 from .tokens import END, default_path, encode
 from .words import mix
@@ -55,7 +61,8 @@ def permuted(numbers: np.ndarray, total: int, key: int = KEY, rounds: int = ROUN
 
 
 def token_table(docs: DataFrame, folder: str, stride: int, vocabulary: str) -> DataFrame:
-    """Writes (part, row, doc_id, piece, ids) as Parquet; rows count through each part."""
+    """Writes (part, row, doc_id, digest, pieces, piece, ids) as Parquet, a row a sequence. ``row``
+    counts the documents of each part; ``digest`` and ``pieces`` are there for piece 0 only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -64,10 +71,12 @@ def token_table(docs: DataFrame, folder: str, stride: int, vocabulary: str) -> D
         for batch in batches:
             rows, held = [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py(), vocabulary).astype("<u2")
+                text = text.as_py() or ""
+                ids = encode(text, vocabulary).astype("<u2")
                 for k in range(0, len(ids), stride):
-                    rows.append((part, at, doc, k // stride, ids[k : k + stride].tobytes()))
-                    at += 1
+                    first = (hashlib.blake2b(text.encode(), digest_size=16).digest(), -(-len(ids) // stride)) if k == 0 else (None, None)
+                    rows.append((part, at, doc, *first, k // stride, ids[k : k + stride].tobytes()))
+                at += 1
                 held += len(ids)
                 if held > 1 << 20:
                     yield out(rows)
@@ -76,24 +85,87 @@ def token_table(docs: DataFrame, folder: str, stride: int, vocabulary: str) -> D
                 yield out(rows)
 
     def out(rows):
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["part", "row", "doc_id", "piece", "ids"])
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["part", "row", "doc_id", "digest", "pieces", "piece", "ids"])
 
-    tokens = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "part int, row long, doc_id long, piece int, ids binary")
+    schema = "part int, row long, doc_id long, digest binary, pieces long, piece int, ids binary"
+    tokens = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
     tokens.write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.schema(tokens.schema).parquet(folder)
 
 
-def write_shards(tokens: DataFrame, folder: str, stride: int = STRIDE, shard_rows: int = SHARD_ROWS, key: int = KEY) -> DataFrame:
-    """Writes the shards of a token table and returns the manifest (shard, rows, crc32)."""
-    counts = {r.part: r.n for r in tokens.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a task
+def write_numbers(tokens: DataFrame, folder: str) -> int:
+    """Writes, for each part of the token table, the number of the first sequence of each of its
+    documents, 8 bytes each, and returns how many sequences there are. Only slim rows are sorted;
+    equal documents are told apart by their place, so that many of them spread over tasks."""
+    docs = tokens.where("piece = 0").select("doc_id", "digest", "part", "row", "pieces")
+    order = ["doc_id", "digest", "part", "row"]
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("task", F.spark_partition_id())
+    ranged = written(ranged.withColumn("at", F.monotonically_increasing_id()), "ranged-documents")
     before, total = {}, 0
-    for part in sorted(counts):
-        before[part], total = total, total + counts[part]
+    for task, n in ranged.groupBy("task").agg(F.sum("pieces")).orderBy("task").collect():  # one row a task
+        before[task], total = total, total + n
+    if not total:
+        return 0
+    begins = F.coalesce(F.sum("pieces").over(Window.partitionBy("task").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(tokens.sparkSession.createDataFrame(list(before.items()), "task int, before long"))
+    numbered = ranged.withColumn("begins", begins).join(offsets, "task").select("part", "row", (F.col("begins") + F.col("before")).alias("number"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = store(folder)
+        mine, current, out = attempt(), None, []
+
+        def close():
+            with committed(system, path, f"part-{current:06d}.num", mine) as stream:
+                stream.write(np.concatenate(out).astype("<i8").tobytes())
+
+        for batch in batches:
+            parts, numbers = batch.column("part").to_numpy(), batch.column("number").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(parts)) + 1, [len(parts)]])
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                if parts[low] != current:
+                    if current is not None:
+                        close()
+                    current, out = int(parts[low]), []
+                out.append(numbers[low:high])
+        if current is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], ["done"])
+
+    filed = map_arrow(numbered.repartition("part").sortWithinPartitions("part", "row"), run, "done int")
+    filed.agg(F.sum("done")).collect()
+    return total
+
+
+def same_bytes(system: fs.FileSystem, path: str, content: bytes, step: int = 1 << 20) -> bool:
+    """Whether the file is there and holds just these bytes."""
+    there = system.get_file_info(path)
+    if there.type != fs.FileType.File or there.size != len(content):
+        return False
+    with system.open_input_file(path) as file:
+        return all(file.read(min(step, len(content) - low)) == content[low : low + step] for low in range(0, len(content), step))
+
+
+def write_shards(tokens: DataFrame, folder: str, stride: int = STRIDE, shard_rows: int = SHARD_ROWS, key: int = KEY) -> DataFrame:
+    """Writes the shards of a token table and returns the manifest (shard, rows, crc32). The folder
+    may hold shards already: those with other bytes are replaced, each in one move."""
+    numbers = scratch(tokens.sparkSession, "numbers")
+    total = write_numbers(tokens, numbers)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = store(numbers)
+        known, first = None, np.zeros(0, np.int64)
         for batch in batches:
-            number = np.array([before[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("row").to_numpy()
+            parts, rows = batch.column("part").to_numpy(), batch.column("row").to_numpy()
+            number = batch.column("piece").to_numpy().astype(np.int64)
+            for part in np.unique(parts):
+                if part != known:
+                    with system.open_input_file(f"{path}/part-{part:06d}.num") as file:
+                        known, first = part, np.frombuffer(file.read(), "<i8")
+                own = parts == part
+                number[own] += first[rows[own]]
             place = permuted(number, total, key)
             yield pa.RecordBatch.from_arrays([pa.array(place // shard_rows), pa.array(place), *[batch.column(c) for c in ("doc_id", "piece", "ids")]], ["shard", "place", "doc_id", "piece", "ids"])
 
@@ -104,8 +176,7 @@ def write_shards(tokens: DataFrame, folder: str, stride: int = STRIDE, shard_row
         def close():
             data = b"".join(ids)
             for name, content in ((f"shard-{current:06d}.idx", np.array(index, INDEX).tobytes()), (f"shard-{current:06d}.bin", data)):
-                there = system.get_file_info(f"{path}/{name}")
-                if there.type != fs.FileType.File or there.size != len(content):
+                if not same_bytes(system, f"{path}/{name}", content):
                     with committed(system, path, name, mine) as out:
                         out.write(content)
             shards.append((current, len(index), zlib.crc32(data)))
@@ -124,10 +195,10 @@ def write_shards(tokens: DataFrame, folder: str, stride: int = STRIDE, shard_row
         columns = list(zip(*shards)) or [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "rows", "crc32"])
 
-    dealt = map_arrow(tokens, placed, "shard long, place long, doc_id long, piece int, ids binary")
+    dealt = map_arrow(tokens.select("part", "row", "doc_id", "piece", "ids"), placed, "shard long, place long, doc_id long, piece int, ids binary")
     dealt = dealt.repartitionByRange(max(1, -(-total // shard_rows)), "shard").sortWithinPartitions("place")
     manifest = map_arrow(dealt.select("shard", "doc_id", "piece", "ids"), run, "shard long, rows long, crc32 long")
-    manifest.write.parquet(f"{folder}/_manifest")
+    manifest.write.mode("overwrite").parquet(f"{folder}/_manifest")
     return tokens.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/_manifest")
 
 
