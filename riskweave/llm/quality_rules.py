@@ -5,10 +5,14 @@ unigrams and bigrams: one of trusted target documents, one of the whole raw corp
 document's score is the mean log ratio over its n-grams; it is kept if its counted facts
 pass and its score reaches ``min_score``.
 
-Null and empty texts have no words: all counts are zero and the base rules fail. A row is
-judged by itself, so repeated rows get equal verdicts; rows with a null id are judged too,
-but are never part of the target. With no target document every score is zero. Other
-columns are carried along; inner columns start with ``_q_``.
+Null and empty texts have no words: all counts are zero and the base rules fail. Texts of
+any length are counted whole. A row is judged by itself, so repeated rows get equal
+verdicts; rows with a null id are judged too, but are never part of the target. Trusted ids
+of equal hash are taken in order of id. With no target document every score is zero; an
+empty table gives an empty result. Other columns are carried along; inner columns start
+with ``_q_``, and columns of the documents with such names come out of the stage unharmed.
+Repeated windows are told by hashes of at least 40 bits: two different windows of a text
+that share one would count as repeated.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ from .common import table
 BUCKETS = 10_000
 #: At most so many trusted documents make the target, those with the smallest hashed ids.
 TARGET_DOCUMENTS = 20_000
-#: Added to observed and expected counts of a bucket.
+#: Added to observed and expected counts of a bucket: a constant against chance in small corpora,
+#: and a share of the target's mean count of a bucket, so that scores settle as a corpus grows.
 PRIOR = 30.0
+PRIOR_SHARE = 0.1
 MIN_SCORE = -0.04
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -83,7 +89,7 @@ def trusted_ids(labels: DataFrame, most: int = TARGET_DOCUMENTS) -> DataFrame:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """log(target count / count expected from the raw share) of each bucket, both with
-    ``PRIOR`` added, so that a bucket seen rarely says little.
+    ``PRIOR`` and ``PRIOR_SHARE`` of the mean added, so that a bucket seen rarely says little.
 
     All documents are counted; what reaches the driver is one row per bucket.
     ``trusted`` is bounded by ``trusted_ids`` and therefore broadcast.
@@ -95,7 +101,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> l
     raw, target = sum(c[0] for c in counts.values()), sum(c[1] for c in counts.values())
     if not target:
         return [0.0] * buckets
-    ratio = {g: math.log((t + PRIOR) / (r * target / raw + PRIOR)) for g, (r, t) in counts.items()}
+    prior = PRIOR + PRIOR_SHARE * target / buckets
+    ratio = {g: math.log((t + prior) / (r * target / raw + prior)) for g, (r, t) in counts.items()}
     return [ratio.get(g, 0.0) for g in range(buckets)]
 
 
