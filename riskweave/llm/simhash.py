@@ -9,9 +9,10 @@ points one bit away, without pairing their members, and lookups then leave out p
 whose members are already known to hang together.
 
 ``near_duplicates`` finds documents whose sets of five-word shingles have a Jaccard
-similarity of at least 0.8, for the pipeline. A first search among neighbours in sorted
-order joins large families without pairing them; a second, by prefixes of ordered
-shingles, finds every similar pair that is still apart.
+similarity of at least 0.8, for the pipeline. Fingerprints of the sets that the multi-index
+search finds near each other are compared first, then each text with the nearest of the
+texts that stand for its rarest shingles; both join large families without pairing them. Last,
+prefixes of ordered shingles give every similar pair that is still apart.
 
 Null texts count as empty. Texts without a word have fingerprint zero and are linked like
 any other by ``fingerprint_groups``; by ``near_duplicates`` all of them are copies of one
@@ -26,12 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from .common import map_arrow, scratch, slices, table, written
 from .components import connected_components
-from .words import LOWER, find_words, majority_bits, mix, shingle_hashes, word_hashes
+from .words import LOWER, find_words, majority_bits, shingle_hashes, word_hashes
 
 RADIUS = 3
 SEED = 42
@@ -87,8 +87,8 @@ def _ball_links(points: DataFrame) -> DataFrame:
     return groups.select(F.expr("fps[0]").alias("a"), F.explode(F.expr("slice(fps, 2, size(fps))")).alias("b")).distinct()
 
 
-def _segment_links(grouped: DataFrame, radius: int) -> DataFrame:
-    """Links between fingerprints of different groups at most ``radius`` bits apart.
+def _segment_pairs(grouped: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b, of_a, of_b) of fingerprints of different groups at most ``radius`` bits apart.
 
     Of two values one bit apart just one has the bit unset, so only unset bits are
     flipped in a lookup; equal values are compared in one direction.
@@ -97,9 +97,13 @@ def _segment_links(grouped: DataFrame, radius: int) -> DataFrame:
     ups = F.expr("transform(filter(sequence(0, 31), k -> value & shiftleft(1L, k) = 0), k -> value | shiftleft(1L, k))")
     probes = halves.select(F.col("fp").alias("a"), F.col("component").alias("of_a"), "segment", F.posexplode(F.concat(F.array("value"), ups)).alias("step", "value"))
     stored = halves.select(F.col("fp").alias("b"), F.col("component").alias("of_b"), "segment", "value")
-    near = probes.join(stored, ["segment", "value"]).where(
+    return probes.join(stored, ["segment", "value"]).where(
         (F.col("of_a") != F.col("of_b")) & ((F.col("step") > 0) | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-    return near.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct()
+
+
+def _segment_links(grouped: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between the groups of such fingerprints."""
+    return _segment_pairs(grouped, radius).select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct()
 
 
 def fingerprint_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -127,42 +131,34 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Smallest shingle hashes of a document under which it is looked up.
-KEYS = 16
-#: Pairs at a similarity of 0.8 differ in about 10 of 64 bits; beyond this the first search leaves them to the second.
-FAR_BITS = 24
 #: The bitmap of ids in pairs has two to this power of bits, 8 MB.
 FILTER_BITS = 26
-#: Rows after a row, in the order of a key, that the first search compares it with.
-REACH = 8
+#: A text and the text that stands for a shingle are compared if their fingerprints differ in so many bits
+#: at most; pairs farther apart are left to the search by prefixes.
+FAR_BITS = 24
+#: Rounds of comparing texts with those that stand for their shingles.
+ROUNDS = 3
 #: Shingles counted as common at most; they come last in the order of the second search.
 COMMON = 1 << 16
 #: One text in so many is counted for them.
 COUNTED = 16
 
 
-def _copies(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A hash of each text's sequence of shingles, equal for equal word sequences."""
-    place = mix(hashes * np.uint64(3) + (np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.uint64))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(place)])
-    return mix(total[bounds[1:]] - total[bounds[:-1]])
-
-
 def _shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER[data]
     words = find_words(data, offsets)
     return shingle_hashes(word_hashes(data, words), words.bounds, size)
 
 
-def with_copies(docs: DataFrame, name: str, size: int = WORDS) -> DataFrame:
-    """``docs`` with the ``copy`` of ``sketches`` as a further column of this name."""
+def text_key() -> Column:
+    """Equal for equal texts; zero for all texts without a word."""
+    return F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.xxhash64("text")).otherwise(F.lit(0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in slices(batches):
-            copy = _copies(*_shingles(data, offsets, size))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copy.view(np.int64))], [*batch.schema.names, name])
 
-    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, copy, row): ``row`` is equal for equal ids and texts."""
+    own = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("copy"))
+    return own.withColumn("row", F.xxhash64("copy", F.coalesce("doc_id", F.lit(0))))
 
 
 def common_shingles(docs: DataFrame, size: int = WORDS, at_most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -198,11 +194,28 @@ def _length(n, share: float):
     return n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
 
 
-def sketches(docs: DataFrame, size: int = WORDS, keys: int = KEYS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, copy, fp, n, keys, prefix, shingles) of every row. ``copy`` is equal for equal word
-    sequences; ``prefix`` has the rarest hashes, of which two similar texts have one in common;
-    ``shingles`` has the sorted distinct 32-bit hashes as bytes."""
-    common, counts = common_shingles(docs, size)
+def _parity(hashes: np.ndarray) -> bytes:
+    """For each of two to four times as many places as there are hashes: whether an odd number falls there."""
+    places = 1 << max(6, int(2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _least_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """How many hashes are in just one of two sets, at least: places whose parities differ hold one.
+    The longer parity is folded to the places of the shorter."""
+    while len(x) != len(y):
+        longer = x if len(x) > len(y) else y
+        half = len(longer) // 2
+        folded = longer[:half] ^ longer[half:]
+        x, y = (folded, y) if longer is x else (x, folded)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def sketches(rows: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(copy, row, fp, n, prefix, parity) of every one of the ``keyed`` rows: ``n`` distinct shingles
+    with a fingerprint and a parity; ``prefix`` has the rarest, of which two similar texts have one in common."""
+    common, counts = common_shingles(rows, size)
 
     def rarest(s: np.ndarray) -> np.ndarray:
         if not len(s):
@@ -216,106 +229,94 @@ def sketches(docs: DataFrame, size: int = WORDS, keys: int = KEYS, similarity: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
             hashes, bounds = _shingles(data, offsets, size)
-            copy = _copies(hashes, bounds)
             sets = [np.unique(hashes[bounds[k] : bounds[k + 1]]) for k in range(batch.num_rows)]
             fp = majority_bits(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))  # of the sets, as the similarity is
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(copy.view(np.int64)), pa.array(fp.view(np.int64)),
+                batch.column("copy"), batch.column("row"), pa.array(fp.view(np.int64)),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([s[:keys].view(np.int64) for s in sets], pa.list_(pa.int64())),
                 pa.array([rarest(s).view(np.int64) for s in sets], pa.list_(pa.int64())),
-                pa.array([np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets], pa.binary()),
-            ], ["doc_id", "copy", "fp", "n", "keys", "prefix", "shingles"])
+                pa.array([_parity(s) for s in sets], pa.binary()),
+            ], ["copy", "row", "fp", "n", "prefix", "parity"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, copy long, fp long, n long, keys array<long>, prefix array<long>, shingles binary")
+    return map_arrow(rows.select("copy", "row", "text"), run, "copy long, row long, fp long, n long, prefix array<long>, parity binary")
 
 
-def neighbours(sketch: DataFrame, similarity: float, far_bits: int = FAR_BITS, reach: int = REACH) -> DataFrame:
-    """Candidate pairs (a, b, step) of ids: rows at most ``reach`` places apart when sorted by
-    key, then by the fingerprint, rotated differently for each key; ``step`` is the smallest
-    distance. A row is in ``2 * reach`` pairs a key at most, however many share the key;
-    sorting is by range, so a frequent key spreads over tasks, and the ends of tasks are
-    paired too: ``2 * reach`` rows of each task are compared on the driver."""
-    rotated = F.expr("shiftleft(fp, turn) | shiftrightunsigned(fp, 64 - turn)")
-    keyed = sketch.select("doc_id", "fp", "n", F.explode("keys").alias("key")).withColumn("turn", F.expr("cast(pmod(key, 63) AS int)"))
-    keyed = keyed.select("key", rotated.alias("place"), "doc_id", "fp", "n")
-    keyed = keyed.repartitionByRange("key", "place", "doc_id").sortWithinPartitions("key", "place", "doc_id")
-    fields = ["key", "doc_id", "fp", "n"]
-    schema = pa.schema([("part", pa.int32()), ("at", pa.int64()), *[(f, pa.int64()) for f in fields], ("other", pa.int64()), ("step", pa.int32())])
+def same_point_pairs(alone: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts that connect equal fingerprints and those at most two bits apart."""
+    points = alone.groupBy("fp").agg(F.min("copy").alias("first"))
+    equal = alone.join(points, "fp").where("copy <> first").select(F.col("first").alias("a"), F.col("copy").alias("b"))
+    links = _ball_links(points.select("fp"))
+    return equal.union(links.join(points.toDF("a", "of_a"), "a").join(points.toDF("b", "of_b"), "b").select("of_a", "of_b"))
 
-    def compared(x, y) -> np.ndarray:
-        near = (x[0] == y[0]) & (np.minimum(x[3], y[3]) >= similarity * np.maximum(x[3], y[3]))
-        return near & (np.bitwise_count((x[2] ^ y[2]).view(np.uint64)) <= far_bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def segment_pairs(alone: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of different groups, one for each fingerprint, at most three bits apart."""
+    points = alone.select("copy", "fp").join(named, "copy").groupBy("fp").agg(F.min(F.struct("copy", "group")).alias("first"))
+    points = written(points.select("fp", F.col("first.copy").alias("copy"), F.col("first.group").alias("component")), "points")
+    near = _segment_pairs(points.select("fp", "component"), RADIUS).select("a", "b").distinct()
+    of = points.select("fp", "copy")
+    return near.join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
 
-        def out(**columns):
-            n = len(columns["doc_id"])
-            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-        seen, first, last = 0, [np.zeros(0, np.int64)] * 4, [np.zeros(0, np.int64)] * 4
-        for batch in batches:
-            rows = [np.concatenate([v, batch.column(f).to_numpy()]) for v, f in zip(last, fields)]
-            old, n = len(last[0]), len(rows[0])
-            for step in range(1, min(reach, n - 1) + 1):
-                low = max(0, old - step)
-                x, y = [v[low : n - step] for v in rows], [v[low + step :] for v in rows]
-                if not (x[0] == y[0]).any():  # rows farther apart have no key in common either
-                    break
-                near = compared(x, y)
-                if near.any():
-                    yield out(doc_id=x[1][near], other=y[1][near], step=np.full(int(near.sum()), step))
-            if len(first[0]) < reach:
-                first = [np.concatenate([v, w[old:]])[:reach] for v, w in zip(first, rows)]
-            seen, last = seen + n - old, [v[-reach:] for v in rows]
-        if seen:
-            ahead = np.arange(len(first[0]))
-            behind = np.arange(max(seen - len(last[0]), len(ahead)), seen)
-            ends = [np.concatenate([v, w[len(w) - len(behind) :]]) for v, w in zip(first, last)]
-            at = np.concatenate([ahead, behind])
-            yield out(part=np.full(len(at), TaskContext.get().partitionId()), at=at, **dict(zip(fields, ends)))
-
-    ddl = "part int, at long, key long, doc_id long, fp long, n long, other long, step int"
-    found = written(map_arrow(keyed.select(*fields), run, ddl), "neighbours")
-    pairs = found.where("part IS NULL").select("doc_id", "other", "step")
-    ends = found.where("part IS NOT NULL").select("part", "at", *fields).orderBy("part", "at").toPandas()
-    if len(ends):
-        part, rows = ends["part"].to_numpy(), [ends[f].to_numpy() for f in fields]
-        sizes = ends.groupby("part")["at"].max() + 1
-        place = ends["at"].to_numpy() + (sizes.cumsum() - sizes).loc[part].to_numpy()
-        across = []
-        for step in range(1, min(reach, len(ends) - 1) + 1):
-            near = compared([v[:-step] for v in rows], [v[step:] for v in rows])
-            near &= (part[:-step] != part[step:]) & (place[step:] - place[:-step] <= reach)
-            across += zip(rows[1][:-step][near].tolist(), rows[1][step:][near].tolist(), (place[step:] - place[:-step])[near].tolist())
-        if across:
-            pairs = pairs.union(sketch.sparkSession.createDataFrame(across, "doc_id long, other long, step int"))
-    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"), "step").where("a <> b")
-    return pairs.groupBy("a", "b").agg(F.min("step").alias("step"))
-
-
-def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b, of_a, of_b) of texts from different groups that may be similar, and all that are.
-
-    ``rows`` has (doc_id, group, n, prefix). In any one order of shingles, two sets at the
-    similarity have a shingle in common among the first of each: of the longer set's as
-    many as ``prefix`` has, of the shorter set's about half as many. Their lengths and the
-    places of the first common shingle bound what they share. Shingles that only texts of
-    one group hold are left out before texts are paired, so a family that the first search
-    has joined is not paired out.
+def lookups(alone: DataFrame) -> DataFrame:
+    """(key, copy, fp, n, pos) for each shingle of a prefix that at least two texts have there."""
+    every = alone.select("copy", "fp", "n", F.posexplode("prefix").alias("pos", "key"))
+    shared = written(every.groupBy("key").count().where("count > 1").select("key"), "shared-shingles")
+    return perhaps_in(every, shared, "key").join(shared, "key").select("key", "copy", "fp", "n", "pos")
+
+
+def _apart(held: DataFrame, named: DataFrame) -> DataFrame:
+    """The lookups with their groups, but for shingles that texts of one group alone hold."""
+    grouped = written(held.join(named, "copy"), "grouped-lookups")
+    spread = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+    return grouped.join(spread.select("key"), "key")
+
+
+def hub_pairs(held: DataFrame, named: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """A pair (a, b) at most for each text: of the texts that stand for its shingles, the one with the
+    nearest fingerprint among those of other groups. So a family costs as many pairs as it has texts."""
+    held = written(_apart(held, named), "apart")
+    order = F.xxhash64("copy", F.lit(turn))
+    hubs = held.groupBy("key").agg(F.min(F.struct(order.alias("order"), "copy", "fp", "n", "group")).alias("hub"))
+    far = "cast(bit_count(fp ^ hub.fp) AS int)"
+    met = held.join(hubs, "key").where(f"group <> hub.group AND {far} <= {FAR_BITS} AND least(n, hub.n) >= {similarity!r}D * greatest(n, hub.n) - 1e-9D")
+    best = met.groupBy("copy").agg(F.min(F.struct(F.expr(far).alias("far"), F.col("hub.copy").alias("hub"))).alias("best"))
+    return best.select(F.col("best.hub").alias("a"), F.col("copy").alias("b"))
+
+
+def prefix_pairs(held: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts from different groups that may be similar, and all that are.
+
+    In any one order of shingles, two sets at the similarity have a shingle in common among the
+    first of each: of the longer set's as many as ``prefix`` has, of the shorter set's about half
+    as many. Their lengths and the places of the first common shingle bound what they share.
+    Shingles that only texts of one group hold are left out before texts are paired, so a
+    family that earlier searches have joined is not paired out.
     """
     both = similarity / (1 + similarity)
-    keyed = rows.select("doc_id", "group", "n", F.posexplode("prefix").alias("pos", "key"))
-    spread = keyed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-    spread = written(spread, "spread-shingles")
-    held = written(perhaps_in(keyed, spread, "key").join(spread, "key"), "held")
-    x = held.select("key", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "group", "n", "pos")])
-    y = held.where(f"pos <= n - ceil({2 * both!r}D * n - 1e-9D)").select("key", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "group", "n", "pos")])
-    near = F.expr(f"""group_x <> group_y AND (n_y < n_x OR n_y = n_x AND doc_id_y < doc_id_x) AND n_y >= {similarity!r}D * n_x - 1e-9D
+    held = written(_apart(held, named), "apart")
+    x = held.select("key", *[F.col(c).alias(f"{c}_x") for c in ("copy", "group", "n", "pos")])
+    y = held.where(f"pos <= n - ceil({2 * both!r}D * n - 1e-9D)").select("key", *[F.col(c).alias(f"{c}_y") for c in ("copy", "group", "n", "pos")])
+    near = F.expr(f"""group_x <> group_y AND (n_y < n_x OR n_y = n_x AND copy_y < copy_x) AND n_y >= {similarity!r}D * n_x - 1e-9D
         AND 1 + least(n_x - pos_x - 1, n_y - pos_y - 1) >= {both!r}D * (n_x + n_y) - 1e-9D""")
-    found = x.join(y, "key").where(near)
-    return found.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"), F.col("group_x").alias("of_a"), F.col("group_y").alias("of_b")).distinct()
+    return x.join(y, "key").where(near).select(F.col("copy_x").alias("a"), F.col("copy_y").alias("b")).distinct()
+
+
+def close_pairs(pairs: DataFrame, alone: DataFrame, similarity: float) -> DataFrame:
+    """The pairs but for those whose lengths or parities rule the similarity out. Every similar pair stays."""
+    of = alone.select("copy", "n", "parity")
+    both = pairs.join(of.toDF("a", "n_a", "of_a"), "a").join(of.toDF("b", "n_b", "of_b"), "b")
+    both = both.where(f"least(n_a, n_b) >= {similarity!r}D * greatest(n_a, n_b) - 1e-9D")
+    most = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            apart = [_least_apart(*(np.frombuffer(v.as_buffer(), np.uint8) for v in xy)) for xy in zip(batch.column("of_a"), batch.column("of_b"))]
+            keep = np.array(apart, np.int64) <= most * total + 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(both, run, "a long, b long")
 
 
 def perhaps_in(rows: DataFrame, ids: DataFrame, column: str = "doc_id", bits: int = FILTER_BITS) -> DataFrame:
@@ -331,11 +332,20 @@ def perhaps_in(rows: DataFrame, ids: DataFrame, column: str = "doc_id", bits: in
     return marked.select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
-def shingle_sets(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the texts in ``pairs``, named by their ``copy``. Other sets aren't moved."""
-    in_pairs = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = perhaps_in(sketch.select(F.col("copy").alias("doc_id"), "shingles"), in_pairs).join(in_pairs, "doc_id")
-    return sets.dropDuplicates(["doc_id"])
+def shingle_sets(pairs: DataFrame, alone: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """(copy, shingles) of the texts in ``pairs``: sorted distinct 32-bit hashes as bytes, made from one
+    of the ``keyed`` rows with the text. No text is moved and no other text's set is made or kept."""
+    wanted = pairs.select(F.col("a").alias("copy")).union(pairs.select("b")).distinct()
+    wanted = written(wanted.join(alone.select("copy", "row"), "copy"), "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches):
+            hashes, bounds = _shingles(data, offsets, size)
+            sets = [np.unique((hashes[bounds[k] : bounds[k + 1]] >> np.uint64(32)).astype("<u4")).tobytes() for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("copy"), batch.column("row"), pa.array(sets, pa.binary())], ["copy", "row", "shingles"])
+
+    found = map_arrow(perhaps_in(rows, wanted, "row").select("copy", "row", "text"), run, "copy long, row long, shingles binary")
+    return found.join(wanted, ["copy", "row"]).select("copy", "shingles").dropDuplicates(["copy"])
 
 
 def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -357,24 +367,25 @@ def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
 def near_groups(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, copy, group) for every distinct (doc_id, copy) in ``docs``, a written table. The
     search is among distinct texts, named by ``copy``; ids may be null and need not be unique."""
-    sketch = written(sketches(docs, size, similarity=similarity), "sketches")
-    alone = written(sketch.drop("doc_id", "shingles").dropDuplicates(["copy"]).withColumnRenamed("copy", "doc_id"), "distinct-sketches")
-    pairs = written(neighbours(alone, similarity), "pairs")
-    sets = written(shingle_sets(pairs, sketch), "sets")
-    # next neighbours first; of the rest only pairs that these links leave in different groups
-    groups = connected_components(similar_links(pairs.where("step = 1"), sets, similarity))
-    apart = pairs.where("step > 1").join(groups.toDF("a", "of_a"), "a", "left").join(groups.toDF("b", "of_b"), "b", "left")
-    apart = apart.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).where("of_a <> of_b")
-    apart = written(apart, "pairs-apart")
-    more = similar_links(apart, sets, similarity).join(apart, ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    named = _merged(alone.select(F.col("doc_id").alias("copy"), F.col("doc_id").alias("group")), groups)
-    named = written(_merged(named, connected_components(more)), "named")
-    # then all pairs that are still in different groups, by shingles in common
-    texts = alone.join(named.withColumnRenamed("copy", "doc_id"), "doc_id").select("doc_id", "group", "n", "prefix")
-    apart = written(prefix_pairs(texts, similarity), "prefix-pairs")
-    more = similar_links(apart, written(shingle_sets(apart, sketch), "sets"), similarity).join(apart, ["a", "b"])
-    named = written(_merged(named, connected_components(more.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))), "named")
-    return written(sketch.select("doc_id", "copy").distinct().join(named, "copy"), "grouped")
+    rows = keyed(docs)
+    alone = written(sketches(rows, size, similarity).dropDuplicates(["copy"]), "sketches")
+    named = alone.select("copy", F.col("copy").alias("group"))
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        close = written(close_pairs(pairs, alone, similarity), "close-pairs")
+        if close.isEmpty():
+            return named
+        sets = written(shingle_sets(close, alone, rows, size), "sets")
+        links = similar_links(close, sets, similarity).join(named.toDF("a", "of_a"), "a").join(named.toDF("b", "of_b"), "b")
+        return written(_merged(named, connected_components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))), "named")
+
+    named = joined(same_point_pairs(alone))
+    named = joined(segment_pairs(alone, named))
+    held = written(lookups(alone), "lookups")
+    for turn in range(ROUNDS):
+        named = joined(hub_pairs(held, named, similarity, turn))
+    named = joined(prefix_pairs(held, named, similarity))
+    return written(rows.select("doc_id", "copy").distinct().join(named, "copy"), "grouped")
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -396,6 +407,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = docs.columns
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "copy"))
     stays = near_groups(docs).groupBy("group").agg(first.alias("first")).select(*[F.col(f"first.{c}").alias(f"_n_{c}") for c in ("none", "id", "copy")])
-    keyed = with_copies(docs, "_n_copy").withColumn("_n_none", F.col("doc_id").isNull()).withColumn("_n_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-    kept = keyed.join(stays, ["_n_none", "_n_id", "_n_copy"]).dropDuplicates(["_n_none", "_n_id", "_n_copy"])
+    rows = docs.withColumn("_n_copy", text_key()).withColumn("_n_none", F.col("doc_id").isNull()).withColumn("_n_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    kept = rows.join(stays, ["_n_none", "_n_id", "_n_copy"]).dropDuplicates(["_n_none", "_n_id", "_n_copy"])
     return kept.select(*[F.col(f"`{c}`") for c in own])

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -183,17 +184,28 @@ def test_near_duplicates_without_a_common_lookup_key(frame):
     words = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
     hashes, _ = simhash._shingles(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]), simhash.WORDS)
     edited = list(words)
-    for k in np.argsort(hashes)[: simhash.KEYS]:
+    for k in np.argsort(hashes)[:16]:
         edited[k] = f"x{k}"
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame([(1, " ".join(words)), (2, " ".join(edited))])).collect()}
     assert got == {1: 1, 2: 1}
 
 
-def test_near_duplicates_are_complete_without_the_first_search(frame, monkeypatch):
-    monkeypatch.setattr(simhash, "neighbours", lambda sketch, *_: sketch.sparkSession.createDataFrame([], "a long, b long, step int"))
+@pytest.mark.parametrize("searches", [("same_point_pairs", "segment_pairs", "hub_pairs"), ("same_point_pairs", "segment_pairs"), ("hub_pairs",)])
+def test_near_duplicates_are_complete_without_the_first_searches(frame, monkeypatch, searches):
+    for name in searches:
+        monkeypatch.setattr(simhash, name, lambda rows, *_: rows.sparkSession.createDataFrame([], "a long, b long"))
     test_near_duplicates_equal_brute_force_in_families_around_the_threshold(frame)
 
 
+def test_parities_never_exceed_the_difference_of_sets():
+    rng = np.random.default_rng(11)
+    for n, m, shared in [(0, 0, 0), (0, 3, 0), (40, 30, 20), (500, 400, 400), (500, 130, 60), (5000, 4100, 4000)]:
+        every = rng.integers(0, 1 << 63, n + m - shared, dtype=np.uint64)
+        x, y = every[:n], every[n - shared :]
+        least = simhash._least_apart(*(np.frombuffer(simhash._parity(s), np.uint8) for s in (x, y)))
+        assert (n + m - 2 * shared) % 2 == least % 2 and (n + m - 2 * shared) / 4 <= least <= n + m - 2 * shared
+
+
 def test_language_stage_keeps_columns_of_clashing_names(spark, frame, tmp_path):
     rows = [(1, "plain words of a text", "en"), (2, None, None), (3, "plain words of a text", "en")]
     schema = "doc_id long, text string, lang string, score string, lang_pred string, row_of string"
