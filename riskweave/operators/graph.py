@@ -10,6 +10,8 @@ from riskweave.operators.rules import holds_admin_permission
 from riskweave.session import shared
 
 SYSTEM_POINTS, RESOURCE_POINTS = 5, 15
+#: Users whose edges are held by one task.
+DEALT_USERS = 50_000
 
 
 def _targets(items: Column, prefix: str, kind: str) -> Column:
@@ -17,6 +19,15 @@ def _targets(items: Column, prefix: str, kind: str) -> Column:
         F.concat(F.lit(prefix), x).alias("target"), F.lit(kind).alias("type")))
 
 
+def dealt(users: DataFrame) -> DataFrame:
+    """The rows dealt by user in parts of about ``DEALT_USERS``.
+
+    A compressed inventory of millions of users is read by a few tasks, which would hold the
+    edges of all of theirs at once. A user's rows stay together, so edges of one user meet in one task.
+    """
+    return users.repartition(users.count() // DEALT_USERS + 1, "user_id")
+
+
 def graph_edges(scored: DataFrame) -> DataFrame:
     """(source, target, type): user to role, user to system, user to resource."""
     edges = F.concat(

@@ -234,7 +234,7 @@ def _graph_users(users: DataFrame) -> DataFrame:
 
 
 def _edge_counts(users: DataFrame) -> DataFrame:
-    return graph.graph_edges(users).groupBy("type", "target").agg(
+    return graph.graph_edges(graph.dealt(users)).groupBy("type", "target").agg(
         F.count(F.lit(1)).alias("edges"), F.count_distinct("source").alias("users"))
 
 

@@ -186,3 +186,14 @@ def test_event_predictions_and_status(spark):
     people = spark.createDataFrame([(f"u{i}",) for i in range(12)], "user_id string")
     status = lambda l, p=people: E.evaluation_status(E.align_labels(p, l)).first().status
     assert status(users) == "ok" and status(users.limit(0)) == "label_mismatch" and status(users, people.limit(5)) == "empty"
+
+
+def test_edges_of_many_users_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "DEALT_USERS", 10)
+    users = spark.range(95).selectExpr("cast(id % 90 as string) as user_id", "array('viewer') as roles", "'AD' as source_system", "array('read:all') as permissions").coalesce(1)
+    dealt = graph.dealt(users)
+    assert dealt.rdd.getNumPartitions() == 10
+    homes = dealt.select("user_id", F.spark_partition_id().alias("task")).groupBy("user_id").agg(F.count_distinct("task").alias("n"))
+    assert homes.count() == 90 and homes.where("n > 1").isEmpty()
+    assert graph.graph_edges(dealt).exceptAll(graph.graph_edges(users)).isEmpty() and dealt.count() == 95
+    assert graph.dealt(users.limit(0)).count() == 0
