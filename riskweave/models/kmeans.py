@@ -26,6 +26,8 @@ GROUP = 1 << 22
 #: Features in one slice of sums.
 SLICE = 4096
 ENTRIES = 4096
+#: Rows with at least one entry in so many features are multiplied as a dense matrix.
+DENSE = 16
 
 
 class Rows(NamedTuple):
@@ -47,6 +49,9 @@ class Rows(NamedTuple):
 
     def products(self, turned: np.ndarray) -> np.ndarray:
         """The product of each row with each column of ``turned`` (feature, centre)."""
+        width = len(turned)
+        if self.n * width <= DENSE * len(self.row):
+            return np.bincount(self.row * width + self.at, self.value, self.n * width).reshape(self.n, width) @ turned
         out = np.zeros((self.n, turned.shape[1]))
         for low in range(0, len(self.row), ENTRIES):
             row, at, value = (v[low:low + ENTRIES] for v in (self.row, self.at, self.value))

@@ -77,3 +77,15 @@ def test_fewer_distinct_rows_than_clusters(spark):
     got = kmeans.fit_many(sparse_rows(spark, x), 2, [2, 3, 8], 2)
     assert list(got) == [2] and got[2].cost == pytest.approx(0.0) and got[2].silhouette == pytest.approx(1.0)
     assert kmeans.fit_many(sparse_rows(spark, x).where("false"), 2, [2], 2) == {}
+
+
+def test_short_rows_over_few_features_are_multiplied_as_one_matrix(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((40, 12)) < 0.5, rng.normal(size=(40, 12)), 0.0)
+    x[3] = 0.0
+    at = [np.flatnonzero(v).tolist() for v in x]
+    rows = kmeans.Rows.of(pd.DataFrame({"at": at, "value": [v[a].tolist() for v, a in zip(x, at)]}))
+    turned, wide = rng.normal(size=(12, 7)), rng.normal(size=(4000, 7))
+    assert np.allclose(rows.products(wide), x @ wide[:12])  # too wide for a matrix: by entries
+    monkeypatch.setattr(kmeans, "ENTRIES", None)  # of no use where rows are not taken apart
+    assert np.allclose(rows.products(turned), x @ turned)
