@@ -166,7 +166,8 @@ def base_forests(train: DataFrame, features: list[str], label: str = "label", se
     weighted = train.withColumn("w", class_weight(label, train))
     bagged = Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="x"),
-        RandomForestClassifier(featuresCol="x", labelCol=label, weightCol="w", numTrees=100, maxDepth=MOST_DEPTH, featureSubsetStrategy="sqrt", seed=seed),
+        RandomForestClassifier(featuresCol="x", labelCol=label, weightCol="w", numTrees=100, maxDepth=MOST_DEPTH, featureSubsetStrategy="sqrt", seed=seed,
+                               cacheNodeIds=True),
     ]).fit(weighted)
     return bagged, ExtraTrees.fit(train, features, label, seed=seed)
 

@@ -58,6 +58,7 @@ def run_holdout(
     users: DataFrame, events: DataFrame, labels: DataFrame, as_of: Column, thresholds: Thresholds = DEFAULTS,
     seed: int = 42, cut: float = CUT, anomaly_types: list[str] | None = None, check_auc: bool = True,
 ) -> HoldoutResult:
+    labels = checkpointed(labels)  # read twice; they may come out of a scan
     state = E.evaluation_status(E.align_labels(users, labels)).first()  # one row
     if state["status"] != "ok":
         return HoldoutResult(state["status"], state["label_match_count"])

@@ -175,3 +175,24 @@ def test_the_quality_gate_lets_good_models_pass_and_stops_bad_ones(spark):
     with pytest.raises(supervised.ModelQualityError) as stopped:
         supervised.RiskClassifier.fit(spark.createDataFrame(pdf.assign(label=rng.integers(0, 2, 300))), NAMES)
     assert stopped.value.auc < supervised.MIN_AUC
+
+
+def test_deep_forest_keeps_the_nodes_of_rows_and_its_predictions(spark):
+    from riskweave.models.supervised import base_forests
+
+    rows = [(f"u{k}", float(k % 7), float(k * 37 % 11), int(k % 5 == 0 or k * 37 % 11 > 8)) for k in range(80)]
+    train = spark.createDataFrame(rows, "user_id string, a double, b double, label int").coalesce(2).cache()
+    bagged, _ = base_forests(train, ["a", "b"])
+    forest = bagged.stages[-1]
+    assert forest.getCacheNodeIds()
+    estimator = forest._java_obj.parent().copy(forest._java_obj.parent().extractParamMap())
+    estimator.setCacheNodeIds(False)
+    assert len(forest.trees) == 100
+    plain = estimator.fit(bagged.stages[0].transform(train).withColumn("w", weight_of(train))._jdf)
+    assert plain.toDebugString() == forest.toDebugString
+
+
+def weight_of(train):
+    from riskweave.models.supervised import class_weight
+
+    return class_weight("label", train)
