@@ -33,7 +33,7 @@ BLOCK = 256
 #: Children of a node, and points of a cell among which they are chosen.
 FAN, CANDIDATES = 16, 64
 #: Nodes of a level that are sent to all tasks; of more none is.
-SHARED = 256
+SHARED = 1024
 #: Cells are numbered from the root, child i of cell c being c * FAN + i + 1; so deep they fit into long.
 MOST_LEVELS = 14
 
@@ -63,40 +63,70 @@ def distinct_points(pts: DataFrame) -> DataFrame:
     return checkpointed(grouped.select(F.monotonically_increasing_id().alias("pid"), "x", "n"))
 
 
-class Node(NamedTuple):
-    """An inner cell: its pivots, and for each child (row) how near and far its points lie to each pivot."""
+class Nodes(NamedTuple):
+    """Inner cells, by their number: the pivots of each, and for each child (row) how near and far its points lie
+    to each pivot. All are filled up to ``FAN``, so that rows of many cells are looked at together."""
 
+    cells: np.ndarray
     pivots: np.ndarray
+    there: np.ndarray  # False for what fills up
     low: np.ndarray
     high: np.ndarray
     n: np.ndarray
 
     @staticmethod
-    def of(row) -> "Node":
-        return Node(*(np.stack([np.asarray(v, float) for v in row[c]]) for c in ("pivots", "low", "high")), np.asarray(row["n"], float))
-
-    def children(self, x: np.ndarray, within: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(pdf: pd.DataFrame) -> "Nodes":
+        pdf = pdf.sort_values("cell")
+        held = [[np.stack([np.asarray(v, float) for v in row]) for row in pdf[c]] for c in ("pivots", "low", "high")]
+        shape = (len(pdf), FAN, FAN)
+        pivots = np.zeros((len(pdf), FAN, held[0][0].shape[1] if len(pdf) else 0))
+        there = np.zeros(shape[:2], bool)
+        # a missing pivot rules nothing out
+        low, high, n = np.full(shape, -np.inf), np.full(shape, np.inf), np.zeros(shape[:2])
+        for k, (p, near, far, rows) in enumerate(zip(*held, pdf["n"])):
+            pivots[k, : len(p)], there[k, : len(p)] = p, True
+            low[k, : near.shape[0], : near.shape[1]], high[k, : far.shape[0], : far.shape[1]] = near, far
+            n[k, : len(rows)] = rows
+        return Nodes(pdf["cell"].to_numpy(np.int64), pivots, there, low, high, n)
+
+    def at(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each cell is here, its place)."""
+        place = np.searchsorted(self.cells, cells)
+        here = place < len(self.cells)
+        here[here] = self.cells[place[here]] == cells[here]
+        return here, np.where(here, place, 0)
+
+    def distances(self, x: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """From each row to the pivots of its cell, infinite where there are fewer."""
+        total = np.zeros((len(x), FAN))
+        for f in range(x.shape[1]):
+            total += (x[:, f, None] - self.pivots[place, :, f]) ** 2
+        return np.where(self.there[place], np.sqrt(total), np.inf)
+
+    def children(self, x: np.ndarray, place: np.ndarray, within: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distance to each pivot, least distance to each child's points, a distance that holds ``need`` points)."""
-        d = distances(x, self.pivots)
-        least = np.maximum(np.maximum(self.low[None] - d[:, None], d[:, None] - self.high[None]).max(axis=2), 0.0)
-        most = (d[:, None] + self.high[None]).min(axis=2)
+        d, n = self.distances(x, place), self.n[place]
+        known = np.where(self.there[place], d, 0.0)[:, None]
+        low, high = self.low[place], self.high[place]
+        least = np.maximum(np.maximum(low - known, known - high).max(axis=2), 0.0)
+        most = (known + high).min(axis=2)
         order = np.argsort(most, axis=1)
-        enough = np.cumsum(self.n[order], axis=1) >= need
+        enough = np.cumsum(np.take_along_axis(n, order, axis=1), axis=1) >= need
         reach = np.take_along_axis(most, order, axis=1)[np.arange(len(x)), enough.argmax(axis=1)]
+        least[~self.there[place]] = np.nan  # no child: not within any distance
         return d, least, np.minimum(within, np.where(enough.any(axis=1), reach, np.inf))
 
 
 def _meet(rows: DataFrame, nodes: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``run(rows of a cell, its node or None)`` for the cells of ``rows``, in blocks."""
+    """``run(rows, nodes)`` over ``rows``, in blocks of rows of any cells; ``nodes`` has their inner cells."""
     few = nodes.limit(SHARED + 1).toPandas()
     if len(few) <= SHARED:
-        shared = rows.sparkSession.sparkContext.broadcast({r["cell"]: Node.of(r) for _, r in few.iterrows()})
+        shared = rows.sparkSession.sparkContext.broadcast(Nodes.of(few))
 
         def local(batches):
             for pdf in batches:
-                for cell, part in pdf.groupby("cell", sort=False):
-                    for start in range(0, len(part), BLOCK):
-                        yield run(part.iloc[start:start + BLOCK], shared.value.get(cell))
+                for start in range(0, len(pdf), BLOCK):
+                    yield run(pdf.iloc[start:start + BLOCK], shared.value)
 
         return rows.mapInPandas(local, schema)
     parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_POINTS).alias("parts"))
@@ -104,7 +134,7 @@ def _meet(rows: DataFrame, nodes: DataFrame, run: Callable, schema: str) -> Data
     held = nodes.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def meet(part: pd.DataFrame, node: pd.DataFrame) -> pd.DataFrame:
-        one = Node.of(node.iloc[0]) if len(node) else None
+        one = Nodes.of(node)
         part = part.drop(columns="part")
         blocks = [run(part.iloc[start:start + BLOCK], one) for start in range(0, len(part), BLOCK)]
         return pd.concat(blocks) if blocks else pd.DataFrame()
@@ -131,13 +161,22 @@ def _split(points: DataFrame, leaf_points: int) -> tuple[DataFrame, DataFrame] |
     by_hash = Window.partitionBy("cell").orderBy(F.xxhash64("pid"), "pid")
     some = crowded.withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= CANDIDATES).select("cell", "pid", "x")
     pivots = checkpointed(some.groupBy("cell").applyInPandas(_pivots, "cell bigint, pivots array<array<double>>"))
-    def route(part: pd.DataFrame, node: Node | None) -> pd.DataFrame:
-        if node is None:
-            return part.assign(parent=-1, d=None)
-        d = distances(as_matrix(part["x"]), node.pivots)
-        return part.assign(parent=part["cell"], cell=part["cell"] * FAN + d.argmin(axis=1) + 1, d=list(d))
 
-    unranged = pivots.select("cell", "pivots", F.col("pivots").alias("low"), F.col("pivots").alias("high"), F.array(F.lit(0)).alias("n"))
+    def route(part: pd.DataFrame, nodes: Nodes) -> pd.DataFrame:
+        cell = part["cell"].to_numpy()
+        here, place = nodes.at(cell)
+        out = part.assign(parent=np.where(here, cell, -1), d=None)
+        if here.any():
+            d = nodes.distances(as_matrix(part["x"][here]), place[here])
+            child = cell.copy()
+            child[here] = cell[here] * FAN + d.argmin(axis=1) + 1
+            held = np.empty(len(part), object)
+            for k, row, own in zip(np.flatnonzero(here), d, nodes.there[place[here]]):
+                held[k] = row[own]
+            out = out.assign(cell=child, d=held)
+        return out
+
+    unranged = pivots.select("cell", "pivots", *[F.array(F.array(F.lit(0.0))).alias(c) for c in ("low", "high")], F.array(F.lit(0)).alias("n"))
     routed = checkpointed(_meet(points.select("pid", "x", "n", "cell"), unranged, route, "pid bigint, x array<double>, n bigint, cell bigint, parent bigint, d array<double>"))
     ranges = [f(F.get("d", F.lit(k))).alias(f"{name}{k}") for name, f in (("low", F.min), ("high", F.max)) for k in range(FAN)]
     children = routed.where("parent >= 0").groupBy("parent", "cell").agg(F.sum("n").alias("n"), *ranges)
@@ -177,13 +216,16 @@ class PointIndex:
         but ``home`` that its ``within`` reaches. ``within`` shrinks to what the ranges promise."""
         schema = "q bigint, x array<double>, within double, home bigint, cell bigint"
 
-        def run(part: pd.DataFrame, node: Node | None) -> pd.DataFrame:
-            if node is None:
+        def run(part: pd.DataFrame, nodes: Nodes) -> pd.DataFrame:
+            here, place = nodes.at(part["cell"].to_numpy())
+            inner = part[here]
+            if not len(inner):
                 return part
-            d, least, within = node.children(as_matrix(part["x"]), part["within"].to_numpy(), need)
-            row, child = (np.arange(len(part)), d.argmin(axis=1)) if home else np.nonzero(least <= within[:, None] * (1 + 1e-9))
-            out = part.iloc[row]
-            return out.assign(within=within[row], cell=out["cell"].to_numpy() * FAN + child + 1)
+            d, least, within = nodes.children(as_matrix(inner["x"]), place[here], inner["within"].to_numpy(), need)
+            row, child = (np.arange(len(inner)), d.argmin(axis=1)) if home else np.nonzero(least <= within[:, None] * (1 + 1e-9))
+            out = inner.iloc[row]
+            out = out.assign(within=within[row], cell=out["cell"].to_numpy() * FAN + child + 1)
+            return pd.concat([part[~here], out])
 
         found = queries.select("q", "x", "within", "home", F.lit(0).cast("bigint").alias("cell"))
         for nodes in self.levels:

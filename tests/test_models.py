@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskweave.models import roles, supervised
 from riskweave.models.ensemble import AnomalyEnsemble
 from riskweave.models.lof import LocalOutlierFactor, nearest, weighted_quantile
-from riskweave.models.neighbours import PointIndex, distances, distinct_points, neighbours_among
+from riskweave.models.neighbours import PointIndex, _meet, distances, distinct_points, neighbours_among
 from riskweave.models.vectors import Scaler, points
 
 NAMES = ["f0", "f1", "f2"]
@@ -84,6 +84,27 @@ def test_nodes_may_be_joined_instead_of_shared(spark, monkeypatch):
     assert joined == shared and len(joined) == 3_000
 
 
+def test_rows_of_many_cells_are_looked_at_together(spark):
+    """2,000 rows of 500 cells, 200 of them inner: a step a block, not a step a cell; each row meets its own node."""
+    rows = spark.range(2_000).select("id", (F.col("id") % 500).alias("cell"), F.array((F.col("id") % 7).cast("double")).alias("x")).coalesce(1)
+    one = lambda *v: F.array(*[F.array(F.lit(float(x))) for x in v])
+    nodes = spark.range(0, 400, 2).select(
+        F.col("id").alias("cell"), F.array(F.array(F.col("id").cast("double")), F.array(F.lit(1000.0))).alias("pivots"),
+        one(0, 0).alias("low"), one(9, 9).alias("high"), F.array(F.lit(1), F.lit(1)).alias("n"))
+
+    def run(part, held):
+        here, place = held.at(part["cell"].to_numpy())
+        d = held.distances(np.stack(part["x"]), place)
+        return pd.DataFrame({"id": part["id"], "rows": len(part), "inner": here, "d": d[:, 0], "pivots": np.isfinite(d).sum(axis=1)})
+
+    got = _meet(rows, nodes, run, "id bigint, rows bigint, inner boolean, d double, pivots bigint").toPandas()
+    cell = got["id"] % 500
+    assert len(got) == 2_000 and (1 / got["rows"]).sum() < 20
+    assert (got["inner"] == ((cell % 2 == 0) & (cell < 400))).all() and (got["pivots"] == 2).all()
+    inner = got[got["inner"]]
+    assert np.allclose(inner["d"], ((inner["id"] % 7) - cell[got["inner"]]).abs())
+
+
 def test_neighbours_when_few_points_or_small_leaves(spark):
     x = np.random.default_rng(9).normal(size=(60, 2)).round(1)
     pts = distinct_points(vectors_of(spark, x))
