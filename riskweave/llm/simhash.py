@@ -11,8 +11,9 @@ whose members are already known to hang together.
 ``near_duplicates`` finds documents whose sets of five-word shingles have a Jaccard
 similarity of at least 0.8, for the pipeline. Fingerprints of the sets that the multi-index
 search finds near each other are compared first, then each text with the nearest of the
-texts that stand for its rarest shingles; both join large families without pairing them. Last,
-prefixes of ordered shingles give every similar pair that is still apart.
+texts that stand for its rarest shingles, then the texts of small buckets of each of them; these
+join large families without pairing them. Last, prefixes of ordered shingles give every similar
+pair that is still apart.
 
 Null texts count as empty. Texts without a word have fingerprint zero and are linked like
 any other by ``fingerprint_groups``; by ``near_duplicates`` all of them are copies of one
@@ -138,6 +139,8 @@ FILTER_BITS = 26
 FAR_BITS = 24
 #: Rounds of comparing texts with those that stand for their shingles.
 ROUNDS = 3
+#: In the round before the search of all pairs, so many texts or fewer share a bucket of a shingle, on average.
+MET = 64
 #: Shingles counted as common at most; they come last in the order of the second search.
 COMMON = 1 << 16
 #: One text in so many is counted for them.
@@ -266,10 +269,11 @@ def lookups(alone: DataFrame) -> DataFrame:
 
 
 def _apart(held: DataFrame, named: DataFrame) -> DataFrame:
-    """The lookups with their groups, but for shingles that texts of one group alone hold."""
+    """The lookups with their groups and ``texts``, how many hold the shingle, but for shingles that
+    texts of one group alone hold."""
     grouped = written(held.join(named, "copy"), "grouped-lookups")
-    spread = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-    return grouped.join(spread.select("key"), "key")
+    spread = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("texts")).where("low <> high")
+    return grouped.join(spread.select("key", "texts"), "key")
 
 
 def hub_pairs(held: DataFrame, named: DataFrame, similarity: float, turn: int) -> DataFrame:
@@ -284,7 +288,7 @@ def hub_pairs(held: DataFrame, named: DataFrame, similarity: float, turn: int) -
     return best.select(F.col("best.hub").alias("a"), F.col("copy").alias("b"))
 
 
-def prefix_pairs(held: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+def prefix_pairs(held: DataFrame, named: DataFrame, similarity: float, most: int | None = None) -> DataFrame:
     """Pairs (a, b) of texts from different groups that may be similar, and all that are.
 
     In any one order of shingles, two sets at the similarity have a shingle in common among the
@@ -292,14 +296,22 @@ def prefix_pairs(held: DataFrame, named: DataFrame, similarity: float) -> DataFr
     as many. Their lengths and the places of the first common shingle bound what they share.
     Shingles that only texts of one group hold are left out before texts are paired, so a
     family that earlier searches have joined is not paired out.
+
+    With ``most``, the texts of a shingle are dealt into buckets of at most so many, on average, and
+    paired in their bucket only: pairs grow with the lookups, not with the square of a family. Each
+    shingle deals them anew, so a family of similar texts hangs together after it.
     """
     both = similarity / (1 + similarity)
     held = written(_apart(held, named), "apart")
-    x = held.select("key", *[F.col(c).alias(f"{c}_x") for c in ("copy", "group", "n", "pos")])
-    y = held.where(f"pos <= n - ceil({2 * both!r}D * n - 1e-9D)").select("key", *[F.col(c).alias(f"{c}_y") for c in ("copy", "group", "n", "pos")])
+    on = ["key"]
+    if most is not None:
+        held = held.withColumn("bucket", F.expr(f"pmod(xxhash64(copy, key), shiftleft(1L, cast(ceil(log2(greatest(1D, texts / {most}))) AS int)))"))
+        on = ["key", "bucket"]
+    x = held.select(*on, *[F.col(c).alias(f"{c}_x") for c in ("copy", "group", "n", "pos")])
+    y = held.where(f"pos <= n - ceil({2 * both!r}D * n - 1e-9D)").select(*on, *[F.col(c).alias(f"{c}_y") for c in ("copy", "group", "n", "pos")])
     near = F.expr(f"""group_x <> group_y AND (n_y < n_x OR n_y = n_x AND copy_y < copy_x) AND n_y >= {similarity!r}D * n_x - 1e-9D
         AND 1 + least(n_x - pos_x - 1, n_y - pos_y - 1) >= {both!r}D * (n_x + n_y) - 1e-9D""")
-    return x.join(y, "key").where(near).select(F.col("copy_x").alias("a"), F.col("copy_y").alias("b")).distinct()
+    return x.join(y, on).where(near).select(F.col("copy_x").alias("a"), F.col("copy_y").alias("b")).distinct()
 
 
 def close_pairs(pairs: DataFrame, alone: DataFrame, similarity: float) -> DataFrame:
@@ -384,6 +396,7 @@ def near_groups(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARI
     held = written(lookups(alone), "lookups")
     for turn in range(ROUNDS):
         named = joined(hub_pairs(held, named, similarity, turn))
+    named = joined(prefix_pairs(held, named, similarity, MET))
     named = joined(prefix_pairs(held, named, similarity))
     return written(rows.select("doc_id", "copy").distinct().join(named, "copy"), "grouped")
 

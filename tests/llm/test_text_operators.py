@@ -197,6 +197,20 @@ def test_near_duplicates_are_complete_without_the_first_searches(frame, monkeypa
     test_near_duplicates_equal_brute_force_in_families_around_the_threshold(frame)
 
 
+def test_near_duplicates_do_not_pair_out_a_family_the_first_searches_left_apart(frame, monkeypatch):
+    for name in ("same_point_pairs", "segment_pairs", "hub_pairs"):
+        monkeypatch.setattr(simhash, name, lambda rows, *_: rows.sparkSession.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(simhash, "MET", 16, raising=False)
+    seen, close_pairs = [], simhash.close_pairs
+    monkeypatch.setattr(simhash, "close_pairs", lambda pairs, *a: seen.append(pairs.count()) or close_pairs(pairs, *a))
+    rng, n = random.Random(12), 600
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(k, " ".join(f"x{k}" if at == k % 200 else w for at, w in enumerate(base))) for k in range(n)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(rows)).collect()}
+    assert got == dict.fromkeys(range(n), 0)
+    assert sum(seen) < n * (n - 1) / 4  # all pairs are twice as many
+
+
 def test_parities_never_exceed_the_difference_of_sets():
     rng = np.random.default_rng(11)
     for n, m, shared in [(0, 0, 0), (0, 3, 0), (40, 30, 20), (500, 400, 400), (500, 130, 60), (5000, 4100, 4000)]:
