@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyarrow import fs
 
-from .common import map_arrow, scratch, table, written
+from .common import map_arrow, scratch, table, text_buffers, written
 from .files import attempt, committed, store
 from .tokens import END, default_path, encode
 from .words import mix
@@ -42,6 +42,8 @@ ROUNDS = 4
 KEY = 20_240_229
 NO_ID = -(1 << 63)
 INDEX = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("n", "<i4")])
+#: A task deals so many bytes of ids to their shards at a time.
+DEALT_BYTES = 1 << 25
 
 
 def permuted(numbers: np.ndarray, total: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -148,6 +150,32 @@ def same_bytes(system: fs.FileSystem, path: str, content: bytes, step: int = 1 <
         return all(file.read(min(step, len(content) - low)) == content[low : low + step] for low in range(0, len(content), step))
 
 
+def packed(place: np.ndarray, rows: pa.Table, shard_rows: int) -> pa.RecordBatch:
+    """(shard, rows, size, block): the rows (doc_id, piece, ids) of each shard in one compressed block of
+    ``size`` bytes, in the order of their places: the places, the index records, the ids. Ids of many
+    sequences together take much less room in the shuffle than one by one."""
+    order = np.argsort(place)
+    place, rows = place[order], rows.take(pa.array(order)).combine_chunks()
+    data, offsets = text_buffers(rows.column("ids").combine_chunks())
+    index = np.empty(len(place), INDEX)
+    index["doc_id"] = rows.column("doc_id").fill_null(NO_ID).to_numpy()
+    index["piece"], index["n"] = rows.column("piece").to_numpy(), np.diff(offsets) // 2
+    shard, codec, out = place // shard_rows, pa.Codec("zstd", compression_level=3), []
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+    for low, high in zip(cuts, cuts[1:]):
+        content = place[low:high].astype("<i8").tobytes() + index[low:high].tobytes() + data[offsets[low] : offsets[high]].tobytes()
+        out.append((int(shard[low]), int(high - low), len(content), codec.compress(content, asbytes=True)))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["shard", "rows", "size", "block"])
+
+
+def unpacked(rows: int, size: int, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, index records and ids of a block."""
+    content = pa.Codec("zstd").decompress(block, decompressed_size=size, asbytes=True)
+    begin = rows * 8
+    return np.frombuffer(content, "<i8", rows), np.frombuffer(content, INDEX, rows, begin), np.frombuffer(content, "<u2", offset=begin + rows * INDEX.itemsize)
+
+
 def write_shards(tokens: DataFrame, folder: str, stride: int = STRIDE, shard_rows: int = SHARD_ROWS, key: int = KEY) -> DataFrame:
     """Writes the shards of a token table and returns the manifest (shard, rows, crc32). The folder
     may hold shards already: those with other bytes are replaced, each in one move."""
@@ -157,7 +185,10 @@ def write_shards(tokens: DataFrame, folder: str, stride: int = STRIDE, shard_row
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = store(numbers)
         known, first = None, np.zeros(0, np.int64)
+        places, held, size = [], [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             parts, rows = batch.column("part").to_numpy(), batch.column("row").to_numpy()
             number = batch.column("piece").to_numpy().astype(np.int64)
             for part in np.unique(parts):
@@ -166,39 +197,47 @@ def write_shards(tokens: DataFrame, folder: str, stride: int = STRIDE, shard_row
                         known, first = part, np.frombuffer(file.read(), "<i8")
                 own = parts == part
                 number[own] += first[rows[own]]
-            place = permuted(number, total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(place // shard_rows), pa.array(place), *[batch.column(c) for c in ("doc_id", "piece", "ids")]], ["shard", "place", "doc_id", "piece", "ids"])
+            places.append(permuted(number, total, key))
+            held.append(batch.select(["doc_id", "piece", "ids"]))
+            size += held[-1].nbytes
+            if size > DEALT_BYTES:
+                yield packed(np.concatenate(places), pa.Table.from_batches(held), shard_rows)
+                places, held, size = [], [], 0
+        if held:
+            yield packed(np.concatenate(places), pa.Table.from_batches(held), shard_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = store(folder)
-        mine, shards, current, ids, index = attempt(), [], None, [], []
+        mine, shards, current, blocks = attempt(), [], None, []
 
         def close():
-            data = b"".join(ids)
-            for name, content in ((f"shard-{current:06d}.idx", np.array(index, INDEX).tobytes()), (f"shard-{current:06d}.bin", data)):
+            places, index, ids = map(np.concatenate, zip(*blocks))
+            padded = np.full((len(index), stride), END, "<u2")
+            padded[np.arange(stride) < index["n"][:, None]] = ids
+            order = np.argsort(places)
+            data = padded[order].tobytes()
+            for name, content in ((f"shard-{current:06d}.idx", index[order].tobytes()), (f"shard-{current:06d}.bin", data)):
                 if not same_bytes(system, f"{path}/{name}", content):
                     with committed(system, path, name, mine) as out:
                         out.write(content)
             shards.append((current, len(index), zlib.crc32(data)))
 
-        padding = np.full(stride, END, "<u2").tobytes()
         for batch in batches:
-            for shard, doc, piece, own in zip(*[batch.column(c).to_pylist() for c in ("shard", "doc_id", "piece", "ids")]):
+            for shard, *block in zip(*[batch.column(c).to_pylist() for c in ("shard", "rows", "size", "block")]):
                 if shard != current:
                     if current is not None:
                         close()
-                    current, ids, index = shard, [], []
-                ids.append(own + padding[len(own) :])
-                index.append((NO_ID if doc is None else doc, piece, len(own) // 2))
+                    current, blocks = shard, []
+                blocks.append(unpacked(*block))
         if current is not None:
             close()
         columns = list(zip(*shards)) or [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "rows", "crc32"])
 
-    dealt = map_arrow(tokens.select("part", "row", "doc_id", "piece", "ids"), placed, "shard long, place long, doc_id long, piece int, ids binary")
+    dealt = map_arrow(tokens.select("part", "row", "doc_id", "piece", "ids"), placed, "shard long, rows long, size long, block binary")
     # shards are numbered without gaps, so no sample of the ids is needed to cut them
-    dealt = dealt.repartitionById(max(1, -(-total // shard_rows)), F.col("shard").cast("int")).sortWithinPartitions("place")
-    manifest = map_arrow(dealt.select("shard", "doc_id", "piece", "ids"), run, "shard long, rows long, crc32 long")
+    dealt = dealt.repartitionById(max(1, -(-total // shard_rows)), F.col("shard").cast("int")).sortWithinPartitions("shard")
+    manifest = map_arrow(dealt, run, "shard long, rows long, crc32 long")
     manifest.write.mode("overwrite").parquet(f"{folder}/_manifest")
     return tokens.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/_manifest")
 

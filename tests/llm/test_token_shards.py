@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from riskweave.llm import token_shards, tokens
 from riskweave.llm.common import scratch
@@ -65,6 +66,22 @@ def test_a_repeated_run_leaves_whole_shards_alone(frame, spark):
     assert [n for n in names if os.stat(f"{place}/{n}").st_mtime_ns != times[n]] == names[:1]
 
 
+def test_ids_are_dealt_to_shards_in_less_room_and_come_back():
+    rng = random.Random(4)
+    ids = [tokens.encode(" ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(rng.randrange(60))), tokens.default_path()).astype("<u2") for _ in range(500)]
+    place = token_shards.permuted(np.arange(500), 500)
+    rows = pa.table({"doc_id": pa.array([None, *range(499)], pa.int64()), "piece": pa.array([0] * 500, pa.int32()), "ids": [i.tobytes() for i in ids]})
+    dealt = token_shards.packed(place, rows, 200).to_pylist()
+    assert sum(len(r["block"]) for r in dealt) < 0.7 * (rows.column("ids").nbytes + 500 * 24)
+    got = {}
+    for r in dealt:
+        places, index, flat = token_shards.unpacked(r["rows"], r["size"], r["block"])
+        assert set(places // 200) == {r["shard"]}
+        for p, one, own in zip(places, index, np.split(flat, np.cumsum(index["n"])[:-1])):
+            got[int(p)] = (int(one["doc_id"]), own.tolist())
+    assert got == {int(p): (k - 1 if k else token_shards.NO_ID, ids[k].tolist()) for k, p in enumerate(place)}
+
+
 def test_an_empty_table_writes_no_shard(frame, spark):
     folder = scratch(spark, "shards")
     assert read(write(frame([(1, "x")]).limit(0), folder), folder) == []
