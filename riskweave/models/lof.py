@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweave.models.neighbours import PointIndex, distinct_points, nearest, neighbours_among
+from riskweave.models.neighbours import PointIndex, distinct_points, fewer, nearest, neighbours_among, others
 from riskweave.session import checkpointed
 
 __all__ = ["LocalOutlierFactor", "nearest", "weighted_quantile"]
@@ -76,30 +76,43 @@ class LocalOutlierFactor:
     fitted: DataFrame  # p, k_distance, density of each distinct point
     k: int
     offset: float
+    near: DataFrame | None = None  # q, p, d, taken: neighbours of each distinct point, itself among them; not saved
 
     @staticmethod
     def fit(pts: DataFrame, n: int, contamination: float = 0.15, k: int = 20) -> "LocalOutlierFactor":
         points = distinct_points(pts)
         index = PointIndex.build(points)
         k = max(1, min(k, n - 1))
-        near = checkpointed(neighbours_among(points, index, k))
+        found = index.nearest(points.select(F.col("pid").alias("q"), "x"), k + 1)
+        near = others(found)
         k_distance = near.groupBy("q").agg(F.max("d").alias("k_distance")).withColumnRenamed("q", "p")
         own = _density(near, k_distance)
         fitted = checkpointed(own.withColumnRenamed("q", "p").join(k_distance, "p").select("p", "k_distance", "density"))
         own = fitted.select(F.col("p").alias("q"), "density")
         factors = checkpointed(_factor(near, own, fitted).join(points.select(F.col("pid").alias("q"), "n"), "q"))
         offset = weighted_quantile(factors.select((-F.col("factor")).alias("v"), "n"), contamination)
-        return LocalOutlierFactor(index, fitted, k, offset)
+        return LocalOutlierFactor(index, fitted, k, offset, found)
 
     def score(self, pts: DataFrame) -> DataFrame:
         """(id, decision) of every row; below 0 is sparser than its neighbours."""
         asked = distinct_points(pts)
-        near = self.index.nearest(asked.select(F.col("pid").alias("q"), "x"), self.k)
+        near = self._near(asked)
         factors = _factor(near, _density(near, self.fitted), self.fitted)
         known = asked.join(factors, asked["pid"] == factors["q"], "left").select("x", "factor")
         # copies of one vector are split over tasks by the adaptive skew join
         return pts.join(known, "x", "left").select("id", (-F.coalesce("factor", F.lit(1.0)) - self.offset).alias("decision"))
 
+    def _near(self, asked: DataFrame) -> DataFrame:
+        """(q, p, d, taken): the ``k`` nearest fitted rows of each point; those of a fitted point were found by the fit."""
+        if self.near is None:
+            return self.index.nearest(asked.select(F.col("pid").alias("q"), "x"), self.k)
+        own = self.index.points.select(F.col("pid").alias("fitted"), "x")
+        placed = checkpointed(asked.select(F.col("pid").alias("asked"), "x").join(own, "x", "left"))
+        held = placed.where("fitted is not null").join(self.near, F.col("fitted") == F.col("q"))
+        held = fewer(held.select(F.col("asked").alias("q"), "p", "d", "taken"), self.k)
+        new = placed.where("fitted is null").select(F.col("asked").alias("q"), "x")
+        return held if new.isEmpty() else held.unionByName(self.index.nearest(new, self.k))
+
     def save(self, spark: SparkSession, path: str) -> None:
         self.index.save(path)
         self.fitted.write.mode("overwrite").parquet(f"{path}/fitted")

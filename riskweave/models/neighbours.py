@@ -3,21 +3,23 @@
 Exact copies are one point with a weight, so a large group of copies costs nothing. The
 tree is built level by level: a cell of more than ``LEAF_POINTS`` points is split among up
 to ``FAN`` of its points that lie far apart, each point going to the nearest, and a node
-keeps the ranges of distances from each child's points to each pivot. A cell that is still
-too full is split again by distance, so the tree is deep where points are dense. Only the
-nodes of one level are looked at at a time: up to ``SHARED`` of them are sent to all tasks,
-more are joined with what arrives at their cells, in bounded parts.
+keeps the ranges of distances from each child's points to each pivot, and the box around
+them. A cell that is still too full is split again by distance, so the tree is deep where
+points are dense. Levels of up to ``SHARED`` nodes in all are sent to all tasks and gone down
+in one pass; the nodes of a larger level are joined with what arrives at their cells, in
+bounded parts.
 
 A search runs down the tree twice. First to the leaf around the query, whose points bound
-the distance of its farthest neighbour; then into every cell that the ranges cannot rule out
-by the triangle inequality. Queries that meet a leaf are cut into blocks, so no task holds
-more than one leaf and one block.
+the distance of its farthest neighbour; then into every cell that neither the ranges, by the
+triangle inequality, nor the box can rule out. Queries that meet a leaf are cut into blocks,
+so no task holds more than one leaf and one block. A product of matrices tells which pairs
+may be near enough; only their distances are worked out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +34,7 @@ QUERY_POINTS = 4096
 BLOCK = 256
 #: Children of a node, and points of a cell among which they are chosen.
 FAN, CANDIDATES = 16, 64
-#: Nodes of a level that are sent to all tasks; of more none is.
+#: Nodes that are sent to all tasks at a time; of a larger level none is.
 SHARED = 1024
 #: Cells are numbered from the root, child i of cell c being c * FAN + i + 1; so deep they fit into long.
 MOST_LEVELS = 14
@@ -57,6 +59,41 @@ def nearest(x: np.ndarray, fit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate([d for d, _ in found]), np.concatenate([p for _, p in found])
 
 
+def reached(x: np.ndarray, fit: np.ndarray, names: np.ndarray, within: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, distance) of the ``k`` nearest rows of ``fit`` within each row's reach, of equal ones those of lower name."""
+    limit, found = within * (1 + 1e-9), []
+    centre = fit.mean(axis=0) if np.isfinite(fit).all() else 0.0
+    moved, sizes = fit - centre, ((fit - centre) ** 2).sum(axis=1)
+    for start in range(0, len(x), BLOCK):
+        own, most = x[start:start + BLOCK], limit[start:start + BLOCK]
+        there = own - centre
+        about = (there**2).sum(axis=1)
+        # squares off by rounding, by far less than ``slack``; what is not a number is worked out
+        square = about[:, None] + sizes - 2.0 * (there @ moved.T)
+        slack = 1e-11 * (about + sizes.max())
+        cut = most**2 + slack
+        many = np.flatnonzero((square <= cut[:, None]).sum(axis=1) > k)
+        if len(many):
+            cut[many] = np.minimum(cut[many], np.partition(square[many], k - 1, axis=1)[:, k - 1] + 2 * slack[many])
+        row, place = np.nonzero(~(square > cut[:, None]))
+        total = np.zeros(len(row))
+        for f in range(x.shape[1]):
+            total += (own[row, f] - fit[place, f]) ** 2
+        d = np.sqrt(total)
+        near = np.flatnonzero(d <= most[row])
+        near = near[np.lexsort((names[place[near]], d[near], row[near]))]
+        row, place, d = row[near], place[near], d[near]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append((row[first] + start, place[first], d[first]))
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Dealt over all tasks: there is much to do for few bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def distinct_points(pts: DataFrame) -> DataFrame:
     """(pid, x, n): every distinct vector with its number of rows."""
     grouped = pts.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
@@ -65,7 +102,8 @@ def distinct_points(pts: DataFrame) -> DataFrame:
 
 class Nodes(NamedTuple):
     """Inner cells, by their number: the pivots of each, and for each child (row) how near and far its points lie
-    to each pivot. All are filled up to ``FAN``, so that rows of many cells are looked at together."""
+    to each pivot, and the box around them. All are filled up to ``FAN``, so that rows of many cells are looked at
+    together."""
 
     cells: np.ndarray
     pivots: np.ndarray
@@ -73,6 +111,8 @@ class Nodes(NamedTuple):
     low: np.ndarray
     high: np.ndarray
     n: np.ndarray
+    floor: np.ndarray
+    ceiling: np.ndarray
 
     @staticmethod
     def of(pdf: pd.DataFrame) -> "Nodes":
@@ -83,11 +123,15 @@ class Nodes(NamedTuple):
         there = np.zeros(shape[:2], bool)
         # a missing pivot rules nothing out
         low, high, n = np.full(shape, -np.inf), np.full(shape, np.inf), np.zeros(shape[:2])
+        floor, ceiling = np.full(pivots.shape, -np.inf), np.full(pivots.shape, np.inf)
         for k, (p, near, far, rows) in enumerate(zip(*held, pdf["n"])):
             pivots[k, : len(p)], there[k, : len(p)] = p, True
             low[k, : near.shape[0], : near.shape[1]], high[k, : far.shape[0], : far.shape[1]] = near, far
             n[k, : len(rows)] = rows
-        return Nodes(pdf["cell"].to_numpy(np.int64), pivots, there, low, high, n)
+        for side, c in ((floor, "floor"), (ceiling, "ceiling")):
+            for k, box in enumerate(pdf[c] if c in pdf else ()):  # a level without boxes: nothing ruled out by them
+                side[k, : len(box)] = np.stack([np.asarray(v, float) for v in box])
+        return Nodes(pdf["cell"].to_numpy(np.int64), pivots, there, low, high, n, floor, ceiling)
 
     def at(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether each cell is here, its place)."""
@@ -110,6 +154,12 @@ class Nodes(NamedTuple):
         low, high = self.low[place], self.high[place]
         least = np.maximum(np.maximum(low - known, known - high).max(axis=2), 0.0)
         most = (known + high).min(axis=2)
+        gap, span = np.zeros(d.shape), np.zeros(d.shape)
+        for f in range(x.shape[1]):
+            below, above = self.floor[place, :, f] - x[:, f, None], x[:, f, None] - self.ceiling[place, :, f]
+            gap += np.maximum(np.maximum(below, above), 0.0) ** 2
+            span += np.maximum(-below, -above) ** 2
+        least, most = np.maximum(least, np.sqrt(gap)), np.minimum(most, np.sqrt(span))
         order = np.argsort(most, axis=1)
         enough = np.cumsum(np.take_along_axis(n, order, axis=1), axis=1) >= need
         reach = np.take_along_axis(most, order, axis=1)[np.arange(len(x)), enough.argmax(axis=1)]
@@ -121,14 +171,22 @@ def _meet(rows: DataFrame, nodes: DataFrame, run: Callable, schema: str) -> Data
     """``run(rows, nodes)`` over ``rows``, in blocks of rows of any cells; ``nodes`` has their inner cells."""
     few = nodes.limit(SHARED + 1).toPandas()
     if len(few) <= SHARED:
-        shared = rows.sparkSession.sparkContext.broadcast(Nodes.of(few))
+        return _meet_shared(rows, Nodes.of(few), run, schema)
+    return _meet_joined(rows, nodes, run, schema)
+
+
+def _meet_shared(rows: DataFrame, nodes, run: Callable, schema: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(nodes)
+
+    def local(batches):
+        for pdf in batches:
+            for start in range(0, len(pdf), BLOCK):
+                yield run(pdf.iloc[start:start + BLOCK], shared.value)
 
-        def local(batches):
-            for pdf in batches:
-                for start in range(0, len(pdf), BLOCK):
-                    yield run(pdf.iloc[start:start + BLOCK], shared.value)
+    return rows.mapInPandas(local, schema)
 
-        return rows.mapInPandas(local, schema)
+
+def _meet_joined(rows: DataFrame, nodes: DataFrame, run: Callable, schema: str) -> DataFrame:
     parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_POINTS).alias("parts"))
     dealt = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64(rows.columns[0]), F.col("parts"))).drop("parts")
     held = nodes.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
@@ -178,19 +236,23 @@ def _split(points: DataFrame, leaf_points: int) -> tuple[DataFrame, DataFrame] |
 
     unranged = pivots.select("cell", "pivots", *[F.array(F.array(F.lit(0.0))).alias(c) for c in ("low", "high")], F.array(F.lit(0)).alias("n"))
     routed = checkpointed(_meet(points.select("pid", "x", "n", "cell"), unranged, route, "pid bigint, x array<double>, n bigint, cell bigint, parent bigint, d array<double>"))
+    width = len(pivots.first()["pivots"][0])
     ranges = [f(F.get("d", F.lit(k))).alias(f"{name}{k}") for name, f in (("low", F.min), ("high", F.max)) for k in range(FAN)]
-    children = routed.where("parent >= 0").groupBy("parent", "cell").agg(F.sum("n").alias("n"), *ranges)
+    sides = [f(F.get("x", F.lit(k))).alias(f"{name}{k}") for name, f in (("floor", F.min), ("ceiling", F.max)) for k in range(width)]
+    children = routed.where("parent >= 0").groupBy("parent", "cell").agg(F.sum("n").alias("n"), *ranges, *sides)
     present = [F.array_compact(F.array(*[f"{name}{k}" for k in range(FAN)])).alias(name) for name in ("low", "high")]
+    present += [F.array(*[f"{name}{k}" for k in range(width)]).alias(name) for name in ("floor", "ceiling")]
     children = children.select(F.col("parent").alias("cell"), F.struct(F.col("cell").alias("child"), *present, "n").alias("child"))
     nodes = children.groupBy("cell").agg(F.sort_array(F.collect_list("child")).alias("children"))  # at most FAN
-    nodes = pivots.join(nodes, "cell").select("cell", "pivots", "children.low", "children.high", "children.n")
+    nodes = pivots.join(nodes, "cell").select("cell", "pivots", *[f"children.{c}" for c in ("low", "high", "n", "floor", "ceiling")])
     return routed.select("pid", "x", "n", "cell"), checkpointed(nodes)
 
 
 @dataclass(frozen=True)
 class PointIndex:
     points: DataFrame  # pid, x, n, cell (a leaf)
-    levels: tuple[DataFrame, ...]  # cell, pivots, low, high, n of the inner cells, from the root down
+    levels: tuple[DataFrame, ...]  # cell, pivots, low, high, n, floor, ceiling of the inner cells, from the root down
+    held: dict = field(default_factory=dict, compare=False)  # levels of few nodes, once they were fetched
 
     @staticmethod
     def build(points: DataFrame, leaf_points: int = LEAF_POINTS) -> "PointIndex":
@@ -216,22 +278,45 @@ class PointIndex:
         but ``home`` that its ``within`` reaches. ``within`` shrinks to what the ranges promise."""
         schema = "q bigint, x array<double>, within double, home bigint, cell bigint"
 
-        def run(part: pd.DataFrame, nodes: Nodes) -> pd.DataFrame:
-            here, place = nodes.at(part["cell"].to_numpy())
-            inner = part[here]
-            if not len(inner):
-                return part
-            d, least, within = nodes.children(as_matrix(inner["x"]), place[here], inner["within"].to_numpy(), need)
-            row, child = (np.arange(len(inner)), d.argmin(axis=1)) if home else np.nonzero(least <= within[:, None] * (1 + 1e-9))
-            out = inner.iloc[row]
-            out = out.assign(within=within[row], cell=out["cell"].to_numpy() * FAN + child + 1)
-            return pd.concat([part[~here], out])
-
-        found = queries.select("q", "x", "within", "home", F.lit(0).cast("bigint").alias("cell"))
-        for nodes in self.levels:
-            found = _meet(found, nodes, run, schema)
+        def run(part: pd.DataFrame, levels: tuple[Nodes, ...]) -> pd.DataFrame:
+            x, reach = as_matrix(part["x"]), part["within"].to_numpy(float, copy=True)
+            row, cell, away = np.arange(len(part)), part["cell"].to_numpy(np.int64), np.zeros(len(part))
+            for nodes in levels:
+                here, place = nodes.at(cell)
+                steps = [(row[~here], cell[~here], away[~here])]
+                inner = np.flatnonzero(here)
+                for start in range(0, len(inner), QUERY_POINTS):
+                    at = inner[start:start + QUERY_POINTS]
+                    d, least, within = nodes.children(x[row[at]], place[at], reach[row[at]], need)
+                    np.minimum.at(reach, row[at], within)
+                    own, child = (np.arange(len(at)), d.argmin(axis=1)) if home else np.nonzero(least <= reach[row[at]][:, None] * (1 + 1e-9))
+                    steps.append((row[at][own], cell[at][own] * FAN + child + 1, least[own, child]))
+                row, cell, away = (np.concatenate(v) for v in zip(*steps))
+            if not home:  # other ways down may have shortened the reach
+                still = away <= reach[row] * (1 + 1e-9)
+                row, cell = row[still], cell[still]
+            return part.iloc[row].assign(within=reach[row], cell=cell)
+
+        found = spread(queries.select("q", "x", "within", "home", F.lit(0).cast("bigint").alias("cell")), "q")
+        few: list[Nodes] = []
+        for level, nodes in enumerate(self.levels):
+            own = self._few(level)
+            if few and (own is None or sum(len(n.cells) for n in few) + len(own.cells) > SHARED):
+                found, few = _meet_shared(found, tuple(few), run, schema), []
+            if own is None:
+                found = _meet_joined(found, nodes, lambda part, node: run(part, (node,)), schema)
+            else:
+                few.append(own)
+        found = _meet_shared(found, tuple(few), run, schema) if few else found
         return checkpointed(found if home else found.where("cell <> home"))
 
+    def _few(self, level: int) -> Nodes | None:
+        """The nodes of a level, or nothing where they are too many to send to all tasks."""
+        if (level, SHARED) not in self.held:
+            few = self.levels[level].limit(SHARED + 1).toPandas()
+            self.held[level, SHARED] = Nodes.of(few) if len(few) <= SHARED else None
+        return self.held[level, SHARED]
+
     def _search(self, visits: DataFrame, need: int) -> DataFrame:
         """(q, p, d, n): of each leaf met, the ``need`` nearest points within reach."""
         parts = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_POINTS).alias("parts"))
@@ -242,11 +327,9 @@ class PointIndex:
         def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
             if not len(queries) or not len(points):
                 return pd.DataFrame({"q": [], "p": [], "d": [], "n": []})
-            k = min(need, len(points))
-            d, p = nearest(as_matrix(queries["x"]), as_matrix(points["x"]), k)
-            row, at = np.nonzero(d <= queries["within"].to_numpy()[:, None] * (1 + 1e-9))
-            p = p[row, at]
-            return pd.DataFrame({"q": queries["q"].to_numpy()[row], "p": points["pid"].to_numpy()[p], "d": d[row, at], "n": points["n"].to_numpy()[p]})
+            names = points["pid"].to_numpy()
+            row, p, d = reached(as_matrix(queries["x"]), as_matrix(points["x"]), names, queries["within"].to_numpy(float), min(need, len(points)))
+            return pd.DataFrame({"q": queries["q"].to_numpy()[row], "p": names[p], "d": d, "n": points["n"].to_numpy()[p]})
 
         keys = ["cell", "part"]
         return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(run, "q bigint, p bigint, d double, n bigint")
@@ -272,8 +355,20 @@ def _first(found: DataFrame, need: int) -> DataFrame:
     return few.select("q", "p", "d", "n", F.least(F.col("n"), F.lit(need) - F.col("before")).alias("taken"))
 
 
+def fewer(near: DataFrame, need: int) -> DataFrame:
+    """Of (q, p, d, taken), what fills ``need`` rows of each query."""
+    by_distance = Window.partitionBy("q").orderBy("d", "p")
+    before = F.coalesce(F.sum("taken").over(by_distance.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = near.withColumn("before", before).where(F.col("before") < need)
+    return few.select("q", "p", "d", F.least(F.col("taken"), F.lit(need) - F.col("before")).alias("taken"))
+
+
+def others(near: DataFrame) -> DataFrame:
+    """``near`` of points of the table itself: a row is not its own neighbour."""
+    taken = F.col("taken") - (F.col("q") == F.col("p")).cast("int")
+    return near.withColumn("taken", taken).where("taken > 0")
+
+
 def neighbours_among(points: DataFrame, index: PointIndex, k: int) -> DataFrame:
     """(q, p, d, taken): the ``k`` nearest other rows of one row of each point; copies count."""
-    near = index.nearest(points.select(F.col("pid").alias("q"), "x"), k + 1)
-    taken = F.col("taken") - (F.col("q") == F.col("p")).cast("int")  # a row is not its own neighbour
-    return near.withColumn("taken", taken).where("taken > 0")
+    return others(index.nearest(points.select(F.col("pid").alias("q"), "x"), k + 1))

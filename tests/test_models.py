@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.models import roles, supervised
+from riskweave.models import neighbours, roles, supervised
 from riskweave.models.ensemble import AnomalyEnsemble
 from riskweave.models.lof import LocalOutlierFactor, nearest, weighted_quantile
 from riskweave.models.neighbours import PointIndex, _meet, distances, distinct_points, neighbours_among
@@ -105,6 +107,57 @@ def test_rows_of_many_cells_are_looked_at_together(spark):
     assert np.allclose(inner["d"], ((inner["id"] % 7) - cell[got["inner"]]).abs())
 
 
+def test_the_nearest_within_reach_are_exact_and_ties_go_by_name():
+    from riskweave.models.neighbours import reached
+
+    rng = np.random.default_rng(6)
+    fit, x = rng.integers(0, 4, size=(500, 3)).astype(float) + 1e6, rng.integers(0, 4, size=(300, 3)).astype(float) + 1e6
+    fit[7], x[5] = np.nan, np.nan
+    names, within = rng.permutation(500), np.where(np.arange(300) % 2, 1.5, np.inf)
+    row, place, d = reached(x, fit, names, within, 9)
+    true = distances(x, fit)
+    for q in range(300):
+        near = np.flatnonzero(true[q] <= within[q])
+        near = near[np.lexsort((names[near], true[q][near]))][:9]
+        assert place[row == q].tolist() == near.tolist() and d[row == q].tolist() == true[q][near].tolist()
+    assert len(near) == 9 and not (row == 5).any()
+
+
+def test_boxes_rule_out_cells_that_ranges_do_not(spark, monkeypatch):
+    """Twelve features of few values each: the distances to pivots are much alike, the sides of the boxes are not."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(0, 2, size=(6_000, 10)) * 3.0, rng.normal(size=(6_000, 2))], axis=1)
+    found = distinct_points(vectors_of(spark, x))
+    index = PointIndex.build(found, 128)
+    passes = []
+    monkeypatch.setattr("riskweave.models.neighbours._meet_shared", lambda *a, real=neighbours._meet_shared: (passes.append(1), real(*a))[1])
+    far = index.nearest(found.select(F.col("pid").alias("q"), "x"), 3).groupBy("q").agg(F.max("d").alias("within"))
+    assert len(index.levels) > 1 and len(passes) == 2  # one way down for all levels, there and again
+    asked = found.join(far, F.col("pid") == F.col("q")).select("q", "x", "within", F.lit(-1).cast("bigint").alias("home"))
+    met = index.visits(asked, 3, home=False).count()
+    ranged = PointIndex(index.points, tuple(level.drop("floor", "ceiling") for level in index.levels))
+    assert met < ranged.visits(asked, 3, home=False).count() / 2
+    probe = far.join(found, F.col("pid") == F.col("q")).limit(200).toPandas()
+    assert np.allclose(probe["within"], np.sort(distances(np.stack(probe["x"]), x), axis=1)[:, 2], atol=1e-12)
+
+
+def test_fitted_points_are_not_searched_again(spark, monkeypatch):
+    df, x = cloud(spark, 120, 4)
+    df = df.unionByName(df.where("user_id < 'u030'").withColumn("user_id", F.concat("user_id", F.lit("copy"))))
+    model = LocalOutlierFactor.fit(points(df, NAMES), 150, 0.1, k=6)
+    searched = {r.id: r.decision for r in replace(model, near=None).score(points(df, NAMES)).collect()}
+    new = spark.createDataFrame([("new", 0.3, 0.1, 9.0)], "user_id string, f0 double, f1 double, f2 double")
+    want = replace(model, near=None).score(points(new, NAMES)).first().decision
+    both = points(df.select("user_id", *NAMES).unionByName(new), NAMES)
+    assert {r.id: r.decision for r in model.score(both).collect()} == pytest.approx(searched | {"new": want})
+
+    def none(*_):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(PointIndex, "nearest", none)
+    assert {r.id: r.decision for r in model.score(points(df, NAMES)).collect()} == pytest.approx(searched)
+
+
 def test_neighbours_when_few_points_or_small_leaves(spark):
     x = np.random.default_rng(9).normal(size=(60, 2)).round(1)
     pts = distinct_points(vectors_of(spark, x))
