@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskweave.functions.placing import hashed_position
 from riskweave.models.extra_trees import ExtraTrees
 from riskweave.models.neighbours import PointIndex, distinct_points, neighbours_among
-from riskweave.session import checkpointed
+from riskweave.session import at_once, checkpointed
 
 MIN_AUC = 0.75
 #: Trees outside the risk classifier grow as deep as the library allows.
@@ -168,8 +168,8 @@ def base_forests(train: DataFrame, features: list[str], label: str = "label", se
         VectorAssembler(inputCols=list(features), outputCol="x"),
         RandomForestClassifier(featuresCol="x", labelCol=label, weightCol="w", numTrees=100, maxDepth=MOST_DEPTH, featureSubsetStrategy="sqrt", seed=seed,
                                cacheNodeIds=True),
-    ]).fit(weighted)
-    return bagged, ExtraTrees.fit(train, features, label, seed=seed)
+    ])
+    return tuple(at_once(train.sparkSession, lambda: bagged.fit(weighted), lambda: ExtraTrees.fit(train, features, label, seed=seed)))
 
 
 def fit_meta(train: DataFrame, inputs: list[str], label: str = "label", c: float = 0.5) -> PipelineModel:

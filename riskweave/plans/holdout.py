@@ -13,7 +13,7 @@ from riskweave.models.vectors import Scaler
 from riskweave.operators import activity, baselines as B, evaluation as E, features
 from riskweave.plans.scan import score_identities
 from riskweave.operators.rules import rule_flags
-from riskweave.session import checkpointed
+from riskweave.session import at_once, checkpointed
 from riskweave.thresholds import DEFAULTS, Thresholds
 
 CUT = 0.22
@@ -66,13 +66,16 @@ def run_holdout(
     table = checkpointed(holdout_features(users, events, labels, as_of, thresholds, seed, types))
     train = table.where(~F.col("is_test"))
     names = fv.FEATURE_NAMES
-    ensemble = AnomalyEnsemble.fit(train, names, contamination=0.20, seed=seed)
-    classifier = RiskClassifier.fit(train, names, seed=seed, check=check_auc)
+    anomalies, classifier, (bagged, extra) = at_once(
+        table.sparkSession,
+        lambda: AnomalyEnsemble.fit(train, names, contamination=0.20, seed=seed).predict(table),
+        lambda: RiskClassifier.fit(train, names, seed=seed, check=check_auc),
+        lambda: base_forests(train, names, seed=seed),
+    )
     stacked = classifier.predict(table, "smote_probability")
-    bagged, extra = base_forests(train, names, seed=seed)
     stacked = bagged.transform(stacked).withColumn("weighted_probability", positive_probability()).drop("x", "rawPrediction", "probability", "prediction")
     stacked = extra.predict(stacked, "extra_probability")
-    stacked = stacked.join(ensemble.predict(table).select("user_id", "anomaly_score"), "user_id")
+    stacked = stacked.join(anomalies.select("user_id", "anomaly_score"), "user_id")
     scaler = Scaler.fit(train, names)
     stacked = stacked.withColumns({f"scaled_{c}": v for c, v in zip(names, scaler.scaled())})
     inputs = (

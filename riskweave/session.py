@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _shared: list[DataFrame] = []
@@ -37,6 +39,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def at_once(spark: SparkSession, *steps: Callable) -> list:
+    """What independent steps return, run side by side: many of their jobs are too short to fill the executors."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]
+
+
 def shared(df: DataFrame) -> DataFrame:
     """Mark a result that several branches of one plan read.
 

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from riskweave.models import extra_trees
 from riskweave.models.extra_trees import ExtraTrees
 
 NAMES = [f"f{k}" for k in range(6)]
@@ -57,6 +58,21 @@ def test_the_forest_does_not_depend_on_partitions_and_keeps_its_bounds(spark):
         assert len(np.unique(one.forest.leaf_of(x, tree))) == 12
 
 
+def test_a_small_table_takes_one_pass_a_level_and_gives_the_same_forest(spark, monkeypatch):
+    train, _, _ = two_classes(spark, 400)
+    passes = {}
+    for name in ("_level_whole", "_ranges", "_counts"):
+        real = getattr(extra_trees, name)
+        monkeypatch.setattr(extra_trees, name, lambda *a, name=name, real=real: (passes.update({name: passes.get(name, 0) + 1}), real(*a))[1])
+    one = ExtraTrees.fit(train.repartition(3), NAMES, trees=5, max_leaves=20)
+    assert set(passes) == {"_level_whole"}
+    monkeypatch.setattr(extra_trees, "WHOLE", 400 * 6 - 1)  # too many values for a task
+    many = ExtraTrees.fit(train.repartition(3), NAMES, trees=5, max_leaves=20)
+    assert passes["_ranges"] == passes["_counts"] == passes["_level_whole"]
+    for name in extra_trees.COLUMNS:
+        np.testing.assert_array_equal(getattr(one.forest, name), getattr(many.forest, name))
+
+
 @pytest.mark.parametrize("labels", [[], [0, 0, 0], [1, 1]])
 def test_one_class_or_no_rows(spark, labels):
     rows = [(f"u{k}", *([float(k)] * 6), v) for k, v in enumerate(labels)]

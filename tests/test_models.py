@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -251,6 +252,21 @@ def test_the_quality_gate_lets_good_models_pass_and_stops_bad_ones(spark):
     assert stopped.value.auc < supervised.MIN_AUC
 
 
+def test_independent_steps_run_side_by_side(spark):
+    """Each waits for the other to begin; one after the other they would not end."""
+    from riskweave.session import at_once
+
+    met = threading.Barrier(2, timeout=60)
+
+    def step(n):
+        met.wait()
+        return spark.range(n).count()
+
+    assert at_once(spark, lambda: step(3), lambda: step(5)) == [3, 5]
+    with pytest.raises(supervised.ModelQualityError):
+        at_once(spark, lambda: 1, lambda: (_ for _ in ()).throw(supervised.ModelQualityError(0.5)))
+
+
 def test_deep_forest_keeps_the_nodes_of_rows_and_its_predictions(spark):
     from riskweave.models.supervised import base_forests
 
