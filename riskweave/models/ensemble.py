@@ -10,7 +10,7 @@ from riskweave.models.isolation import IsolationForest
 from riskweave.models.lof import LocalOutlierFactor
 from riskweave.models.oneclass import OneClassBoundary
 from riskweave.models.vectors import Scaler, score_points
-from riskweave.session import checkpointed, shared
+from riskweave.session import at_once, checkpointed, shared
 
 DETECTORS = ["isolation", "boundary", "density"]
 
@@ -28,12 +28,12 @@ class AnomalyEnsemble:
         scaler = Scaler.fit(table, features)
         pts = checkpointed(scaler.points(table))
         n = pts.count()
-        return AnomalyEnsemble(
-            scaler,
-            IsolationForest.fit(pts, n, contamination, seed=seed),
-            OneClassBoundary.fit(pts, n, len(features), nu, seed=seed),
-            LocalOutlierFactor.fit(pts, n, contamination),
-        )
+        return AnomalyEnsemble(scaler, *at_once(
+            table.sparkSession,
+            lambda: IsolationForest.fit(pts, n, contamination, seed=seed),
+            lambda: OneClassBoundary.fit(pts, n, len(features), nu, seed=seed),
+            lambda: LocalOutlierFactor.fit(pts, n, contamination),
+        ))
 
     def decisions(self, table: DataFrame) -> DataFrame:
         """(user_id, isolation, boundary, density): raw decisions, below 0 is anomalous. Expects one row a user."""
