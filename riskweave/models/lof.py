@@ -103,14 +103,17 @@ class LocalOutlierFactor:
         return pts.join(known, "x", "left").select("id", (-F.coalesce("factor", F.lit(1.0)) - self.offset).alias("decision"))
 
     def _near(self, asked: DataFrame) -> DataFrame:
-        """(q, p, d, taken): the ``k`` nearest fitted rows of each point; those of a fitted point were found by the fit."""
+        """(q, p, d, taken): the ``k`` nearest fitted rows of each point; those of a fitted point were found by the fit,
+        unless several are equally far for the last place."""
         if self.near is None:
             return self.index.nearest(asked.select(F.col("pid").alias("q"), "x"), self.k)
         own = self.index.points.select(F.col("pid").alias("fitted"), "x")
-        placed = checkpointed(asked.select(F.col("pid").alias("asked"), "x").join(own, "x", "left"))
-        held = placed.where("fitted is not null").join(self.near, F.col("fitted") == F.col("q"))
-        held = fewer(held.select(F.col("asked").alias("q"), "p", "d", "taken"), self.k)
-        new = placed.where("fitted is null").select(F.col("asked").alias("q"), "x")
+        placed = asked.select(F.col("pid").alias("asked"), "x").join(own, "x", "left")
+        held, shared = fewer(self.near, self.k)
+        placed = checkpointed(placed.join(shared.withColumnRenamed("q", "fitted"), "fitted", "left"))
+        again = F.col("fitted").isNull() | F.coalesce("shared", F.lit(False))
+        held = placed.where(~again).join(held, F.col("fitted") == F.col("q")).select(F.col("asked").alias("q"), "p", "d", "taken")
+        new = placed.where(again).select(F.col("asked").alias("q"), "x")
         return held if new.isEmpty() else held.unionByName(self.index.nearest(new, self.k))
 
     def save(self, spark: SparkSession, path: str) -> None:

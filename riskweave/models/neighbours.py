@@ -59,8 +59,8 @@ def nearest(x: np.ndarray, fit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate([d for d, _ in found]), np.concatenate([p for _, p in found])
 
 
-def reached(x: np.ndarray, fit: np.ndarray, names: np.ndarray, within: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, distance) of the ``k`` nearest rows of ``fit`` within each row's reach, of equal ones those of lower name."""
+def reached(x: np.ndarray, fit: np.ndarray, within: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, distance) of the ``k`` nearest rows of ``fit`` within each row's reach, the same as of ``nearest``."""
     limit, found = within * (1 + 1e-9), []
     centre = fit.mean(axis=0) if np.isfinite(fit).all() else 0.0
     moved, sizes = fit - centre, ((fit - centre) ** 2).sum(axis=1)
@@ -81,10 +81,17 @@ def reached(x: np.ndarray, fit: np.ndarray, names: np.ndarray, within: np.ndarra
             total += (own[row, f] - fit[place, f]) ** 2
         d = np.sqrt(total)
         near = np.flatnonzero(d <= most[row])
-        near = near[np.lexsort((names[place[near]], d[near], row[near]))]
+        near = near[np.lexsort((d[near], row[near]))]
         row, place, d = row[near], place[near], d[near]
-        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        at = np.arange(len(row)) - np.searchsorted(row, row)
+        # the last place is shared: which of them it gets is left to ``nearest``
+        next_ = np.flatnonzero(at == k)
+        shared = np.unique(row[next_[d[next_] == d[next_ - 1]]])
+        first = (at < k) & ~np.isin(row, shared)
         found.append((row[first] + start, place[first], d[first]))
+        if len(shared):
+            d, place = nearest(own[shared], fit, k)
+            found.append((np.repeat(shared, k) + start, place.ravel(), d.ravel()))
     return tuple(np.concatenate(v) for v in zip(*found))
 
 
@@ -328,7 +335,7 @@ class PointIndex:
             if not len(queries) or not len(points):
                 return pd.DataFrame({"q": [], "p": [], "d": [], "n": []})
             names = points["pid"].to_numpy()
-            row, p, d = reached(as_matrix(queries["x"]), as_matrix(points["x"]), names, queries["within"].to_numpy(float), min(need, len(points)))
+            row, p, d = reached(as_matrix(queries["x"]), as_matrix(points["x"]), queries["within"].to_numpy(float), min(need, len(points)))
             return pd.DataFrame({"q": queries["q"].to_numpy()[row], "p": names[p], "d": d, "n": points["n"].to_numpy()[p]})
 
         keys = ["cell", "part"]
@@ -355,12 +362,14 @@ def _first(found: DataFrame, need: int) -> DataFrame:
     return few.select("q", "p", "d", "n", F.least(F.col("n"), F.lit(need) - F.col("before")).alias("taken"))
 
 
-def fewer(near: DataFrame, need: int) -> DataFrame:
-    """Of (q, p, d, taken), what fills ``need`` rows of each query."""
+def fewer(near: DataFrame, need: int) -> tuple[DataFrame, DataFrame]:
+    """Of (q, p, d, taken), what fills ``need`` rows of each query; and (q, shared) of queries where the next is as near as the last."""
     by_distance = Window.partitionBy("q").orderBy("d", "p")
     before = F.coalesce(F.sum("taken").over(by_distance.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    few = near.withColumn("before", before).where(F.col("before") < need)
-    return few.select("q", "p", "d", F.least(F.col("taken"), F.lit(need) - F.col("before")).alias("taken"))
+    ranked = near.withColumns({"before": before, "last": F.lag("d").over(by_distance)})
+    few = ranked.where(F.col("before") < need)
+    shared = ranked.where((F.col("before") == need) & (F.col("last") == F.col("d"))).select("q", F.lit(True).alias("shared"))
+    return few.select("q", "p", "d", F.least(F.col("taken"), F.lit(need) - F.col("before")).alias("taken")), shared
 
 
 def others(near: DataFrame) -> DataFrame:
